@@ -1,0 +1,7 @@
+"""Streaming: nothing to build.
+
+The reports are batch SELECT statements evaluated at a clock value ``as_of``;
+they keep no state between runs and read no stream.  A dashboard refresh is a
+new batch run with a new ``as_of`` (see ``quaysight.plans``), so no
+Structured Streaming operator is needed.
+"""

@@ -1,7 +1,13 @@
 """Relational operators shared by the reports (DataFrame -> DataFrame)."""
 
+from __future__ import annotations
+
+import uuid
+
 from pyspark.sql import DataFrame
 
+from quaysight.session import ensure_checkpoint_dir
+
 
 def restrict_to(big: DataFrame, keys: DataFrame, big_col: str, key_col: str | None = None) -> DataFrame:
     """Rows of ``big`` whose ``big_col`` appears in ``keys[key_col]``.
@@ -14,3 +20,24 @@ def restrict_to(big: DataFrame, keys: DataFrame, big_col: str, key_col: str | No
     """
     k = keys.select(keys[key_col or big_col].alias(big_col))
     return big.join(k, big_col, "left_semi")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate result that several branches of a report
+    reuse (the driving shipments, their pieces, ...) to the session's
+    checkpoint folder as parquet, and read it back.
+
+    * each large table behind it is scanned once instead of once per branch;
+    * the lineage is cut, so the report's plan stays small and a lost
+      executor does not recompute the scans;
+    * the read-back relation carries its real size, so Spark's broadcast size
+      check (``spark.sql.autoBroadcastJoinThreshold``) decides on measured
+      bytes rather than on an estimate of a filtered scan.
+
+    The folder is ``spark.checkpoint.dir`` (a shared folder on a cluster); a
+    local one is created only when the session names none (tests).
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quaysight-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -11,7 +11,10 @@ The window filter on ``scheduled_dttm`` is pushed to the appointment scan;
 the surviving appointment ids then cut every other input (objects, POs, line
 items, notes, attributes, slots, visits, tasks) with LEFT SEMI joins before
 any aggregation, so the work is proportional to the appointments shown, not
-to the history held in the tables.
+to the history held in the tables.  Cut inputs that several branches reuse
+(window appointments, their objects and POs, attributes, visits) are written
+once to the checkpoint folder (``materialize``): each large table is read
+once and the six attribute joins read a small file, not the attribute table.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from quaysight.functions.clock import (
     to_char,
 )
 from quaysight.functions.semantics import zero_if_null_decimal
-from quaysight.operators import restrict_to
+from quaysight.operators import materialize, restrict_to
 from quaysight.operators.appointments import dock_pole, eligibility
 from quaysight.operators.eav import attach_attributes
 from quaysight.operators.purchase import PO_OBJECT_TYPE, appointment_po_rollup, po_split
@@ -51,7 +54,7 @@ def po_split_for(w: Wms, objects: DataFrame, restrict: bool) -> DataFrame:
     first cut to the POs those objects reference."""
     pos, lines, notes = w.purchase_orders, w.purchase_orders_line_item, w.purchase_orders_note
     if restrict:
-        pos = restrict_to(pos, objects, "purchase_orders_id", "appt_obj_id")
+        pos = materialize(restrict_to(pos, objects, "purchase_orders_id", "appt_obj_id"), "purchase_orders")
         lines = restrict_to(lines, pos, "purchase_orders_id")
         notes = restrict_to(notes, pos, "purchase_orders_id")
     return po_split(objects, pos, lines, w.business_partner, w.purchase_orders_status, notes)
@@ -62,19 +65,19 @@ def appointment_timeline(w: Wms, appts: DataFrame | None = None) -> DataFrame:
     detail, visit = w.trailer_visit_detail, w.trailer_visit
     tasks, ref = w.ilm_tasks, w.trailer_ref
     if appts is not None:
-        detail = restrict_to(detail, appts, "appointment_id")
-        visit = restrict_to(visit, detail, "visit_id")
+        detail = materialize(restrict_to(detail, appts, "appointment_id"), "visit_detail")
+        visit = materialize(restrict_to(visit, detail, "visit_id"), "visits")
         ref = restrict_to(ref, visit, "active_visit_id", "visit_id")
         tasks = restrict_to(tasks, visit, "trailer_id")
     return trailer_tasks(detail, visit, ref, w.locn_hdr, tasks)
 
 
 def appointments(w: Wms, as_of: AsOf) -> DataFrame:
-    appts = w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of))
+    appts = materialize(w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of)), "appointments")
 
-    objects = restrict_to(w.ilm_appointment_objects, appts, "appointment_id")
+    objects = materialize(restrict_to(w.ilm_appointment_objects, appts, "appointment_id"), "objects")
     rollup = appointment_po_rollup(po_split_for(w, objects, restrict=True))
-    attrs = restrict_to(w.ilm_appt_custom_attribute, appts, "appointment_id")
+    attrs = materialize(restrict_to(w.ilm_appt_custom_attribute, appts, "appointment_id"), "attributes")
     slot_rows = restrict_to(w.ilm_appt_slots, appts, "appointment_id").select("appointment_id", "slot_id")
     slots = w.slots.select("slot_id", F.col("description").alias("dock_group"))
     timeline = appointment_timeline(w, appts)

@@ -51,8 +51,15 @@ APPOINTMENT_AS_OF_FRIDAY = "2024-01-12 12:00:00"   # a Friday
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+_WMS: dict[tuple[int, str], Wms] = {}
+
+
 def _wms(spark: SparkSession, sf_dir: str) -> Wms:
-    return Wms.from_testdata(spark, sf_dir)
+    """The derived warehouse tables of ``sf_dir``, built once per session."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _WMS:
+        _WMS[key] = Wms.from_testdata(spark, sf_dir)
+    return _WMS[key]
 
 
 # ------------------------------------------------------------ reports ------

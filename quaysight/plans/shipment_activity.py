@@ -11,9 +11,13 @@ The driving set (active shipments) is tiny compared with the piece, tracking
 and lock tables, so every large input is first cut to the rows of those
 shipments with a LEFT SEMI join (``restrict_to``): the big table is streamed
 against a hash table of the driving keys instead of being aggregated whole
-and shuffled.  Stage counts of all three segments come from one aggregation;
-first/last events use the skew-safe extreme join; the one-row not-closed list
-is attached by a broadcast of exactly one row.
+and shuffled.  The driving sets that several branches reuse (watched
+shipments, their pieces, the typed shipments, their notes) are written once
+to the checkpoint folder (``materialize``), so ``lpn``, ``do_orders`` and
+``shipment_note`` are each read once and the plan stays small.  Stage
+counts of all three segments come from one aggregation; first/last events
+use the skew-safe extreme join; the one-row not-closed list is attached by a
+broadcast of exactly one row.
 """
 
 from __future__ import annotations
@@ -21,17 +25,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaysight.functions.clock import MASK_DAY_MONTH, MASK_DAY_MONTH_TIME, MASK_TIME, AsOf, to_char
+from quaysight.functions.clock import (
+    MASK_DAY_MONTH,
+    MASK_DAY_MONTH_TIME,
+    MASK_TIME,
+    AsOf,
+    after_day_offset,
+    between_midnights,
+    to_char,
+)
 from quaysight.functions.semantics import proper_name
-from quaysight.operators import restrict_to
+from quaysight.operators import materialize, restrict_to
 from quaysight.operators.extremes import load_first_last, lock_first_last
 from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes
 from quaysight.operators.shipments import (
+    NOT_CLOSED_FROM_DAYS,
+    NOT_CLOSED_TO_DAYS,
+    OPEN_DAYS_BACK,
     STORE_ORDER_TYPE,
-    active_shipments,
     carrier_code,
     door_assignments,
     id_split,
+    in_progress,
     location_code,
     not_closed_list,
     pickup_labels,
@@ -54,27 +69,36 @@ ACTIVITY_COLUMNS = (
 )
 
 
-def typed_active_shipments(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE):
-    """(active shipments having a piece of an order of ``order_type``, their pieces)."""
-    ships = active_shipments(w.shipment, as_of)
-    pieces = restrict_to(w.lpn, ships, "shipment_id")
-    # Orders of those pieces only, then the typed ones: the order table is
-    # streamed against the pieces' order ids.
-    orders = restrict_to(w.do_orders.filter(F.col("do_type") == order_type), pieces, "order_id")
-    typed_ids = restrict_to(pieces, orders, "order_id").select("shipment_id")
-    return restrict_to(ships, typed_ids, "shipment_id"), pieces
+PIECE_COLUMNS = ("lpn_id", "order_id", "shipment_id", "lpn_facility_status", "container_type", "curr_sub_locn_id")
+
+
+def watched_shipments(w: Wms, as_of: AsOf) -> DataFrame:
+    """Shipments in progress that either report reads: the active ones and
+    the late ones of the not-closed list (one scan of ``shipment``)."""
+    watched = in_progress(w.shipment).filter(
+        after_day_offset("pickup_start_dttm", as_of, OPEN_DAYS_BACK)
+        | between_midnights("pickup_start_dttm", as_of, NOT_CLOSED_FROM_DAYS, NOT_CLOSED_TO_DAYS))
+    return watched.withColumn("_active", after_day_offset("pickup_start_dttm", as_of, OPEN_DAYS_BACK))
 
 
 def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -> DataFrame:
-    ships, pieces = typed_active_shipments(w, as_of, order_type)
+    # Driving sets, each computed once and read back from the checkpoint
+    # folder: every large table below is then scanned exactly once.
+    watched = materialize(watched_shipments(w, as_of), "watched")
+    pieces = materialize(restrict_to(w.lpn.select(*PIECE_COLUMNS), watched, "shipment_id"), "pieces")
+    active = watched.filter(F.col("_active")).drop("_active")
+    typed_orders = restrict_to(w.do_orders.filter(F.col("do_type") == order_type), pieces, "order_id")
+    typed_ids = restrict_to(pieces, typed_orders, "order_id").select("shipment_id")
+    ships = materialize(restrict_to(active, typed_ids, "shipment_id"), "ships")
+    ship_pieces = restrict_to(pieces, ships, "shipment_id")
 
-    segments = stage_segments(classified_pieces(pieces, w.locn_hdr, ACTIVITY_RULE))
+    segments = stage_segments(classified_pieces(ship_pieces, w.locn_hdr, ACTIVITY_RULE))
     loads = load_first_last(restrict_to(w.prod_trkg_tran, ships, "ref_field_1", "tc_shipment_id"), w.ucl_user)
-    locks = lock_first_last(pieces, w.lpn_lock, w.ucl_user)
+    locks = lock_first_last(ship_pieces, w.lpn_lock, w.ucl_user)
     doors = door_assignments(restrict_to(w.dock_door_ref, ships, "shipment_id"), w.dock_door) \
         .select("shipment_id", "dock_door")
-    notes = restrict_to(w.shipment_note, ships, "shipment_id")
-    not_closed = not_closed_list(w.shipment, w.lpn, as_of)
+    notes = materialize(restrict_to(w.shipment_note, ships, "shipment_id"), "notes")
+    not_closed = not_closed_list(watched.drop("_active"), pieces, as_of)
 
     loc = w.locn_hdr.select("locn_id", "aisle", "lvl")
     out = (ships.join(loc, ships.staging_locn_id == loc.locn_id, "left")

@@ -88,16 +88,18 @@ def stage_counts(pieces: DataFrame, keys: tuple[str, ...] = ("shipment_id",),
         F.sum("chgt").alias("nb_chgt"), F.count(F.lit(1)).alias("nb_pieces"))
 
 
-def with_shares(counts: DataFrame, prefix: str = "") -> DataFrame:
-    """Add integer shares prep/ancr/chgt (ROUND(SUM*100/COUNT(*))) and the
-    progress string 'ppp / aaa / ccc'."""
+def share_columns(prefix: str = "") -> list[Column]:
+    """Integer shares prep/ancr/chgt (ROUND(SUM*100/COUNT(*))) and the progress
+    string 'ppp / aaa / ccc' of the counts ``{prefix}nb_*``."""
     n = F.col(f"{prefix}nb_pieces")
-    shares = {s: round_share(F.col(f"{prefix}nb_{s}"), n) for s in ("prep", "ancr", "chgt")}
-    out = counts
-    for s, c in shares.items():
-        out = out.withColumn(f"{prefix}{s}", c)
-    return out.withColumn(f"{prefix}advancement",
-                          share_string(*[F.col(f"{prefix}{s}") for s in ("prep", "ancr", "chgt")]))
+    shares = [round_share(F.col(f"{prefix}nb_{s}"), n) for s in ("prep", "ancr", "chgt")]
+    return ([c.alias(f"{prefix}{s}") for c, s in zip(shares, ("prep", "ancr", "chgt"))]
+            + [share_string(*shares).alias(f"{prefix}advancement")])
+
+
+def with_shares(counts: DataFrame, prefix: str = "") -> DataFrame:
+    """``counts`` plus its shares and progress string (one projection)."""
+    return counts.select("*", *share_columns(prefix))
 
 
 def segment_aggregates(segments: tuple[str, ...]) -> list[Column]:
@@ -111,32 +113,33 @@ def segment_aggregates(segments: tuple[str, ...]) -> list[Column]:
     return aggs
 
 
-def null_empty_segments(df: DataFrame, segments: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
-    """A segment without any piece reads as NULL (as a LEFT JOIN to a missing
-    group would), not as zero."""
-    out = df
-    for seg in segments:
-        present = F.col(f"{seg}_nb_pieces") > 0
-        for c in columns:
-            name = f"{seg}_{c}"
-            out = out.withColumn(name, F.when(present, F.col(name)))
-    return out
-
-
 def stage_segments(pieces: DataFrame, keys: tuple[str, ...] = ("shipment_id",),
                    segments: tuple[str, ...] = SEGMENTS, shares: bool = True) -> DataFrame:
     """Counts (and shares) of every segment in one pass over the pieces.
 
     Grain: keys having at least one piece.  Columns per segment:
     ``{seg}_nb_prep/_nb_ancr/_nb_chgt/_nb_pieces`` and with ``shares``
-    ``{seg}_prep/_ancr/_chgt/_advancement``.
+    ``{seg}_prep/_ancr/_chgt/_advancement``.  A segment without any piece
+    reads as NULL (as a LEFT JOIN to a missing group would), not as zero.
     """
     counts = pieces.groupBy(*keys).agg(*segment_aggregates(segments))
+    cols: list[Column] = [F.col(k) for k in keys]
+    for seg in segments:
+        n = F.col(f"{seg}_nb_pieces")
+        seg_cols = [F.col(f"{seg}_nb_{s}").alias(f"{seg}_nb_{s}") for s in ("prep", "ancr", "chgt")]
+        if shares:
+            seg_cols += share_columns(f"{seg}_")
+        if seg != "global":
+            seg_cols = [F.when(n > 0, c) for c in seg_cols]
+        cols += [c.alias(name) for c, name in zip(seg_cols, _names(seg, shares))] + [n]
+    return counts.select(*cols)
+
+
+def _names(seg: str, shares: bool) -> list[str]:
+    names = [f"{seg}_nb_{s}" for s in ("prep", "ancr", "chgt")]
     if shares:
-        for seg in segments:
-            counts = with_shares(counts, prefix=f"{seg}_")
-    cols = ("nb_prep", "nb_ancr", "nb_chgt") + (("prep", "ancr", "chgt", "advancement") if shares else ())
-    return null_empty_segments(counts, tuple(s for s in segments if s != "global"), cols)
+        names += [f"{seg}_{s}" for s in ("prep", "ancr", "chgt", "advancement")]
+    return names
 
 
 def stage_segments_three_scans(pieces: DataFrame, keys: tuple[str, ...] = ("shipment_id",),

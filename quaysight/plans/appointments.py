@@ -12,9 +12,10 @@ the surviving appointment ids then cut every other input (objects, POs, line
 items, notes, attributes, slots, visits, tasks) with LEFT SEMI joins before
 any aggregation, so the work is proportional to the appointments shown, not
 to the history held in the tables.  Cut inputs that several branches reuse
-(window appointments, their objects and POs, attributes, visits) are written
-once to the checkpoint folder (``materialize``): each large table is read
-once and the six attribute joins read a small file, not the attribute table.
+(the window's objects, attributes and visits) are written once to the
+checkpoint folder (``materialize``): each large table is read once and the
+six attribute joins read a small file, not the attribute table.  The window
+itself is a filtered scan pushed into parquet, cheap to repeat.
 """
 
 from __future__ import annotations
@@ -54,9 +55,11 @@ def po_split_for(w: Wms, objects: DataFrame, restrict: bool) -> DataFrame:
     first cut to the POs those objects reference."""
     pos, lines, notes = w.purchase_orders, w.purchase_orders_line_item, w.purchase_orders_note
     if restrict:
-        pos = materialize(restrict_to(pos, objects, "purchase_orders_id", "appt_obj_id"), "purchase_orders")
-        lines = restrict_to(lines, pos, "purchase_orders_id")
-        notes = restrict_to(notes, pos, "purchase_orders_id")
+        # Only the rows of POs the objects reference can join (the PO key is
+        # the object id), so all three tables are cut by the object ids.
+        pos = restrict_to(pos, objects, "purchase_orders_id", "appt_obj_id")
+        lines = restrict_to(lines, objects, "purchase_orders_id", "appt_obj_id")
+        notes = restrict_to(notes, objects, "purchase_orders_id", "appt_obj_id")
     return po_split(objects, pos, lines, w.business_partner, w.purchase_orders_status, notes)
 
 
@@ -65,7 +68,7 @@ def appointment_timeline(w: Wms, appts: DataFrame | None = None) -> DataFrame:
     detail, visit = w.trailer_visit_detail, w.trailer_visit
     tasks, ref = w.ilm_tasks, w.trailer_ref
     if appts is not None:
-        detail = materialize(restrict_to(detail, appts, "appointment_id"), "visit_detail")
+        detail = restrict_to(detail, appts, "appointment_id")
         visit = materialize(restrict_to(visit, detail, "visit_id"), "visits")
         ref = restrict_to(ref, visit, "active_visit_id", "visit_id")
         tasks = restrict_to(tasks, visit, "trailer_id")
@@ -73,7 +76,7 @@ def appointment_timeline(w: Wms, appts: DataFrame | None = None) -> DataFrame:
 
 
 def appointments(w: Wms, as_of: AsOf) -> DataFrame:
-    appts = materialize(w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of)), "appointments")
+    appts = w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of))
 
     objects = materialize(restrict_to(w.ilm_appointment_objects, appts, "appointment_id"), "objects")
     rollup = appointment_po_rollup(po_split_for(w, objects, restrict=True))

@@ -49,6 +49,7 @@ APPOINTMENT_AS_OF = "2024-01-10 12:00:00"          # a Wednesday
 APPOINTMENT_AS_OF_FRIDAY = "2024-01-12 12:00:00"   # a Friday
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
+WmsQueryFn = Callable[[Wms], DataFrame]
 
 
 _WMS: dict[tuple[int, str], Wms] = {}
@@ -63,80 +64,74 @@ def _wms(spark: SparkSession, sf_dir: str) -> Wms:
 
 
 # ------------------------------------------------------------ reports ------
-def q_shipment_activity(spark, sf_dir):
-    return shipment_activity(_wms(spark, sf_dir), ACTIVITY_AS_OF)
+def q_shipment_activity(w):
+    return shipment_activity(w, ACTIVITY_AS_OF)
 
 
-def q_dock_doors(spark, sf_dir):
-    return dock_doors(_wms(spark, sf_dir))
+def q_dock_doors(w):
+    return dock_doors(w)
 
 
-def q_dock_doors_fanout(spark, sf_dir):
-    return dock_doors_fanout(_wms(spark, sf_dir))
+def q_dock_doors_fanout(w):
+    return dock_doors_fanout(w)
 
 
-def q_appointments(spark, sf_dir):
-    return appointments(_wms(spark, sf_dir), APPOINTMENT_AS_OF)
+def q_appointments(w):
+    return appointments(w, APPOINTMENT_AS_OF)
 
 
-def q_appointments_friday(spark, sf_dir):
-    return appointments(_wms(spark, sf_dir), APPOINTMENT_AS_OF_FRIDAY)
+def q_appointments_friday(w):
+    return appointments(w, APPOINTMENT_AS_OF_FRIDAY)
 
 
 # ------------------------------------------------------------ shipments ----
-def q_carrier_fallback(spark, sf_dir):
-    return _wms(spark, sf_dir).shipment.select("shipment_id", carrier_code().alias("carrier_code"))
+def q_carrier_fallback(w):
+    return w.shipment.select("shipment_id", carrier_code().alias("carrier_code"))
 
 
-def q_id_split(spark, sf_dir):
+def q_id_split(w):
     left, right = id_split("tc_shipment_id")
-    return _wms(spark, sf_dir).shipment.select(
+    return w.shipment.select(
         "tc_shipment_id", left.alias("tc_shipment_id_left"), right.alias("tc_shipment_id_right"))
 
 
-def q_time_labels(spark, sf_dir):
-    return _wms(spark, sf_dir).shipment.select("shipment_id", *pickup_labels())
+def q_time_labels(w):
+    return w.shipment.select("shipment_id", *pickup_labels())
 
 
-def q_active_shipments(spark, sf_dir):
-    return active_shipments(_wms(spark, sf_dir).shipment, ACTIVITY_AS_OF).select(
+def q_active_shipments(w):
+    return active_shipments(w.shipment, ACTIVITY_AS_OF).select(
         "shipment_id", "tc_shipment_id", "shipment_status", "pickup_start_dttm")
 
 
-def _typed(spark, sf_dir, fn):
-    w = _wms(spark, sf_dir)
+def _typed(w, fn):
     ids = fn(w.lpn, w.do_orders)
     return w.shipment.join(ids, "shipment_id", "inner").select("shipment_id", "tc_shipment_id")
 
 
-def q_shipments_with_do_type(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_shipments_with_do_type(w):
     ids = shipments_with_order_type(w.lpn, w.do_orders)
     return w.shipment.join(ids, "shipment_id", "left_semi").select("shipment_id", "tc_shipment_id")
 
 
-def q_shipments_with_do_type_distinct(spark, sf_dir):
-    return _typed(spark, sf_dir, shipments_with_order_type_distinct)
+def q_shipments_with_do_type_distinct(w):
+    return _typed(w, shipments_with_order_type_distinct)
 
 
-def q_staging_location(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_staging_location(w):
     return staging_locations(w.shipment, w.locn_hdr)
 
 
-def q_door_assignments(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_door_assignments(w):
     return door_assignments(w.dock_door_ref, w.dock_door)
 
 
-def q_note_tags(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_note_tags(w):
     return attach_notes(w.shipment.select("shipment_id"), w.shipment_note,
                         {"debord": TAG_DETOUR, "users": TAG_USERS, "coch": TAG_ORDER})
 
 
-def q_not_closed_list(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_not_closed_list(w):
     return not_closed_list(w.shipment, w.lpn, ACTIVITY_AS_OF)
 
 
@@ -146,8 +141,8 @@ def _pieces(w, rule=stages.ACTIVITY_RULE):
 
 
 def _counts(segment):
-    def q(spark, sf_dir):
-        return stages.stage_counts(_pieces(_wms(spark, sf_dir)), segment=segment)
+    def q(w):
+        return stages.stage_counts(_pieces(w), segment=segment)
     return q
 
 
@@ -155,124 +150,112 @@ SEGMENT_COLUMNS = [f"{seg}_{c}" for seg in stages.SEGMENTS
                    for c in ("nb_prep", "nb_ancr", "nb_chgt", "prep", "ancr", "chgt", "advancement")]
 
 
-def q_piece_stage_segments(spark, sf_dir):
-    return stages.stage_segments(_pieces(_wms(spark, sf_dir))).select("shipment_id", *SEGMENT_COLUMNS)
+def q_piece_stage_segments(w):
+    return stages.stage_segments(_pieces(w)).select("shipment_id", *SEGMENT_COLUMNS)
 
 
-def q_piece_stage_segments_three_scans(spark, sf_dir):
-    return stages.stage_segments_three_scans(_pieces(_wms(spark, sf_dir))).select("shipment_id", *SEGMENT_COLUMNS)
+def q_piece_stage_segments_three_scans(w):
+    return stages.stage_segments_three_scans(_pieces(w)).select("shipment_id", *SEGMENT_COLUMNS)
 
 
-def q_piece_stage_share(spark, sf_dir):
-    counts = stages.with_shares(stages.stage_counts(_pieces(_wms(spark, sf_dir))))
+def q_piece_stage_share(w):
+    counts = stages.with_shares(stages.stage_counts(_pieces(w)))
     return counts.select("shipment_id", "prep", "ancr", "chgt", F.col("advancement").alias("loading_advancement"),
                          "nb_prep", "nb_ancr", "nb_chgt")
 
 
 # ------------------------------------------------------------ first/last ---
-def q_load_first_last(spark, sf_dir, fn=extremes.load_first_last):
-    w = _wms(spark, sf_dir)
+def q_load_first_last(w, fn=extremes.load_first_last):
     return fn(w.prod_trkg_tran, w.ucl_user)
 
 
-def q_lock_first_last(spark, sf_dir, fn=extremes.lock_first_last):
-    w = _wms(spark, sf_dir)
+def q_lock_first_last(w, fn=extremes.lock_first_last):
     return fn(w.lpn, w.lpn_lock, w.ucl_user)
 
 
 # ----------------------------------------------------------------- dock ----
-def q_shipment_stops(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_shipment_stops(w):
     return shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias).select(
         "shipment_id", "dock_door_name", "stop_seq", "facility_alias_id", "city")
 
 
-def q_stop_stage_counts(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_stop_stage_counts(w):
     return stop_stage_counts(w.lpn, w.locn_hdr)
 
 
 def _percentage(fn):
-    def q(spark, sf_dir):
-        w = _wms(spark, sf_dir)
+    def q(w):
         rows = shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias)
         return fn(rows, w.lpn, ["shipment_id", "dock_door_name", "stop_seq"])
     return q
 
 
-def q_loaded_weight(spark, sf_dir):
-    return loaded_weight(_wms(spark, sf_dir).lpn)
+def q_loaded_weight(w):
+    return loaded_weight(w.lpn)
 
 
 # --------------------------------------------------------- appointments ----
-def q_appointment_window(spark, sf_dir, as_of=APPOINTMENT_AS_OF):
-    a = _wms(spark, sf_dir).ilm_appointments
+def q_appointment_window(w, as_of=APPOINTMENT_AS_OF):
+    a = w.ilm_appointments
     return a.filter(business_day_window("scheduled_dttm", as_of)).select("appointment_id", "scheduled_dttm")
 
 
-def q_appointment_window_friday(spark, sf_dir):
-    return q_appointment_window(spark, sf_dir, APPOINTMENT_AS_OF_FRIDAY)
+def q_appointment_window_friday(w):
+    return q_appointment_window(w, APPOINTMENT_AS_OF_FRIDAY)
 
 
-def q_po_priority(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_po_priority(w):
     po = w.purchase_orders.select("purchase_orders_id")
     j = po.join(w.purchase_orders_note, "purchase_orders_id", "left")
     return j.select("purchase_orders_id", "note", po_priority(F.col("note")).alias("purchase_orders_priority"))
 
 
-def _split(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def _split(w):
     return po_split_for(w, w.ilm_appointment_objects, restrict=False)
 
 
-def q_po_split(spark, sf_dir):
-    return _split(spark, sf_dir)
+def q_po_split(w):
+    return _split(w)
 
 
-def q_po_lists(spark, sf_dir):
-    return po_lists(_split(spark, sf_dir))
+def q_po_lists(w):
+    return po_lists(_split(w))
 
 
-def q_appointment_po_rollup(spark, sf_dir):
-    return appointment_po_rollup(_split(spark, sf_dir))
+def q_appointment_po_rollup(w):
+    return appointment_po_rollup(_split(w))
 
 
-def q_eav_attributes(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_eav_attributes(w):
     return attach_attributes(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute)
 
 
 UNIQUE_ATTRIBUTES = {k: v for k, v in REPORT_ATTRIBUTES.items() if k != "cust_comments"}
 
 
-def q_eav_attributes_pivot(spark, sf_dir):
+def q_eav_attributes_pivot(w):
     """Pivot of the attributes that are stored once per appointment; checked
     first, with the join form as the fallback."""
-    w = _wms(spark, sf_dir)
     attrs, appts = w.ilm_appt_custom_attribute, w.ilm_appointments.select("appointment_id")
     if attributes_are_unique(attrs, UNIQUE_ATTRIBUTES.values()):
         return appts.join(pivot_attributes(attrs, UNIQUE_ATTRIBUTES), "appointment_id", "left")
     return attach_attributes(appts, attrs, UNIQUE_ATTRIBUTES)
 
 
-def q_eav_quantities(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_eav_quantities(w):
     j = attach_attributes(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute,
                           {"nb_pal": "NB_PALETTE", "nb_package": "NBR_COLIS"})
     return j.select("appointment_id", zero_if_null_decimal("nb_pal").alias("nb_palette"),
                     zero_if_null_decimal("nb_package").alias("nb_package"))
 
 
-def q_dock_pole(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_dock_pole(w):
     j = w.ilm_appt_slots.join(w.slots, "slot_id", "left")
     return j.select("appointment_id", "slot_id", F.col("description").alias("dock_group"),
                     dock_pole(F.col("description")).alias("dock_pole"))
 
 
-def q_appointment_eligibility(spark, sf_dir):
-    w = _wms(spark, sf_dir)
+def q_appointment_eligibility(w):
     rollup = appointment_po_rollup(po_split_for(w, w.ilm_appointment_objects, restrict=False))
     base = w.ilm_appointments.select("appointment_id").join(rollup, "appointment_id", "left")
     base = attach_attributes(base, w.ilm_appt_custom_attribute, {"nb_pal": "NB_PALETTE", "nb_package": "NBR_COLIS"})
@@ -285,18 +268,18 @@ def q_appointment_eligibility(spark, sf_dir):
                     F.col("nb_pal"), F.col("nb_package"), F.col("nb_lines")).alias("eligible"))
 
 
-def q_trailer_tasks(spark, sf_dir):
-    return appointment_timeline(_wms(spark, sf_dir))
+def q_trailer_tasks(w):
+    return appointment_timeline(w)
 
 
-def q_elapsed_minutes(spark, sf_dir):
-    t = appointment_timeline(_wms(spark, sf_dir))
+def q_elapsed_minutes(w):
+    t = appointment_timeline(w)
     return t.select("appointment_id", "trailer_id", "checkin_dttm", "min_task",
                     minutes_of_day_since(APPOINTMENT_AS_OF, "checkin_dttm").alias("checkin_dttm_gap"),
                     minutes_since(APPOINTMENT_AS_OF, "min_task").alias("start_dttm_gap"))
 
 
-QUERIES: dict[str, QueryFn] = {
+WMS_QUERIES: dict[str, WmsQueryFn] = {
     # reports
     "shipment_activity": q_shipment_activity,
     "dock_doors": q_dock_doors,
@@ -336,10 +319,10 @@ QUERIES: dict[str, QueryFn] = {
     "elapsed_minutes": q_elapsed_minutes,
     "time_labels": q_time_labels,
     # rewrite forms (same rows as their base query)
-    "load_first_last_selfjoin": lambda s, d: q_load_first_last(s, d, extremes.load_first_last_selfjoin),
-    "load_first_last_window": lambda s, d: q_load_first_last(s, d, extremes.load_first_last_window),
-    "lock_first_last_selfjoin": lambda s, d: q_lock_first_last(s, d, extremes.lock_first_last_selfjoin),
-    "lock_first_last_window": lambda s, d: q_lock_first_last(s, d, extremes.lock_first_last_window),
+    "load_first_last_selfjoin": lambda w: q_load_first_last(w, extremes.load_first_last_selfjoin),
+    "load_first_last_window": lambda w: q_load_first_last(w, extremes.load_first_last_window),
+    "lock_first_last_selfjoin": lambda w: q_lock_first_last(w, extremes.lock_first_last_selfjoin),
+    "lock_first_last_window": lambda w: q_lock_first_last(w, extremes.lock_first_last_window),
     "load_percentage_fanout": _percentage(load_percentage_fanout),
     "piece_stage_segments_three_scans": q_piece_stage_segments_three_scans,
     "eav_attributes_pivot": q_eav_attributes_pivot,
@@ -347,6 +330,17 @@ QUERIES: dict[str, QueryFn] = {
     "dock_doors_fanout": q_dock_doors_fanout,
 }
 
+
+
+def _on_testdata(fn: WmsQueryFn) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(_wms(spark, sf_dir))
+
+    return run
+
+
+QUERIES: dict[str, QueryFn] = {name: _on_testdata(fn) for name, fn in WMS_QUERIES.items()}
+
 # Rewrite form -> the query whose rows it must reproduce.
 REWRITE_OF = {
     "load_first_last_selfjoin": "load_first_last",

@@ -11,10 +11,10 @@ The driving set (active shipments) is tiny compared with the piece, tracking
 and lock tables, so every large input is first cut to the rows of those
 shipments with a LEFT SEMI join (``restrict_to``): the big table is streamed
 against a hash table of the driving keys instead of being aggregated whole
-and shuffled.  The driving sets that several branches reuse (watched
-shipments, their pieces, the typed shipments, their notes) are written once
-to the checkpoint folder (``materialize``), so ``lpn``, ``do_orders`` and
-``shipment_note`` are each read once and the plan stays small.  Stage
+and shuffled.  The driving sets that several branches reuse (the pieces of
+the watched shipments, the typed shipments) are written once to the
+checkpoint folder (``materialize``), so ``lpn`` and ``do_orders`` are each
+read once and the plan stays small.  Stage
 counts of all three segments come from one aggregation; first/last events
 use the skew-safe extreme join; the one-row not-closed list is attached by a
 broadcast of exactly one row.
@@ -82,9 +82,11 @@ def watched_shipments(w: Wms, as_of: AsOf) -> DataFrame:
 
 
 def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -> DataFrame:
-    # Driving sets, each computed once and read back from the checkpoint
-    # folder: every large table below is then scanned exactly once.
-    watched = materialize(watched_shipments(w, as_of), "watched")
+    # Driving sets.  ``watched`` is a filtered scan of ``shipment`` (pushed
+    # down, cheap to repeat); the pieces and the typed shipments are computed
+    # once and read back from the checkpoint folder, so ``lpn`` and
+    # ``do_orders`` are each scanned exactly once.
+    watched = watched_shipments(w, as_of)
     pieces = materialize(restrict_to(w.lpn.select(*PIECE_COLUMNS), watched, "shipment_id"), "pieces")
     active = watched.filter(F.col("_active")).drop("_active")
     typed_orders = restrict_to(w.do_orders.filter(F.col("do_type") == order_type), pieces, "order_id")
@@ -97,7 +99,7 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
     locks = lock_first_last(ship_pieces, w.lpn_lock, w.ucl_user)
     doors = door_assignments(restrict_to(w.dock_door_ref, ships, "shipment_id"), w.dock_door) \
         .select("shipment_id", "dock_door")
-    notes = materialize(restrict_to(w.shipment_note, ships, "shipment_id"), "notes")
+    notes = restrict_to(w.shipment_note, ships, "shipment_id")
     not_closed = not_closed_list(watched.drop("_active"), pieces, as_of)
 
     loc = w.locn_hdr.select("locn_id", "aisle", "lvl")

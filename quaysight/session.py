@@ -55,6 +55,9 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", os.environ.get("QUAYSIGHT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Column call-site capture for error messages costs ~5 driver<->JVM
+        # round trips per column function; reports build hundreds of them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)

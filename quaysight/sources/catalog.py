@@ -42,6 +42,18 @@ class Wms:
         except KeyError as exc:
             raise AttributeError(str(exc)) from None
 
+    def stage(self, root: str, names=TABLE_NAMES) -> "Wms":
+        """Write the tables to ``root/<table>`` as parquet and return a
+        ``Wms`` reading them (e.g. to turn the test-data derivation into
+        stored tables, as a warehouse extract would be)."""
+        root = root.rstrip("/")
+        spark = None
+        for name in names:
+            df = self.table(name)
+            spark = df.sparkSession
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return Wms.from_parquet(spark, root)
+
     # -- constructors -------------------------------------------------------
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Wms":

@@ -419,7 +419,6 @@ def _queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["shipment_activity"] = shipment_activity_sql(act)
     q["dock_doors"] = dock_doors_sql()
-    q["dock_doors_fanout"] = q["dock_doors"]
     q["appointments"] = appointments_sql(APPOINTMENT_AS_OF)
     q["appointments_friday"] = appointments_sql(APPOINTMENT_AS_OF_FRIDAY)
 
@@ -467,7 +466,6 @@ def _queries() -> dict[str, str]:
                            + shipment_stops_rows())
     q["stop_stage_counts"] = stop_stage_counts_sql()
     q["load_percentage"] = load_percentage_sql()
-    q["load_percentage_fanout"] = q["load_percentage"]
     q["loaded_weight"] = ("SELECT tc_shipment_id, sum(estimated_weight) AS weight FROM w_lpn "
                           "WHERE lpn_facility_status = 50 AND tc_shipment_id IS NOT NULL GROUP BY tc_shipment_id")
 

@@ -15,11 +15,13 @@ event; ties give several users.
 
 Plans
 -----
-``*_first_last`` (default) - skew-safe: the extremes come from a partial
-    (map-side combined) aggregation, then events are equi-joined to the
-    extremes on (group key, time).  The shuffle is hashed on key AND time, so a
-    group holding a third of all events is spread over many tasks; only events
-    that sit exactly on an extreme survive the join.
+``*_first_last`` (default) - skew-safe: one scan of the events, reduced by a
+    map-side combined aggregation to distinct (key, time, user) candidates
+    (locks: one row per (key, time)); the extremes are a partial aggregation
+    of those, and candidates are equi-joined to the extremes on (key, time).
+    Every shuffle is hashed on key AND time, so a group holding a third of
+    all events is spread over many tasks, and its repeated events collapse
+    before they are shuffled.
 ``*_first_last_selfjoin`` - the source shape: the extreme aggregate joined
     back to the events twice (min side, max side), grouped, then joined.
 ``*_first_last_window`` - ``rank()`` / ``min().over`` per group; one shuffle
@@ -60,6 +62,12 @@ def load_events(prod_trkg_tran: DataFrame, menu_option: str = LOAD_MENU_OPTION)
         F.col("ref_field_1").alias("tc_shipment_id"), F.col("create_date_time"), F.col("user_id"))
 
 
+def _attach_names(events: DataFrame, user_col: str, users: DataFrame) -> DataFrame:
+    """LEFT JOIN the user table: ``_known`` tells whether the user exists."""
+    u = _known_users(users).withColumn("_known", F.lit(True))
+    return events.join(u, events[user_col] == u.user_name, "left").drop("user_name")
+
+
 def load_first_last(prod_trkg_tran: DataFrame, ucl_user: DataFrame,
                     menu_option: str = LOAD_MENU_OPTION) -> DataFrame:
     """(tc_shipment_id, start_of_loading, last_loader), skew-safe plan.
@@ -67,16 +75,22 @@ def load_first_last(prod_trkg_tran: DataFrame, ucl_user: DataFrame,
     One row per proper-cased last loader; a shipment code whose first load
     was made by an unknown user has no row; when no known user made the last
     load the row carries a NULL last_loader.
+
+    One scan of the tracking table, reduced at once to the distinct
+    (code, time, known?, loader) candidates by a map-side combined
+    aggregation - repeated scans of one code at one time by one user collapse
+    before any shuffle.  The extremes come from those candidates, and only
+    candidates sitting on an extreme are kept (equi-join on code and time).
     """
-    ev = load_events(prod_trkg_tran, menu_option)
-    ext = _extreme_times(ev, "tc_shipment_id", "create_date_time")
-    known = ev.join(_known_users(ucl_user), ev.user_id == F.col("user_name"), "inner")
-    at_ext = known.join(ext, ["tc_shipment_id", "create_date_time"], "inner")
+    ev = _attach_names(load_events(prod_trkg_tran, menu_option), "user_id", ucl_user)
+    cand = ev.select(
+        "tc_shipment_id", "create_date_time", F.coalesce(F.col("_known"), F.lit(False)).alias("_known"),
+        proper_name("user_first_name").alias("last_loader")).distinct()
+    ext = _extreme_times(cand, "tc_shipment_id", "create_date_time")
+    at_ext = cand.filter(F.col("_known")).join(ext, ["tc_shipment_id", "create_date_time"], "inner")
     first = (at_ext.filter(F.col("side") == "first")
              .groupBy("tc_shipment_id").agg(F.min("create_date_time").alias("start_of_loading")))
-    last = (at_ext.filter(F.col("side") == "last")
-            .select("tc_shipment_id", proper_name("user_first_name").alias("last_loader"))
-            .distinct())
+    last = at_ext.filter(F.col("side") == "last").select("tc_shipment_id", "last_loader").distinct()
     return first.join(last, "tc_shipment_id", "left").select(
         "tc_shipment_id", "start_of_loading", "last_loader")
 
@@ -148,11 +162,19 @@ def lock_first_last(lpn: DataFrame, lpn_lock: DataFrame, ucl_user: DataFrame,
                     lock_code: str = OPEN_LOCK_CODE) -> DataFrame:
     """Per shipment: first / last open-lock time and the smallest user name at
     each, skew-safe plan.  A side whose extreme was set only by unknown users
-    reads NULL; a shipment with neither side known has no row."""
-    ev = lock_events(lpn, lpn_lock, lock_code)
-    ext = _extreme_times(ev, "shipment_id", "created_dttm")
-    known = ev.join(_known_users(ucl_user), ev.created_source == F.col("user_name"), "inner")
-    at_ext = known.join(ext, ["shipment_id", "created_dttm"], "inner")
+    reads NULL; a shipment with neither side known has no row.
+
+    The locks are first reduced to one row per (shipment, time) - the
+    smallest known user name there and whether any known user is there - by
+    a map-side combined aggregation; the extremes and the final answer come
+    from that much smaller table with a one-to-one join on (shipment, time).
+    """
+    ev = _attach_names(lock_events(lpn, lpn_lock, lock_code), "created_source", ucl_user)
+    per_time = ev.groupBy("shipment_id", "created_dttm").agg(
+        F.min(F.when(F.col("_known"), F.col("user_first_name"))).alias("user_first_name"),
+        F.max(F.coalesce(F.col("_known"), F.lit(False))).alias("_known"))
+    ext = _extreme_times(per_time, "shipment_id", "created_dttm")
+    at_ext = per_time.filter(F.col("_known")).join(ext, ["shipment_id", "created_dttm"], "inner")
     return _lock_summary(at_ext).select(*LOCK_COLUMNS)
 
 

@@ -4,16 +4,18 @@ Per (appointment, trailer type, seal, check-in, check-out, yard location,
 trailer): the first task created for the trailer at or after check-in and the
 last task update after it (NULL when it equals that first creation).
 
-Plan: the timeline only depends on (trailer_id, checkin_dttm), so the
-equi + range join to the task log (same trailer, ``checkin <= created``) runs
-once per distinct (trailer, check-in) and is aggregated there, then joined
-back to the visit rows.  The task log is streamed once; a NULL check-in or
-trailer finds no task, as in the source query.
+Plan: the timeline only depends on (trailer_id, checkin_dttm), so it is
+computed once per distinct (trailer, check-in) and joined back to the visit
+rows.  The source's equi + range join (same trailer, ``checkin <= created``)
+would pair every check-in with every later task of the trailer; instead
+``task_spans`` runs a sorted suffix MIN/MAX over the trailer's time line cut
+into day slices (no pairs, and a busy trailer is split across tasks).  A NULL
+check-in or trailer finds no task, as in the source query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TIMELINE_KEYS = ("appointment_id", "type", "seal_number", "checkin_dttm", "checkout_dttm",
@@ -30,8 +32,61 @@ def visit_rows(detail: DataFrame, visit: DataFrame, trailer_ref: DataFrame, locn
             .join(loc, F.col("current_location_id") == loc.locn_id, "left"))
 
 
-def task_spans(spans: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(trailer_id, checkin_dttm, min_task, _max_update) for the distinct spans."""
+def task_spans(spans: DataFrame, tasks: DataFrame, bucket: str = "day") -> DataFrame:
+    """(trailer_id, checkin_dttm, min_task, _max_update) for the distinct spans:
+    MIN(created) and MAX(last_updated) over the trailer's tasks created at or
+    after check-in - computed without pairing spans with tasks.
+
+    Per trailer the tasks form a time line.  It is cut into ``bucket`` slices
+    (a day by default), so even a trailer holding a third of all tasks is
+    spread over many tasks:
+
+    * inside the check-in's slice, a running MIN/MAX over the slice sorted by
+      time, latest first (tasks before check-ins on a tie, since
+      ``checkin <= created`` admits equal times), gives the part of the answer
+      from that slice;
+    * the slices after it contribute their whole-slice MIN/MAX: one row per
+      (trailer, slice) from a map-side combined aggregation, accumulated
+      over the later slices with a running window on that small table.
+    """
+    t = F.col("_t")
+    task_rows = tasks.select(
+        "trailer_id", F.col("created_dttm").alias("_t"), F.lit(0).alias("_kind"),
+        "created_dttm", "last_updated_dttm", F.date_trunc(bucket, "created_dttm").alias("_slice"))
+    span_rows = spans.select(
+        "trailer_id", F.col("checkin_dttm").alias("_t"), F.lit(1).alias("_kind"),
+        F.lit(None).cast("timestamp_ntz").alias("created_dttm"),
+        F.lit(None).cast("timestamp_ntz").alias("last_updated_dttm"),
+        F.date_trunc(bucket, "checkin_dttm").alias("_slice"))
+    in_slice = Window.partitionBy("trailer_id", "_slice").orderBy(t.desc(), F.col("_kind").asc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (task_rows.unionByName(span_rows)
+             .select("trailer_id", "_slice", "_kind", t.alias("checkin_dttm"),
+                     F.min("created_dttm").over(in_slice).alias("_local_min"),
+                     F.max("last_updated_dttm").over(in_slice).alias("_local_max"))
+             .filter(F.col("_kind") == 1).drop("_kind"))
+
+    per_slice = tasks.groupBy("trailer_id", F.date_trunc(bucket, "created_dttm").alias("_slice")).agg(
+        F.min("created_dttm").alias("_slice_min"), F.max("last_updated_dttm").alias("_slice_max"))
+    span_slices = spans.select("trailer_id", F.date_trunc(bucket, "checkin_dttm").alias("_slice")).distinct()
+    later = Window.partitionBy("trailer_id").orderBy(F.col("_slice").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = (per_slice.join(span_slices, ["trailer_id", "_slice"], "full")
+             .select("trailer_id", "_slice",
+                     F.min("_slice_min").over(later).alias("_after_min"),
+                     F.max("_slice_max").over(later).alias("_after_max")))
+
+    out = local.join(carry, ["trailer_id", "_slice"], "left")
+    return out.select(
+        "trailer_id", "checkin_dttm",
+        F.least("_local_min", "_after_min").alias("min_task"),
+        F.greatest("_local_max", "_after_max").alias("_max_update"))
+
+
+def task_spans_range_join(spans: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Source shape (same trailer AND checkin <= created, then MIN/MAX).  It
+    pairs every check-in with every later task of its trailer, so it is kept
+    only as the reference for tests on small fixtures."""
     t = tasks.select(F.col("trailer_id").alias("_t_trailer"), "created_dttm", "last_updated_dttm")
     j = spans.join(t, (spans.trailer_id == t._t_trailer) & (spans.checkin_dttm <= t.created_dttm), "inner")
     return j.groupBy("trailer_id", "checkin_dttm").agg(
@@ -39,11 +94,11 @@ def task_spans(spans: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def trailer_tasks(detail: DataFrame, visit: DataFrame, trailer_ref: DataFrame,
-                  locn_hdr: DataFrame, tasks: DataFrame) -> DataFrame:
+                  locn_hdr: DataFrame, tasks: DataFrame, spans_fn=task_spans) -> DataFrame:
     groups = visit_rows(detail, visit, trailer_ref, locn_hdr).select(*TIMELINE_KEYS).distinct()
     spans = (groups.select("trailer_id", "checkin_dttm")
              .filter(F.col("trailer_id").isNotNull() & F.col("checkin_dttm").isNotNull()).distinct())
-    timeline = task_spans(spans, tasks)
+    timeline = spans_fn(spans, tasks)
     out = groups.join(timeline, ["trailer_id", "checkin_dttm"], "left")
     return out.select(*TIMELINE_KEYS, "min_task",
                       F.nullif(F.col("_max_update"), F.col("min_task")).alias("max_task"))

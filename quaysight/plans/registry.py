@@ -19,7 +19,6 @@ from quaysight.operators import extremes, stages
 from quaysight.operators.appointments import dock_pole, eligibility
 from quaysight.operators.dock import (
     load_percentage,
-    load_percentage_fanout,
     loaded_weight,
     shipment_stops,
     stop_stage_counts,
@@ -39,7 +38,7 @@ from quaysight.operators.shipments import (
     staging_locations,
 )
 from quaysight.plans.appointments import appointment_timeline, appointments, po_split_for
-from quaysight.plans.dock_doors import dock_doors, dock_doors_fanout
+from quaysight.plans.dock_doors import dock_doors
 from quaysight.plans.shipment_activity import shipment_activity
 from quaysight.sources.catalog import Wms
 
@@ -72,10 +71,6 @@ def q_dock_doors(w):
     return dock_doors(w)
 
 
-def q_dock_doors_fanout(w):
-    return dock_doors_fanout(w)
-
-
 def q_appointments(w):
     return appointments(w, APPOINTMENT_AS_OF)
 
@@ -323,11 +318,9 @@ WMS_QUERIES: dict[str, WmsQueryFn] = {
     "load_first_last_window": lambda w: q_load_first_last(w, extremes.load_first_last_window),
     "lock_first_last_selfjoin": lambda w: q_lock_first_last(w, extremes.lock_first_last_selfjoin),
     "lock_first_last_window": lambda w: q_lock_first_last(w, extremes.lock_first_last_window),
-    "load_percentage_fanout": _percentage(load_percentage_fanout),
     "piece_stage_segments_three_scans": q_piece_stage_segments_three_scans,
     "eav_attributes_pivot": q_eav_attributes_pivot,
     "shipments_with_do_type_distinct": q_shipments_with_do_type_distinct,
-    "dock_doors_fanout": q_dock_doors_fanout,
 }
 
 
@@ -341,14 +334,16 @@ def _on_testdata(fn: WmsQueryFn) -> QueryFn:
 
 QUERIES: dict[str, QueryFn] = {name: _on_testdata(fn) for name, fn in WMS_QUERIES.items()}
 
-# Rewrite form -> the query whose rows it must reproduce.
+# Rewrite form -> the query whose rows it must reproduce.  The source's
+# fan-out forms (every report row joined to every piece of its shipment, every
+# check-in to every later task of its trailer) are not registered: they emit
+# all pairs within a group.  tests/test_rewrites.py checks them against the
+# registered plans on the small fixture.
 REWRITE_OF = {
     "load_first_last_selfjoin": "load_first_last",
     "load_first_last_window": "load_first_last",
     "lock_first_last_selfjoin": "lock_first_last",
     "lock_first_last_window": "lock_first_last",
-    "load_percentage_fanout": "load_percentage",
     "piece_stage_segments_three_scans": "piece_stage_segments",
     "shipments_with_do_type_distinct": "shipments_with_do_type",
-    "dock_doors_fanout": "dock_doors",
 }

@@ -112,3 +112,51 @@ def test_po_split_weights_equal_fanout(spark):
         (2, 40, None, None, 6, 8, 1),
         (3, 40, None, None, None, 8, 1),
     ], key=str)
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_fanout_forms_equal_preaggregated(spark):
+    """The source's fan-out shapes (all pairs) against the registered plans,
+    on the small fixture only."""
+    from quaysight.operators.dock import load_percentage, load_percentage_fanout, shipment_stops
+    from quaysight.operators.trailers import task_spans_range_join, trailer_tasks
+    from quaysight.plans.dock_doors import dock_doors, dock_doors_fanout
+    from quaysight.sources import Wms
+    from tests.conftest import SMALL
+
+    w = Wms.from_testdata(spark, SMALL)
+    rows = shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias)
+    keys = ["shipment_id", "dock_door_name", "stop_seq"]
+    assert _rows(load_percentage(rows, w.lpn, keys)) == _rows(load_percentage_fanout(rows, w.lpn, keys))
+    assert _rows(dock_doors(w, ordered=False)) == _rows(dock_doors_fanout(w, ordered=False))
+    args = (w.trailer_visit_detail, w.trailer_visit, w.trailer_ref, w.locn_hdr, w.ilm_tasks)
+    assert _rows(trailer_tasks(*args)) == _rows(trailer_tasks(*args, spans_fn=task_spans_range_join))
+
+
+def test_task_spans_ties_and_slices(spark):
+    from quaysight.operators.trailers import task_spans, task_spans_range_join
+
+    d = dt.datetime
+    spans = spark.createDataFrame([
+        (1, d(2024, 1, 1, 8)), (1, d(2024, 1, 1, 23, 59)), (1, d(2024, 1, 3, 0)), (2, d(2024, 1, 2, 5)),
+        (3, d(2024, 1, 1, 1)),
+    ], "trailer_id long, checkin_dttm timestamp_ntz")
+    tasks = spark.createDataFrame([
+        (1, d(2024, 1, 1, 8), d(2024, 1, 1, 8)),        # equal to a check-in: counted
+        (1, d(2024, 1, 1, 9), d(2024, 1, 4, 0)),        # late update
+        (1, d(2024, 1, 2, 10), d(2024, 1, 2, 11)),      # next day slice
+        (1, d(2024, 1, 1, 7), d(2024, 1, 9, 0)),        # before every check-in: never counted
+        (2, d(2024, 1, 1, 5), d(2024, 1, 1, 6)),        # trailer 2 only has an earlier task
+        (1, None, d(2024, 1, 5, 0)),                    # NULL creation never matches
+        (None, d(2024, 1, 1, 9), d(2024, 1, 1, 9)),     # NULL trailer never matches
+    ], "trailer_id long, created_dttm timestamp_ntz, last_updated_dttm timestamp_ntz")
+    got = _rows(task_spans(spans, tasks))
+    assert got == _rows(task_spans_range_join(spans, tasks).unionByName(
+        spark.createDataFrame([(2, d(2024, 1, 2, 5), None, None), (1, d(2024, 1, 3, 0), None, None),
+                               (3, d(2024, 1, 1, 1), None, None)],
+                              "trailer_id long, checkin_dttm timestamp_ntz, min_task timestamp_ntz, "
+                              "_max_update timestamp_ntz")))
+    assert (1, d(2024, 1, 1, 8), d(2024, 1, 1, 8), d(2024, 1, 4, 0)) in got

@@ -27,9 +27,10 @@ REPORTS = ["shipment_activity", "dock_doors", "appointments", "appointments_frid
 OPERATORS = [
     "load_first_last", "load_first_last_selfjoin", "load_first_last_window",
     "lock_first_last", "lock_first_last_selfjoin", "lock_first_last_window",
-    "load_percentage", "load_percentage_fanout",
     "piece_stage_segments", "piece_stage_segments_three_scans",
-    "appointment_po_rollup", "trailer_tasks", "stop_stage_counts", "not_closed_list",
+    "shipments_with_do_type", "shipments_with_do_type_distinct",
+    "eav_attributes", "eav_attributes_pivot",
+    "load_percentage", "appointment_po_rollup", "trailer_tasks", "stop_stage_counts", "not_closed_list",
 ]
 
 

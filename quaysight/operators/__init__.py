@@ -39,5 +39,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quaysight-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # A filtered scan of a big table keeps one partition per input split;
+    # REBALANCE lets AQE merge them to the advisory size (and split skewed
+    # ones), so the folder holds a few right-sized files, not thousands.
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

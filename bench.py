@@ -4,7 +4,8 @@ Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
 (default 8), BENCH_RUNS (timed runs per query after one warm-up, default 3).
 
 1. The 27 warehouse tables are derived from the test data and staged once as
-   parquet in the session's checkpoint folder (time: ``stage_seconds``) -
+   parquet in the session's checkpoint folder (time: ``stage_seconds``;
+   a few-MB table is one file, as it would be in a store) -
    the reports then read stored tables, as they do in production, with
    filter pushdown into the scans.
 2. Each query is built and executed into Spark's ``noop`` sink (nothing is

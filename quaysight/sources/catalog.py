@@ -42,15 +42,19 @@ class Wms:
         except KeyError as exc:
             raise AttributeError(str(exc)) from None
 
-    def stage(self, root: str, names=TABLE_NAMES) -> "Wms":
+    def stage(self, root: str, names=TABLE_NAMES, files: int | None = None) -> "Wms":
         """Write the tables to ``root/<table>`` as parquet and return a
         ``Wms`` reading them (e.g. to turn the test-data derivation into
-        stored tables, as a warehouse extract would be)."""
+        stored tables, as a warehouse extract would be).  ``files`` spreads
+        each table over that many files, as a stored table would be, so that
+        its scans can run in parallel."""
         root = root.rstrip("/")
         spark = None
         for name in names:
             df = self.table(name)
             spark = df.sparkSession
+            if files:
+                df = df.repartition(files)
             df.write.mode("overwrite").parquet(f"{root}/{name}")
         return Wms.from_parquet(spark, root)
 

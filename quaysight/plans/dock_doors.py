@@ -11,7 +11,10 @@ and computes the percentage in the final GROUP BY.  Here the pieces are
 summed per shipment first (``load_percentage``, exact - see its docstring),
 so the fan-out of pieces x notes x stops is never materialised.  Per
 destination stage counts for both container segments come from a single
-aggregation.
+aggregation.  Open shipments (status < 80) are a small, recent part of the
+shipment history, so pieces, weights and notes are first cut to them
+(LEFT SEMI joins streaming the big tables), and the open pieces are written
+once and read by both the stage counts and the loaded totals.
 """
 
 from __future__ import annotations
@@ -20,7 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.clock import MASK_DAY_MONTH, MASK_DAY_MONTH_YEAR_TIME, MASK_TIME, to_char
-from quaysight.operators.dock import load_percentage, load_percentage_fanout, loaded_weight, shipment_stops, stop_stage_counts
+from quaysight.operators import materialize, restrict_to
+from quaysight.operators.dock import (
+    OPEN_STATUS_BELOW,
+    load_percentage,
+    load_percentage_fanout,
+    loaded_weight,
+    shipment_stops,
+    stop_stage_counts,
+)
 from quaysight.operators.notes import TAG_ADDITION, TAG_ORDER, attach_notes
 from quaysight.operators.shipments import id_split
 from quaysight.sources.catalog import Wms
@@ -34,14 +45,33 @@ DOCK_COLUMNS = (
 GROUP_COLUMNS = [c for c in DOCK_COLUMNS if c != "percentage"]
 
 
-def dock_rows(w: Wms) -> DataFrame:
-    """All report rows before the final grouping, with the shipment key."""
+PIECE_COLUMNS = ("shipment_id", "d_facility_alias_id", "lpn_facility_status", "container_type", "curr_sub_locn_id")
+
+
+def open_pieces(w: Wms) -> DataFrame:
+    """Pieces of open shipments, written once: stage counts and loaded totals
+    both read them, and ``lpn`` (every piece ever shipped) is scanned once."""
+    open_ids = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW).select("shipment_id")
+    return materialize(restrict_to(w.lpn.select(*PIECE_COLUMNS), open_ids, "shipment_id"), "open_pieces")
+
+
+def dock_rows(w: Wms, pieces: DataFrame | None = None) -> DataFrame:
+    """All report rows before the final grouping, with the shipment key.
+
+    Every piece-level input is cut to the open shipments first: the pieces by
+    shipment id, the loaded weight by shipment code (the source joins weight
+    on the code), the notes by shipment id.
+    """
+    open_ships = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW)
     rows = shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias)
-    counts = stop_stage_counts(w.lpn, w.locn_hdr).withColumnRenamed("shipment_id", "_c_shipment_id")
+    counts = stop_stage_counts(pieces if pieces is not None else open_pieces(w), w.locn_hdr) \
+        .withColumnRenamed("shipment_id", "_c_shipment_id")
     rows = rows.join(counts, (rows.shipment_id == counts._c_shipment_id)
                      & (rows.facility_alias_id == counts.d_facility_alias_id), "left")
-    rows = rows.join(loaded_weight(w.lpn), "tc_shipment_id", "left")
-    rows = attach_notes(rows, w.shipment_note, {"note_ordre": TAG_ORDER, "note_rajout": TAG_ADDITION})
+    weights = loaded_weight(restrict_to(w.lpn, open_ships, "tc_shipment_id"))
+    rows = rows.join(weights, "tc_shipment_id", "left")
+    notes = restrict_to(w.shipment_note, open_ships, "shipment_id")
+    rows = attach_notes(rows, notes, {"note_ordre": TAG_ORDER, "note_rajout": TAG_ADDITION})
     left, right = id_split("tc_shipment_id")
     ts = F.col("pickup_start_dttm")
     return rows.select(
@@ -65,9 +95,11 @@ def _finish(grouped: DataFrame, ordered: bool) -> DataFrame:
 
 
 def dock_doors(w: Wms, ordered: bool = True) -> DataFrame:
-    return _finish(load_percentage(dock_rows(w), w.lpn, GROUP_COLUMNS), ordered)
+    pieces = open_pieces(w)
+    return _finish(load_percentage(dock_rows(w, pieces), pieces, GROUP_COLUMNS), ordered)
 
 
 def dock_doors_fanout(w: Wms, ordered: bool = True) -> DataFrame:
-    """Source shape of the percentage (pieces joined to every row)."""
+    """Source shape of the percentage (pieces joined to every row); it pairs
+    every report row with every piece of its shipment - tests only."""
     return _finish(load_percentage_fanout(dock_rows(w), w.lpn, GROUP_COLUMNS), ordered)

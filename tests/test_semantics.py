@@ -142,3 +142,16 @@ def test_eligibility_case(spark):
     df = spark.createDataFrame(rows, schema)
     e = eligibility(F.col("r"), F.col("c"), F.col("d"), F.col("pal"), F.col("pack"), F.col("n"))
     assert [r[0] for r in df.select(e).collect()] == [0, 0, 0, 1, 1, 0, 0, 0]
+
+
+def test_dock_order_nulls_like_source(spark):
+    """ORDER BY door ASC (NULLs last), stop DESC (NULLs first)."""
+    from quaysight.plans.dock_doors import DOCK_COLUMNS, _finish
+
+    rows = [("Q002", 3), (None, 5), ("Q001", None), ("Q001", 2), ("Q001", 4), (None, None)]
+    df = spark.createDataFrame(rows, "porte_de_quai string, arret int")
+    for c in DOCK_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    got = [(r.porte_de_quai, r.arret) for r in _finish(df, ordered=True).collect()]
+    assert got == [("Q001", None), ("Q001", 4), ("Q001", 2), ("Q002", 3), (None, None), (None, 5)]

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 
 from quaysight.session import ensure_checkpoint_dir
 
+# Folders written by ``materialize`` in this driver process (see
+# ``drop_materialized``).
+_WRITTEN: list[str] = []
+
 
 def restrict_to(big: DataFrame, keys: DataFrame, big_col: str, key_col: str | None = None) -> DataFrame:
     """Rows of ``big`` whose ``big_col`` appears in ``keys[key_col]``.
@@ -40,7 +44,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quaysight-{name}-{uuid.uuid4().hex}"
     # A filtered scan of a big table keeps one partition per input split;
-    # REBALANCE lets AQE merge them to the advisory size (and split skewed
-    # ones), so the folder holds a few right-sized files, not thousands.
-    df.hint("rebalance").write.mode("overwrite").parquet(path)
+    # when there are many, REBALANCE lets AQE merge them to the advisory size
+    # (and split skewed ones), so the folder holds a few right-sized files,
+    # not thousands.  A handful of partitions is written as is.
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() > 2 * many:
+        df = df.hint("rebalance")
+    df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+def drop_materialized(spark) -> int:
+    """Delete the folders ``materialize`` wrote, once the reports that read
+    them have been written out (e.g. at the end of a dashboard refresh).
+    Uses the Hadoop file system of the session, so it works for any shared
+    store.  Returns the number of folders removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        fs = path.getFileSystem(conf)
+        removed += bool(fs.delete(path, True))
+    return removed

@@ -160,3 +160,11 @@ def test_task_spans_ties_and_slices(spark):
                               "trailer_id long, checkin_dttm timestamp_ntz, min_task timestamp_ntz, "
                               "_max_update timestamp_ntz")))
     assert (1, d(2024, 1, 1, 8), d(2024, 1, 1, 8), d(2024, 1, 4, 0)) in got
+
+
+def test_drop_materialized(spark):
+    from quaysight.operators import _WRITTEN, drop_materialized, materialize
+
+    df = materialize(spark.range(10).withColumnRenamed("id", "k"), "probe")
+    assert df.count() == 10
+    assert _WRITTEN and drop_materialized(spark) >= 1 and not _WRITTEN

@@ -35,7 +35,7 @@ from quaysight.functions.clock import (
     to_char,
 )
 from quaysight.functions.semantics import proper_name
-from quaysight.operators import materialize, restrict_to
+from quaysight.operators import bounded_broadcast, materialize, restrict_to
 from quaysight.operators.extremes import load_first_last, lock_first_last
 from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes
 from quaysight.operators.shipments import (
@@ -97,6 +97,9 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
     segments = stage_segments(classified_pieces(ship_pieces, w.locn_hdr, ACTIVITY_RULE))
     loads = load_first_last(restrict_to(w.prod_trkg_tran, ships, "ref_field_1", "tc_shipment_id"), w.ucl_user)
     locks = lock_first_last(ship_pieces, w.lpn_lock, w.ucl_user)
+    # Stage shares and locks hold at most one row per typed shipment: with the
+    # shipments counted, their size is proven and they can be broadcast.
+    segments, locks = bounded_broadcast(ships.count(), 1, segments, locks)
     doors = door_assignments(restrict_to(w.dock_door_ref, ships, "shipment_id"), w.dock_door) \
         .select("shipment_id", "dock_door")
     notes = restrict_to(w.shipment_note, ships, "shipment_id")

@@ -105,20 +105,26 @@ def share_string(*shares: ColumnOrName, width: int = 3, sep: str = " / ") -> Col
     return ora_concat(*parts)
 
 
-def to_integer(value: ColumnOrName) -> Column:
+def _cast(value: ColumnOrName, dtype: str, strict: bool) -> Column:
+    return col(value).cast(dtype) if strict else col(value).try_cast(dtype)
+
+
+def to_integer(value: ColumnOrName, strict: bool = True) -> Column:
     """CAST(value AS INTEGER) of text or number: rounds half away from zero
-    ('12.6' -> 13) and raises on malformed text, like the source dialect."""
-    return col(value).cast("decimal(38,0)")
+    ('12.6' -> 13) and raises on malformed text, like the source dialect;
+    ``strict=False`` turns malformed text into NULL instead."""
+    return _cast(value, "decimal(38,0)", strict)
 
 
-def to_decimal(value: ColumnOrName, precision: int = 10, scale: int = 3) -> Column:
-    return col(value).cast(f"decimal({precision},{scale})")
+def to_decimal(value: ColumnOrName, precision: int = 10, scale: int = 3, strict: bool = True) -> Column:
+    return _cast(value, f"decimal({precision},{scale})", strict)
 
 
-def zero_if_null_decimal(value: ColumnOrName, precision: int = 10, scale: int = 3) -> Column:
+def zero_if_null_decimal(value: ColumnOrName, precision: int = 10, scale: int = 3,
+                         strict: bool = True) -> Column:
     """COALESCE(CAST(x AS DECIMAL(p,s)), 0), keeping type decimal(p,s)."""
     dtype = f"decimal({precision},{scale})"
-    return F.coalesce(col(value).cast(dtype), F.lit(0).cast(dtype))
+    return F.coalesce(_cast(value, dtype, strict), F.lit(0).cast(dtype))
 
 
 def flag(predicate: Column) -> Column:

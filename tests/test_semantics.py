@@ -102,6 +102,7 @@ def test_to_integer(spark):
     assert [None if v is None else int(v) for v in one(spark, to_integer("x"), rows=rows)] == [13, None, 13, 7]
     with pytest.raises(Exception):
         spark.createDataFrame([("x",)], "x string").select(to_integer("x")).collect()
+    assert spark.createDataFrame([("x",)], "x string").select(to_integer("x", strict=False)).first()[0] is None
 
 
 @pytest.mark.parametrize("as_of,last_day", [

@@ -41,19 +41,6 @@ def stop_stage_counts(lpn: DataFrame, locn_hdr: DataFrame) -> DataFrame:
                                for s in ("meca", "tradi") for c in ("prep", "ancr", "chgt")])
 
 
-def stop_stage_counts_three_scans(lpn: DataFrame, locn_hdr: DataFrame) -> DataFrame:
-    """Source shape: one aggregation per segment."""
-    from quaysight.operators.stages import stage_counts
-
-    keys = ("shipment_id", "d_facility_alias_id")
-    pieces = classified_pieces(lpn, locn_hdr, DOCK_RULE, keys=keys)
-    parts = []
-    for s in ("meca", "tradi"):
-        c = stage_counts(pieces, keys, s)
-        parts.append(c.select(*keys, *[F.col(f"nb_{x}").alias(f"nb_{x}_{s}") for x in ("prep", "ancr", "chgt")]))
-    return parts[0].join(parts[1], list(keys), "full")
-
-
 def loaded_totals(lpn: DataFrame) -> DataFrame:
     """Per shipment: loaded pieces (status = 50) and counted pieces (status <= 99)."""
     status = F.col("lpn_facility_status")

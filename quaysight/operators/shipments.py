@@ -38,8 +38,8 @@ def shipments_with_order_type(lpn: DataFrame, do_orders: DataFrame,
                               order_type: str = STORE_ORDER_TYPE) -> DataFrame:
     """Distinct shipment_id of pieces whose order has ``order_type``.
 
-    Semi join: pieces are kept when their order has the type; no DISTINCT
-    over the join result is needed before the final key set.
+    Pieces are kept by a semi join to the typed orders (no row multiplication
+    from the order side), then reduced to their distinct shipment keys.
     """
     typed = do_orders.filter(F.col("do_type") == order_type).select("order_id")
     pieces = lpn.filter(F.col("shipment_id").isNotNull()).select("order_id", "shipment_id")
@@ -72,7 +72,8 @@ def door_code(name):
     return ora_concat(ora_substr(name, 1, 1), ora_substr(name, -2, 2))
 
 
-def carrier_code(shipment_alias: str | None = None):
+def carrier_code():
+    """The designated carrier, else the assigned one."""
     return F.coalesce(F.col("dsg_carrier_code"), F.col("assigned_carrier_code"))
 
 

@@ -30,12 +30,19 @@ def tune_session(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only when
-    none is configured (tests and local runs).  On a cluster the shared folder
-    named by ``spark.checkpoint.dir`` is used as is."""
+    """Return the session's checkpoint folder.
+
+    On a cluster it is the shared folder named by ``spark.checkpoint.dir``;
+    a missing setting is an error there, since a driver-local folder is not
+    visible to executors.  Only a ``local[...]`` session (tests, local runs)
+    gets a temporary folder of its own when none is configured.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                           "(the reports write reused intermediates there)")
     local = tempfile.mkdtemp(prefix="quaysight-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local

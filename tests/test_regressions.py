@@ -60,3 +60,21 @@ def test_stage_thresholds_depend_on_location_class(spark):
     dock = [tuple(r) for r in df.select(*stage_flags(F.col("s"), F.col("c"), DOCK_RULE).values()).collect()]
     assert act == [(1, 0, 0), (1, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 0), (1, 0, 0), (0, 0, 1), (0, 0, 1)]
     assert dock == [(1, 0, 0), (0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 0), (1, 0, 0), (0, 0, 1), (0, 0, 0)]
+
+
+def test_sql_views_and_job(spark, tmp_path):
+    """The reports through spark.sql views, and the batch job writing one."""
+    from quaysight.jobs import main
+    from quaysight.plans.views import register_views
+    from quaysight.sources import Wms
+    from tests.conftest import SMALL
+
+    names = register_views(spark, Wms.from_testdata(spark, SMALL), "2001-07-20 12:00:00",
+                           "2024-01-10 12:00:00", prefix="t_")
+    assert "t_lpn" in names and "t_appointments" in names
+    n = spark.sql("SELECT count(*) FROM t_shipment_activity WHERE global_advancement IS NOT NULL").first()[0]
+    assert n == spark.table("t_shipment_activity").count() > 0
+    out = str(tmp_path / "activity")
+    assert main(["--testdata", SMALL, "--report", "shipment_activity", "--as-of", "2001-07-20 12:00:00",
+                 "--out", out]) == 0
+    assert spark.read.parquet(out).count() == n

@@ -25,7 +25,7 @@ from quaysight.operators.dock import (
 )
 from quaysight.operators.eav import REPORT_ATTRIBUTES, attach_attributes, attributes_are_unique, pivot_attributes
 from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes, po_priority
-from quaysight.operators.purchase import appointment_po_rollup, po_lists, po_split
+from quaysight.operators.purchase import appointment_po_rollup, po_lists
 from quaysight.operators.shipments import (
     active_shipments,
     carrier_code,
@@ -324,7 +324,6 @@ WMS_QUERIES: dict[str, WmsQueryFn] = {
 }
 
 
-
 def _on_testdata(fn: WmsQueryFn) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(_wms(spark, sf_dir))

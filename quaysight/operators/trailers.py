@@ -9,7 +9,7 @@ computed once per distinct (trailer, check-in) and joined back to the visit
 rows.  The source's equi + range join (same trailer, ``checkin <= created``)
 would pair every check-in with every later task of the trailer; instead
 ``task_spans`` runs a sorted suffix MIN/MAX over the trailer's time line cut
-into day slices (no pairs, and a busy trailer is split across tasks).  A NULL
+into hour slices (no pairs, and a busy trailer is split across tasks).  A NULL
 check-in or trailer finds no task, as in the source query.
 """
 
@@ -32,13 +32,13 @@ def visit_rows(detail: DataFrame, visit: DataFrame, trailer_ref: DataFrame, locn
             .join(loc, F.col("current_location_id") == loc.locn_id, "left"))
 
 
-def task_spans(spans: DataFrame, tasks: DataFrame, bucket: str = "day") -> DataFrame:
+def task_spans(spans: DataFrame, tasks: DataFrame, bucket: str = "hour") -> DataFrame:
     """(trailer_id, checkin_dttm, min_task, _max_update) for the distinct spans:
     MIN(created) and MAX(last_updated) over the trailer's tasks created at or
     after check-in - computed without pairing spans with tasks.
 
     Per trailer the tasks form a time line.  It is cut into ``bucket`` slices
-    (a day by default), so even a trailer holding a third of all tasks is
+    (an hour by default), so even a trailer holding a third of all tasks is
     spread over many tasks:
 
     * inside the check-in's slice, a running MIN/MAX over the slice sorted by

@@ -69,3 +69,32 @@ def test_scans_read_only_needed_columns(staged):
     for s in scans:
         columns = re.search(r"FileScan parquet \[([^\]]*)\]", s).group(1)
         assert "order_id" not in columns and "lpn_id" not in columns, columns
+
+
+ROBUST_KEYS = ["shipment_activity", "dock_doors", "appointments_friday", "load_first_last", "lock_first_last",
+               "trailer_tasks", "appointment_po_rollup", "piece_stage_segments", "not_closed_list"]
+
+
+def test_same_rows_without_broadcast_or_aqe(spark, duck_small):
+    """Sort-merge joins only, no runtime re-planning, other partition count:
+    the results must not depend on the physical strategy."""
+    from oracle.queries import oracle_queries
+    from quaysight.plans.registry import QUERIES
+    from tests.compare import compare
+
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+                                           "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        sql = oracle_queries()
+        for key in ROBUST_KEYS:
+            df = QUERIES[key](spark, SMALL)
+            plan = plan_of(df)
+            assert "AdaptiveSparkPlan" not in plan
+            res = compare(df, duck_small, sql[key])
+            assert res["match"], (key, res)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

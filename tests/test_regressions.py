@@ -78,3 +78,16 @@ def test_sql_views_and_job(spark, tmp_path):
     assert main(["--testdata", SMALL, "--report", "shipment_activity", "--as-of", "2001-07-20 12:00:00",
                  "--out", out]) == 0
     assert spark.read.parquet(out).count() == n
+
+
+def test_fixture_clock_counts(spark):
+    """Counts stated in FIXTURES.md §3 for the fixture clocks (sf0.001)."""
+    from quaysight.plans.registry import QUERIES
+    from tests.conftest import SMALL
+
+    assert QUERIES["active_shipments"](spark, SMALL).count() == 12
+    act = QUERIES["shipment_activity"](spark, SMALL)
+    assert act.select("tc_shipment_id").distinct().count() == 9
+    assert len(QUERIES["not_closed_list"](spark, SMALL).first()[0].split(" ")) == 4
+    assert QUERIES["appointment_window"](spark, SMALL).count() == 75
+    assert QUERIES["appointment_window_friday"](spark, SMALL).count() == 137

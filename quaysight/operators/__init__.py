@@ -48,11 +48,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     # (and split skewed ones), so the folder holds a few right-sized files,
     # not thousands.  A handful of partitions is written as is.
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() > 2 * many:
+    if len(df.inputFiles()) > 2 * many:
         df = df.hint("rebalance")
     df.write.mode("overwrite").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(spark) -> int:

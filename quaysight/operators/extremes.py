@@ -21,7 +21,11 @@ Plans
     of those, and candidates are equi-joined to the extremes on (key, time).
     Every shuffle is hashed on key AND time, so a group holding a third of
     all events is spread over many tasks, and its repeated events collapse
-    before they are shuffled.
+    before they are shuffled.  Given a plain scan, the event table is read
+    twice (Spark folds the candidate DISTINCT under the MIN/MAX branch, so
+    the two branches do not share an exchange); the activity report passes
+    its events already cut and written once, so there both reads hit a small
+    file.
 ``*_first_last_selfjoin`` - the source shape: the extreme aggregate joined
     back to the events twice (min side, max side), grouped, then joined.
 ``*_first_last_window`` - ``rank()`` / ``min().over`` per group; one shuffle

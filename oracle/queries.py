@@ -321,16 +321,24 @@ def po_rows_sql() -> str:
 
 
 def trailer_sql() -> str:
-    return """trailerhd AS (
-    SELECT d.appointment_id, d.type, d.seal_number, v.checkin_dttm, v.checkout_dttm, h.dsp_locn, v.trailer_id,
-      min(t.created_dttm) AS min_task,
-      CASE WHEN max(t.last_updated_dttm) = min(t.created_dttm) THEN NULL ELSE max(t.last_updated_dttm) END AS max_task
+    """Trailer timeline stated per visit row: the first task created at or
+    after check-in and the last update among those tasks, as correlated
+    scalar subqueries over the task log (no join-then-group)."""
+    first = ("(SELECT min(t.created_dttm) FROM w_ilm_tasks t "
+             "WHERE t.trailer_id = vr.trailer_id AND t.created_dttm >= vr.checkin_dttm)")
+    last = ("(SELECT max(t.last_updated_dttm) FROM w_ilm_tasks t "
+            "WHERE t.trailer_id = vr.trailer_id AND t.created_dttm >= vr.checkin_dttm)")
+    return f"""visit_rows AS (
+    SELECT DISTINCT d.appointment_id, d.type, d.seal_number, v.checkin_dttm, v.checkout_dttm, h.dsp_locn,
+      v.trailer_id
     FROM w_trailer_visit_detail d
     LEFT JOIN w_trailer_visit v ON d.visit_id = v.visit_id
     LEFT JOIN w_trailer_ref r ON v.visit_id = r.active_visit_id
-    LEFT JOIN w_locn_hdr h ON r.current_location_id = h.locn_id
-    LEFT JOIN w_ilm_tasks t ON v.trailer_id = t.trailer_id AND v.checkin_dttm <= t.created_dttm
-    GROUP BY d.appointment_id, d.type, d.seal_number, v.checkin_dttm, v.checkout_dttm, h.dsp_locn, v.trailer_id)"""
+    LEFT JOIN w_locn_hdr h ON r.current_location_id = h.locn_id),
+  trailerhd AS (
+    SELECT vr.*, {first} AS min_task,
+      nullif({last}, {first}) AS max_task
+    FROM visit_rows vr)"""
 
 
 ATTRS = (("tc_container_id", "NUM_CNT"), ("nb_pal", "NB_PALETTE"), ("nb_package", "NBR_COLIS"),

@@ -168,3 +168,37 @@ def test_drop_materialized(spark):
     df = materialize(spark.range(10).withColumnRenamed("id", "k"), "probe")
     assert df.count() == 10
     assert _WRITTEN and drop_materialized(spark) >= 1 and not _WRITTEN
+
+
+def test_hot_trailer_and_hot_shipment(spark):
+    """One trailer / one shipment holding most rows: the sliced suffix scan
+    and the pre-aggregated first/last agree with brute force."""
+    from quaysight.operators.trailers import task_spans, task_spans_range_join
+
+    d = dt.datetime
+    base = d(2024, 1, 1)
+    tasks = spark.range(0, 3000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7 + 1).otherwise(F.lit(0)).cast("long").alias("trailer_id"),
+        F.timestamp_add("MINUTE", (F.col("id") * 37) % 5000, F.lit(base).cast("timestamp_ntz")).alias("created_dttm"),
+        F.timestamp_add("MINUTE", (F.col("id") * 37) % 5000 + F.col("id") % 13, F.lit(base).cast("timestamp_ntz"))
+        .alias("last_updated_dttm"))
+    spans = spark.range(0, 200).select(
+        (F.col("id") % 8).cast("long").alias("trailer_id"),
+        F.timestamp_add("MINUTE", (F.col("id") * 53) % 5200, F.lit(base).cast("timestamp_ntz")).alias("checkin_dttm")
+    ).distinct()
+    fast = {(r[0], r[1]): (r[2], r[3]) for r in task_spans(spans, tasks).collect()}
+    slow = {(r[0], r[1]): (r[2], r[3]) for r in task_spans_range_join(spans, tasks).collect()}
+    assert all(fast[k] == v for k, v in slow.items())
+    assert all(v == (None, None) for k, v in fast.items() if k not in slow)
+
+    users = spark.createDataFrame([(f"U{i}", f"user{i}") for i in range(5)], "user_name string, user_first_name string")
+    trkg = spark.range(0, 5000).select(
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("S"), (F.col("id") % 50).cast("string"))).otherwise(F.lit("HOT"))
+        .alias("ref_field_1"),
+        F.lit(LOAD).alias("menu_optn_name"),
+        F.timestamp_add("HOUR", F.col("id") % 17, F.lit(base).cast("timestamp_ntz")).alias("create_date_time"),
+        F.concat(F.lit("U"), (F.col("id") % 6).cast("string")).alias("user_id"),
+        F.col("id").alias("seq_nbr"))
+    got = _rows(extremes.load_first_last(trkg, users))
+    assert got == _rows(extremes.load_first_last_window(trkg, users))
+    assert got == _rows(extremes.load_first_last_selfjoin(trkg, users))

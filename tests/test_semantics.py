@@ -156,3 +156,15 @@ def test_dock_order_nulls_like_source(spark):
             df = df.withColumn(c, F.lit(None).cast("string"))
     got = [(r.porte_de_quai, r.arret) for r in _finish(df, ordered=True).collect()]
     assert got == [("Q001", None), ("Q001", 4), ("Q001", 2), ("Q002", 3), (None, None), (None, 5)]
+
+
+def test_as_of_accepts_column_and_datetime(spark):
+    """The clock may be a string, a datetime or a Column (e.g. a live
+    timestamp); the window is the same."""
+    days = spark.range(0, 10).select(
+        F.timestamp_add("HOUR", F.col("id") * 11, F.lit("2024-01-11 00:00:00").cast("timestamp_ntz")).alias("t"))
+    as_str = sorted(r[0] for r in days.filter(business_day_window("t", "2024-01-12 12:00:00")).collect())
+    as_dt = sorted(r[0] for r in days.filter(business_day_window("t", dt.datetime(2024, 1, 12, 12))).collect())
+    as_col = sorted(r[0] for r in days.filter(
+        business_day_window("t", F.lit("2024-01-12 12:00:00").cast("timestamp_ntz"))).collect())
+    assert as_str == as_dt == as_col and as_str

@@ -55,6 +55,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``materialize`` several independent intermediates at once: each write
+    is its own Spark job, submitted from its own driver thread, so their
+    scans share the cluster instead of running one after another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if len(frames) <= 1:
+        return {name: materialize(df, name) for name, df in frames.items()}
+    ensure_checkpoint_dir(next(iter(frames.values())).sparkSession)   # resolve once, before the threads
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        futures = {name: pool.submit(materialize, df, name) for name, df in frames.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def drop_materialized(spark) -> int:
     """Delete the folders ``materialize`` wrote, once the reports that read
     them have been written out (e.g. at the end of a dashboard refresh).

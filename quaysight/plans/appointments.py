@@ -33,7 +33,7 @@ from quaysight.functions.clock import (
     to_char,
 )
 from quaysight.functions.semantics import zero_if_null_decimal
-from quaysight.operators import materialize, restrict_to
+from quaysight.operators import materialize, materialize_all, restrict_to
 from quaysight.operators.appointments import dock_pole, eligibility
 from quaysight.operators.eav import attach_attributes
 from quaysight.operators.purchase import PO_OBJECT_TYPE, appointment_po_rollup, po_split
@@ -63,13 +63,25 @@ def po_split_for(w: Wms, objects: DataFrame, restrict: bool) -> DataFrame:
     return po_split(objects, pos, lines, w.business_partner, w.purchase_orders_status, notes)
 
 
-def appointment_timeline(w: Wms, appts: DataFrame | None = None) -> DataFrame:
-    """``trailer_tasks`` for the given appointments (all when None)."""
+def window_visits(w: Wms, appts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(visit details, visits) of the given appointments; the visits are the
+    part to write once (``materialize``) since three branches read them."""
+    detail = restrict_to(w.trailer_visit_detail, appts, "appointment_id")
+    return detail, restrict_to(w.trailer_visit, detail, "visit_id")
+
+
+def appointment_timeline(w: Wms, appts: DataFrame | None = None,
+                         visits: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``trailer_tasks`` for the given appointments (all when None); ``visits``
+    are their (details, written visits) when already at hand."""
     detail, visit = w.trailer_visit_detail, w.trailer_visit
     tasks, ref = w.ilm_tasks, w.trailer_ref
     if appts is not None:
-        detail = restrict_to(detail, appts, "appointment_id")
-        visit = materialize(restrict_to(visit, detail, "visit_id"), "visits")
+        if visits is None:
+            detail, visit = window_visits(w, appts)
+            visit = materialize(visit, "visits")
+        else:
+            detail, visit = visits
         ref = restrict_to(ref, visit, "active_visit_id", "visit_id")
         tasks = restrict_to(tasks, visit, "trailer_id")
     return trailer_tasks(detail, visit, ref, w.locn_hdr, tasks)
@@ -78,12 +90,17 @@ def appointment_timeline(w: Wms, appts: DataFrame | None = None) -> DataFrame:
 def appointments(w: Wms, as_of: AsOf) -> DataFrame:
     appts = w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of))
 
-    objects = materialize(restrict_to(w.ilm_appointment_objects, appts, "appointment_id"), "objects")
+    detail, visits = window_visits(w, appts)
+    written = materialize_all({
+        "objects": restrict_to(w.ilm_appointment_objects, appts, "appointment_id"),
+        "attributes": restrict_to(w.ilm_appt_custom_attribute, appts, "appointment_id"),
+        "visits": visits,
+    })
+    objects, attrs = written["objects"], written["attributes"]
     rollup = appointment_po_rollup(po_split_for(w, objects, restrict=True))
-    attrs = materialize(restrict_to(w.ilm_appt_custom_attribute, appts, "appointment_id"), "attributes")
     slot_rows = restrict_to(w.ilm_appt_slots, appts, "appointment_id").select("appointment_id", "slot_id")
     slots = w.slots.select("slot_id", F.col("description").alias("dock_group"))
-    timeline = appointment_timeline(w, appts)
+    timeline = appointment_timeline(w, appts, (detail, written["visits"]))
 
     status = w.ilm_appointment_status.select("appt_status_code", F.col("description").alias("appointment_status"))
     partner = w.business_partner.select("business_partner_id", F.col("description").alias("business_partner"))

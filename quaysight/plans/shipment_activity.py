@@ -35,7 +35,7 @@ from quaysight.functions.clock import (
     to_char,
 )
 from quaysight.functions.semantics import proper_name
-from quaysight.operators import bounded_broadcast, materialize, restrict_to
+from quaysight.operators import bounded_broadcast, materialize, materialize_all, restrict_to
 from quaysight.operators.extremes import LOAD_MENU_OPTION, OPEN_LOCK_CODE, load_first_last, lock_first_last
 from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes
 from quaysight.operators.shipments import (
@@ -98,14 +98,17 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
     # The first/last operators read their events twice (extremes, candidates);
     # the events of the typed shipments are written once so that the two
     # largest event tables are each scanned once.
-    trkg = materialize(restrict_to(
-        w.prod_trkg_tran.filter(F.col("menu_optn_name") == LOAD_MENU_OPTION)
-        .select("ref_field_1", "menu_optn_name", "create_date_time", "user_id"),
-        ships, "ref_field_1", "tc_shipment_id"), "load_events")
-    locks_of_ships = materialize(restrict_to(
-        w.lpn_lock.filter(F.col("inventory_lock_code") == OPEN_LOCK_CODE)
-        .select("lpn_id", "inventory_lock_code", "created_dttm", "created_source"),
-        ship_pieces, "lpn_id"), "lock_events")
+    events = materialize_all({
+        "load_events": restrict_to(
+            w.prod_trkg_tran.filter(F.col("menu_optn_name") == LOAD_MENU_OPTION)
+            .select("ref_field_1", "menu_optn_name", "create_date_time", "user_id"),
+            ships, "ref_field_1", "tc_shipment_id"),
+        "lock_events": restrict_to(
+            w.lpn_lock.filter(F.col("inventory_lock_code") == OPEN_LOCK_CODE)
+            .select("lpn_id", "inventory_lock_code", "created_dttm", "created_source"),
+            ship_pieces, "lpn_id"),
+    })
+    trkg, locks_of_ships = events["load_events"], events["lock_events"]
     loads = load_first_last(trkg, w.ucl_user)
     locks = lock_first_last(ship_pieces, locks_of_ships, w.ucl_user)
     # Stage shares and locks hold at most one row per typed shipment: with the

@@ -51,15 +51,18 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 WmsQueryFn = Callable[[Wms], DataFrame]
 
 
-_WMS: dict[tuple[int, str], Wms] = {}
+_WMS: dict[str, tuple[SparkSession, Wms]] = {}
 
 
 def _wms(spark: SparkSession, sf_dir: str) -> Wms:
-    """The derived warehouse tables of ``sf_dir``, built once per session."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _WMS:
-        _WMS[key] = Wms.from_testdata(spark, sf_dir)
-    return _WMS[key]
+    """The derived warehouse tables of ``sf_dir``, built once per session (a
+    new or restarted session gets its own)."""
+    key = sf_dir.rstrip("/")
+    cached = _WMS.get(key)
+    if cached is None or cached[0] is not spark or spark.sparkContext._jsc is None:
+        cached = (spark, Wms.from_testdata(spark, sf_dir))
+        _WMS[key] = cached
+    return cached[1]
 
 
 # ------------------------------------------------------------ reports ------

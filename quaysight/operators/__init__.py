@@ -74,8 +74,11 @@ def drop_materialized(spark) -> int:
     them have been written out (e.g. at the end of a dashboard refresh).
     Uses the Hadoop file system of the session, so it works for any shared
     store.  Returns the number of folders removed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:   # no driver-side JVM (Spark Connect): leave the folders to the store's retention
+        return 0
     removed = 0
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -37,14 +37,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     visible to executors.  Only a ``local[...]`` session (tests, local runs)
     gets a temporary folder of its own when none is configured.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    try:
+        sc = spark.sparkContext
+    except Exception:   # a Spark Connect session: the setting is the only source
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from None
+    configured = sc.getCheckpointDir()
+    if configured:
+        return configured
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
                            "(the reports write reused intermediates there)")
     local = tempfile.mkdtemp(prefix="quaysight-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 

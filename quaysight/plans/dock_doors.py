@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.clock import MASK_DAY_MONTH, MASK_DAY_MONTH_YEAR_TIME, MASK_TIME, to_char
-from quaysight.operators import materialize, restrict_to
+from quaysight.operators import materialize_all, restrict_to
 from quaysight.operators.dock import (
     OPEN_STATUS_BELOW,
     load_percentage,
@@ -48,14 +48,20 @@ GROUP_COLUMNS = [c for c in DOCK_COLUMNS if c != "percentage"]
 PIECE_COLUMNS = ("shipment_id", "d_facility_alias_id", "lpn_facility_status", "container_type", "curr_sub_locn_id")
 
 
-def open_pieces(w: Wms) -> DataFrame:
-    """Pieces of open shipments, written once: stage counts and loaded totals
-    both read them, and ``lpn`` (every piece ever shipped) is scanned once."""
+def open_inputs(w: Wms) -> tuple[DataFrame, DataFrame]:
+    """(pieces, notes) of the open shipments, written once and concurrently:
+    stage counts and loaded totals both read the pieces and each note tag
+    reads the notes, while ``lpn`` and ``shipment_note`` (the whole history)
+    are scanned once each."""
     open_ids = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW).select("shipment_id")
-    return materialize(restrict_to(w.lpn.select(*PIECE_COLUMNS), open_ids, "shipment_id"), "open_pieces")
+    written = materialize_all({
+        "open_pieces": restrict_to(w.lpn.select(*PIECE_COLUMNS), open_ids, "shipment_id"),
+        "open_notes": restrict_to(w.shipment_note, open_ids, "shipment_id"),
+    })
+    return written["open_pieces"], written["open_notes"]
 
 
-def dock_rows(w: Wms, pieces: DataFrame | None = None) -> DataFrame:
+def dock_rows(w: Wms, inputs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """All report rows before the final grouping, with the shipment key.
 
     Every piece-level input is cut to the open shipments first: the pieces by
@@ -63,14 +69,13 @@ def dock_rows(w: Wms, pieces: DataFrame | None = None) -> DataFrame:
     on the code), the notes by shipment id.
     """
     open_ships = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW)
+    pieces, notes = inputs if inputs is not None else open_inputs(w)
     rows = shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias)
-    counts = stop_stage_counts(pieces if pieces is not None else open_pieces(w), w.locn_hdr) \
-        .withColumnRenamed("shipment_id", "_c_shipment_id")
+    counts = stop_stage_counts(pieces, w.locn_hdr).withColumnRenamed("shipment_id", "_c_shipment_id")
     rows = rows.join(counts, (rows.shipment_id == counts._c_shipment_id)
                      & (rows.facility_alias_id == counts.d_facility_alias_id), "left")
     weights = loaded_weight(restrict_to(w.lpn, open_ships, "tc_shipment_id"))
     rows = rows.join(weights, "tc_shipment_id", "left")
-    notes = restrict_to(w.shipment_note, open_ships, "shipment_id")
     rows = attach_notes(rows, notes, {"note_ordre": TAG_ORDER, "note_rajout": TAG_ADDITION})
     left, right = id_split("tc_shipment_id")
     ts = F.col("pickup_start_dttm")
@@ -95,8 +100,8 @@ def _finish(grouped: DataFrame, ordered: bool) -> DataFrame:
 
 
 def dock_doors(w: Wms, ordered: bool = True) -> DataFrame:
-    pieces = open_pieces(w)
-    return _finish(load_percentage(dock_rows(w, pieces), pieces, GROUP_COLUMNS), ordered)
+    inputs = open_inputs(w)
+    return _finish(load_percentage(dock_rows(w, inputs), inputs[0], GROUP_COLUMNS), ordered)
 
 
 def dock_doors_fanout(w: Wms, ordered: bool = True) -> DataFrame:

@@ -31,7 +31,8 @@ OPERATORS = [
     "piece_stage_segments", "piece_stage_segments_three_scans",
     "shipments_with_do_type", "shipments_with_do_type_distinct",
     "eav_attributes", "eav_attributes_pivot",
-    "load_percentage", "appointment_po_rollup", "trailer_tasks", "stop_stage_counts", "not_closed_list",
+    "load_percentage", "load_percentage_fanout", "appointment_po_rollup", "trailer_tasks", "stop_stage_counts",
+    "not_closed_list",
 ]
 
 

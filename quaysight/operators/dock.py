@@ -72,8 +72,25 @@ def load_percentage(rows: DataFrame, lpn: DataFrame, group_cols: list) -> DataFr
         trunc_ratio_pct(F.sum("nb_loaded"), F.sum("nb_counted")).alias("percentage"))
 
 
+def load_percentage_by_multiplicity(rows: DataFrame, lpn: DataFrame, group_cols: list) -> DataFrame:
+    """The source's fan-out sum evaluated without pairs.
+
+    Joining every report row to every piece of its shipment and summing per
+    group gives, for each group, SUM over its shipments of k x pieces, where
+    k is the number of the group's rows of that shipment.  So: count k per
+    (group, shipment), join the per-shipment totals once per such pair, and
+    sum k x totals per group.
+    """
+    mult = rows.groupBy(*group_cols, "shipment_id").agg(F.count(F.lit(1)).alias("_k"))
+    j = mult.join(loaded_totals(lpn), "shipment_id", "left")
+    k = F.col("_k")
+    return j.groupBy(*group_cols).agg(
+        trunc_ratio_pct(F.sum(k * F.col("nb_loaded")), F.sum(k * F.col("nb_counted"))).alias("percentage"))
+
+
 def load_percentage_fanout(rows: DataFrame, lpn: DataFrame, group_cols: list) -> DataFrame:
-    """Source shape: LEFT JOIN each report row to every piece of its shipment."""
+    """Source shape: LEFT JOIN each report row to every piece of its shipment.
+    It emits every row x piece pair - kept for tests on small fixtures."""
     status = F.col("lpn_facility_status")
     pieces = lpn.filter(F.col("shipment_id").isNotNull()).select(
         "shipment_id", flag(status == LOADED_STATUS).alias("chgt"),

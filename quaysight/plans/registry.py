@@ -19,6 +19,7 @@ from quaysight.operators import extremes, stages
 from quaysight.operators.appointments import dock_pole, eligibility
 from quaysight.operators.dock import (
     load_percentage,
+    load_percentage_by_multiplicity,
     loaded_weight,
     shipment_stops,
     stop_stage_counts,
@@ -322,6 +323,7 @@ WMS_QUERIES: dict[str, WmsQueryFn] = {
     "lock_first_last_selfjoin": lambda w: q_lock_first_last(w, extremes.lock_first_last_selfjoin),
     "lock_first_last_window": lambda w: q_lock_first_last(w, extremes.lock_first_last_window),
     "piece_stage_segments_three_scans": q_piece_stage_segments_three_scans,
+    "load_percentage_fanout": _percentage(load_percentage_by_multiplicity),
     "eav_attributes_pivot": q_eav_attributes_pivot,
     "shipments_with_do_type_distinct": q_shipments_with_do_type_distinct,
 }
@@ -337,11 +339,13 @@ def _on_testdata(fn: WmsQueryFn) -> QueryFn:
 QUERIES: dict[str, QueryFn] = {name: _on_testdata(fn) for name, fn in WMS_QUERIES.items()}
 
 # Rewrite form -> the query whose rows it must reproduce.  The source's
-# fan-out forms (every report row joined to every piece of its shipment, every
-# check-in to every later task of its trailer) are not registered: they emit
-# all pairs within a group.  tests/test_rewrites.py checks them against the
-# registered plans on the small fixture.
+# pair-emitting shapes (every report row joined to every piece of its
+# shipment, every check-in to every later task of its trailer) are not
+# registered; ``load_percentage_fanout`` evaluates the same fan-out sum by
+# row multiplicities instead.  tests/test_rewrites.py checks the literal
+# pair forms against the registered plans on the small fixture.
 REWRITE_OF = {
+    "load_percentage_fanout": "load_percentage",
     "load_first_last_selfjoin": "load_first_last",
     "load_first_last_window": "load_first_last",
     "lock_first_last_selfjoin": "lock_first_last",

@@ -121,7 +121,12 @@ def _rows(df):
 def test_fanout_forms_equal_preaggregated(spark):
     """The source's fan-out shapes (all pairs) against the registered plans,
     on the small fixture only."""
-    from quaysight.operators.dock import load_percentage, load_percentage_fanout, shipment_stops
+    from quaysight.operators.dock import (
+        load_percentage,
+        load_percentage_by_multiplicity,
+        load_percentage_fanout,
+        shipment_stops,
+    )
     from quaysight.operators.trailers import task_spans_range_join, trailer_tasks
     from quaysight.plans.dock_doors import dock_doors, dock_doors_fanout
     from quaysight.sources import Wms
@@ -130,7 +135,9 @@ def test_fanout_forms_equal_preaggregated(spark):
     w = Wms.from_testdata(spark, SMALL)
     rows = shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias)
     keys = ["shipment_id", "dock_door_name", "stop_seq"]
-    assert _rows(load_percentage(rows, w.lpn, keys)) == _rows(load_percentage_fanout(rows, w.lpn, keys))
+    pairs = _rows(load_percentage_fanout(rows, w.lpn, keys))
+    assert _rows(load_percentage(rows, w.lpn, keys)) == pairs
+    assert _rows(load_percentage_by_multiplicity(rows, w.lpn, keys)) == pairs
     assert _rows(dock_doors(w, ordered=False)) == _rows(dock_doors_fanout(w, ordered=False))
     args = (w.trailer_visit_detail, w.trailer_visit, w.trailer_ref, w.locn_hdr, w.ilm_tasks)
     assert _rows(trailer_tasks(*args)) == _rows(trailer_tasks(*args, spans_fn=task_spans_range_join))

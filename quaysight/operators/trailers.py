@@ -9,7 +9,8 @@ computed once per distinct (trailer, check-in) and joined back to the visit
 rows.  The source's equi + range join (same trailer, ``checkin <= created``)
 would pair every check-in with every later task of the trailer; instead
 ``task_spans`` runs a sorted suffix MIN/MAX over the trailer's time line cut
-into hour slices (no pairs, and a busy trailer is split across tasks).  A NULL
+into hour slices, in one pass over the task log (no pairs, and a busy
+trailer is split across tasks).  A NULL
 check-in or trailer finds no task, as in the source query.
 """
 
@@ -35,48 +36,50 @@ def visit_rows(detail: DataFrame, visit: DataFrame, trailer_ref: DataFrame, locn
 def task_spans(spans: DataFrame, tasks: DataFrame, bucket: str = "hour") -> DataFrame:
     """(trailer_id, checkin_dttm, min_task, _max_update) for the distinct spans:
     MIN(created) and MAX(last_updated) over the trailer's tasks created at or
-    after check-in - computed without pairing spans with tasks.
+    after check-in - computed without pairing spans with tasks, in one pass
+    over the task log.
 
     Per trailer the tasks form a time line.  It is cut into ``bucket`` slices
     (an hour by default), so even a trailer holding a third of all tasks is
     spread over many tasks:
 
-    * inside the check-in's slice, a running MIN/MAX over the slice sorted by
-      time, latest first (tasks before check-ins on a tie, since
-      ``checkin <= created`` admits equal times), gives the part of the answer
-      from that slice;
-    * the slices after it contribute their whole-slice MIN/MAX: one row per
-      (trailer, slice) from a map-side combined aggregation, accumulated
-      over the later slices with a running window on that small table.
+    1. tasks and check-ins of one (trailer, slice), sorted latest first
+       (tasks before check-ins on a tie, since ``checkin <= created`` admits
+       equal times): a running MIN/MAX gives each check-in the part of its
+       answer from its own slice; whole-slice MIN/MAX are attached to every
+       row.  Only the check-ins and one carrier row per slice go on;
+    2. per trailer, over those few rows ordered by slice, MIN/MAX of the
+       whole-slice values of strictly later slices give the rest.
     """
-    t = F.col("_t")
+    t, kind = F.col("_t"), F.col("_kind")
+    slice_of = lambda c: F.unix_timestamp(F.date_trunc(bucket, c))
     task_rows = tasks.select(
         "trailer_id", F.col("created_dttm").alias("_t"), F.lit(0).alias("_kind"),
-        "created_dttm", "last_updated_dttm", F.date_trunc(bucket, "created_dttm").alias("_slice"))
+        "created_dttm", "last_updated_dttm", slice_of("created_dttm").alias("_slice"))
     span_rows = spans.select(
         "trailer_id", F.col("checkin_dttm").alias("_t"), F.lit(1).alias("_kind"),
         F.lit(None).cast("timestamp_ntz").alias("created_dttm"),
         F.lit(None).cast("timestamp_ntz").alias("last_updated_dttm"),
-        F.date_trunc(bucket, "checkin_dttm").alias("_slice"))
-    in_slice = Window.partitionBy("trailer_id", "_slice").orderBy(t.desc(), F.col("_kind").asc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = (task_rows.unionByName(span_rows)
-             .select("trailer_id", "_slice", "_kind", t.alias("checkin_dttm"),
-                     F.min("created_dttm").over(in_slice).alias("_local_min"),
-                     F.max("last_updated_dttm").over(in_slice).alias("_local_max"))
-             .filter(F.col("_kind") == 1).drop("_kind"))
-
-    per_slice = tasks.groupBy("trailer_id", F.date_trunc(bucket, "created_dttm").alias("_slice")).agg(
-        F.min("created_dttm").alias("_slice_min"), F.max("last_updated_dttm").alias("_slice_max"))
-    span_slices = spans.select("trailer_id", F.date_trunc(bucket, "checkin_dttm").alias("_slice")).distinct()
-    later = Window.partitionBy("trailer_id").orderBy(F.col("_slice").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = (per_slice.join(span_slices, ["trailer_id", "_slice"], "full")
-             .select("trailer_id", "_slice",
-                     F.min("_slice_min").over(later).alias("_after_min"),
-                     F.max("_slice_max").over(later).alias("_after_max")))
+        slice_of("checkin_dttm").alias("_slice"))
+
+    in_slice = Window.partitionBy("trailer_id", "_slice").orderBy(t.desc(), kind.asc())
+    running = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("trailer_id", "_slice")
+    scored = task_rows.unionByName(span_rows).select(
+        "trailer_id", "_slice", "_kind", t.alias("checkin_dttm"),
+        F.min("created_dttm").over(running).alias("_local_min"),
+        F.max("last_updated_dttm").over(running).alias("_local_max"),
+        F.min("created_dttm").over(whole).alias("_slice_min"),
+        F.max("last_updated_dttm").over(whole).alias("_slice_max"),
+        F.row_number().over(in_slice).alias("_rn"))
+    kept = scored.filter((kind == 1) | (F.col("_rn") == 1))
 
-    out = local.join(carry, ["trailer_id", "_slice"], "left")
+    later = Window.partitionBy("trailer_id").orderBy(F.col("_slice").desc()) \
+        .rangeBetween(Window.unboundedPreceding, -1)
+    out = kept.select(
+        "trailer_id", "checkin_dttm", "_kind", "_local_min", "_local_max",
+        F.min("_slice_min").over(later).alias("_after_min"),
+        F.max("_slice_max").over(later).alias("_after_max")).filter(kind == 1)
     return out.select(
         "trailer_id", "checkin_dttm",
         F.least("_local_min", "_after_min").alias("min_task"),

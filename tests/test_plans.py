@@ -98,3 +98,22 @@ def test_same_rows_without_broadcast_or_aqe(spark, duck_small):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("report,as_of,limits", [
+    ("shipment_activity", "2001-07-20 12:00:00",
+     {"lpn": 0, "prod_trkg_tran": 0, "lpn_lock": 0, "shipment_note": 0, "do_orders": 0}),
+    ("dock_doors", None, {"lpn": 1, "shipment_note": 0}),
+    ("appointments", "2024-01-12 12:00:00",
+     {"ilm_appt_custom_attribute": 0, "ilm_appointment_objects": 0, "trailer_visit": 0, "ilm_tasks": 1}),
+])
+def test_large_tables_read_at_most_once(staged, report, as_of, limits):
+    """The big tables are read in the jobs that write the reused cut inputs;
+    the report's own plan reads them at most ``limits`` times."""
+    from quaysight import plans
+
+    fn = getattr(plans, report)
+    df = fn(staged, as_of) if as_of else fn(staged)
+    plan = plan_of(df)
+    for table, most in limits.items():
+        assert len(_scan_lines(plan, table)) <= most, (report, table)

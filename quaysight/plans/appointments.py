@@ -88,19 +88,22 @@ def appointment_timeline(w: Wms, appts: DataFrame | None = None,
 
 
 def appointments(w: Wms, as_of: AsOf) -> DataFrame:
-    appts = w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of))
-
-    detail, visits = window_visits(w, appts)
+    # The window's appointments are written first so that Spark sees their
+    # real (small) size and streams the big tables against a broadcast of
+    # their keys (a filtered scan is estimated at the whole table's size);
+    # the cut inputs several branches reuse are then written concurrently.
+    appts = materialize(w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of)), "appointments")
     written = materialize_all({
         "objects": restrict_to(w.ilm_appointment_objects, appts, "appointment_id"),
         "attributes": restrict_to(w.ilm_appt_custom_attribute, appts, "appointment_id"),
-        "visits": visits,
+        "visit_detail": restrict_to(w.trailer_visit_detail, appts, "appointment_id"),
     })
-    objects, attrs = written["objects"], written["attributes"]
+    objects, attrs, detail = written["objects"], written["attributes"], written["visit_detail"]
+    visits = materialize(restrict_to(w.trailer_visit, detail, "visit_id"), "visits")
     rollup = appointment_po_rollup(po_split_for(w, objects, restrict=True))
     slot_rows = restrict_to(w.ilm_appt_slots, appts, "appointment_id").select("appointment_id", "slot_id")
     slots = w.slots.select("slot_id", F.col("description").alias("dock_group"))
-    timeline = appointment_timeline(w, appts, (detail, written["visits"]))
+    timeline = appointment_timeline(w, appts, (detail, visits))
 
     status = w.ilm_appointment_status.select("appt_status_code", F.col("description").alias("appointment_status"))
     partner = w.business_partner.select("business_partner_id", F.col("description").alias("business_partner"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.clock import MASK_DAY_MONTH, MASK_DAY_MONTH_YEAR_TIME, MASK_TIME, to_char
-from quaysight.operators import materialize_all, restrict_to
+from quaysight.operators import materialize, materialize_all, restrict_to
 from quaysight.operators.dock import (
     OPEN_STATUS_BELOW,
     load_percentage,
@@ -48,28 +48,35 @@ GROUP_COLUMNS = [c for c in DOCK_COLUMNS if c != "percentage"]
 PIECE_COLUMNS = ("shipment_id", "d_facility_alias_id", "lpn_facility_status", "container_type", "curr_sub_locn_id")
 
 
-def open_inputs(w: Wms) -> tuple[DataFrame, DataFrame]:
-    """(pieces, notes) of the open shipments, written once and concurrently:
+def open_inputs(w: Wms) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pieces, notes, keys) of the open shipments, written once and concurrently:
     stage counts and loaded totals both read the pieces and each note tag
     reads the notes, while ``lpn`` and ``shipment_note`` (the whole history)
     are scanned once each."""
-    open_ids = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW).select("shipment_id")
+    open_ids = open_shipment_keys(w)
     written = materialize_all({
         "open_pieces": restrict_to(w.lpn.select(*PIECE_COLUMNS), open_ids, "shipment_id"),
         "open_notes": restrict_to(w.shipment_note, open_ids, "shipment_id"),
     })
-    return written["open_pieces"], written["open_notes"]
+    return written["open_pieces"], written["open_notes"], open_ids
 
 
-def dock_rows(w: Wms, inputs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def open_shipment_keys(w: Wms) -> DataFrame:
+    """(shipment_id, tc_shipment_id) of the open shipments, written once so
+    that the semi joins cutting ``lpn`` and ``shipment_note`` see its real
+    size and broadcast it (a filtered scan is estimated at the whole table)."""
+    open_ships = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW)
+    return materialize(open_ships.select("shipment_id", "tc_shipment_id"), "open_shipments")
+
+
+def dock_rows(w: Wms, inputs: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """All report rows before the final grouping, with the shipment key.
 
     Every piece-level input is cut to the open shipments first: the pieces by
     shipment id, the loaded weight by shipment code (the source joins weight
     on the code), the notes by shipment id.
     """
-    open_ships = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW)
-    pieces, notes = inputs if inputs is not None else open_inputs(w)
+    pieces, notes, open_ships = inputs if inputs is not None else open_inputs(w)
     rows = shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias)
     counts = stop_stage_counts(pieces, w.locn_hdr).withColumnRenamed("shipment_id", "_c_shipment_id")
     rows = rows.join(counts, (rows.shipment_id == counts._c_shipment_id)

@@ -82,11 +82,13 @@ def watched_shipments(w: Wms, as_of: AsOf) -> DataFrame:
 
 
 def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -> DataFrame:
-    # Driving sets.  ``watched`` is a filtered scan of ``shipment`` (pushed
-    # down, cheap to repeat); the pieces and the typed shipments are computed
-    # once and read back from the checkpoint folder, so ``lpn`` and
-    # ``do_orders`` are each scanned exactly once.
-    watched = watched_shipments(w, as_of)
+    # Driving sets, written once and read back from the checkpoint folder:
+    # the watched shipments first, so that Spark sees their real (small)
+    # size and streams ``lpn`` against a broadcast of their keys instead of
+    # shuffling it (a filtered scan is estimated at the whole table's size);
+    # then the pieces and the typed shipments, so ``lpn`` and ``do_orders``
+    # are each scanned exactly once.
+    watched = materialize(watched_shipments(w, as_of), "watched")
     pieces = materialize(restrict_to(w.lpn.select(*PIECE_COLUMNS), watched, "shipment_id"), "pieces")
     active = watched.filter(F.col("_active")).drop("_active")
     typed_orders = restrict_to(w.do_orders.filter(F.col("do_type") == order_type), pieces, "order_id")

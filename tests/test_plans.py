@@ -44,18 +44,22 @@ def _scan_lines(plan: str, table: str) -> list[str]:
 
 
 def test_activity_pushes_clock_and_status_into_scan(staged):
-    from quaysight.plans import shipment_activity
+    """The activity report's driving set (written before anything else) reads
+    ``shipment`` with the status band and both clock windows pushed down."""
+    from quaysight.plans.shipment_activity import watched_shipments
 
-    plan = plan_of(shipment_activity(staged, "2001-07-20 12:00:00"))
+    plan = plan_of(watched_shipments(staged, "2001-07-20 12:00:00"))
     scans = _scan_lines(plan, "shipment")
     assert scans, plan[:2000]
     assert any("shipment_status" in s and "pickup_start_dttm" in s and "PushedFilters" in s for s in scans)
 
 
 def test_appointments_push_window_into_scan(staged):
-    from quaysight.plans import appointments
+    """The appointment report's driving set reads ``ilm_appointments`` with
+    the business-day window pushed down."""
+    from quaysight.functions import business_day_window
 
-    plan = plan_of(appointments(staged, "2024-01-12 12:00:00"))
+    plan = plan_of(staged.ilm_appointments.filter(business_day_window("scheduled_dttm", "2024-01-12 12:00:00")))
     scans = _scan_lines(plan, "ilm_appointments")
     assert scans and all(re.search(r"PushedFilters: \[[^\]]*scheduled_dttm", s) for s in scans)
 
@@ -117,3 +121,20 @@ def test_large_tables_read_at_most_once(staged, report, as_of, limits):
     plan = plan_of(df)
     for table, most in limits.items():
         assert len(_scan_lines(plan, table)) <= most, (report, table)
+
+
+def test_written_driving_set_is_broadcast_at_plan_time(spark, staged):
+    """With AQE off (no runtime help), cutting ``lpn`` by the written driving
+    set plans a broadcast semi join that streams ``lpn``: no shuffle of it."""
+    from quaysight.operators import materialize, restrict_to
+    from quaysight.plans.shipment_activity import watched_shipments
+
+    keep = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        watched = materialize(watched_shipments(staged, "2001-07-20 12:00:00"), "watched")
+        plan = plan_of(restrict_to(staged.lpn, watched, "shipment_id"))
+        assert "BroadcastHashJoin" in plan and "LeftSemi" in plan, plan
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", keep)

@@ -53,8 +53,10 @@ def main() -> None:
   to the checkpoint folder (`operators.materialize`); the large tables behind
   them (`lpn`, `do_orders`, `prod_trkg_tran`, `lpn_lock`, objects, attributes,
   visits) were read once, in those jobs, filtered by a broadcast semi join.
-* Clock windows and status bands reach the scans as `PushedFilters`
-  (`shipment`, `ilm_appointments`); every scan reads only the columns it uses.
+* The driving sets (watched / open shipments, window appointments) are
+  written first with the clock windows and status bands pushed into their
+  scans (`tests/test_plans.py`); every scan below reads only the columns it
+  uses.
 * At this size nearly every join is a broadcast hash join: AQE converts on
   measured sizes. At cluster scale the same plans fall back to sort-merge
   joins where a side is too big; no hint forces a broadcast of a table that

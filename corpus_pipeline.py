@@ -24,13 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id
-    stays, once; documents without an id stay."""
+    stays, once if its row is repeated; documents without an id stay."""
     groups = parity_join.near_duplicate_components(docs)
     kept = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    if groups.where("doc_id IS NOT NULL").count() > groups.select("doc_id").where("doc_id IS NOT NULL").distinct().count():
-        with_id = with_id.dropDuplicates(["doc_id"])
-    return with_id.union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,9 +18,11 @@ difference.  Sets of sizes ``a`` and ``b`` with Jaccard similarity of at least
 2. Documents that share a posted word form a group.  First each member is
    checked against one compatible member (a star, linear in the group).
 3. After the links found are joined to components, groups that still span
-   several components are checked member against member, in blocks, on their
-   bit sketches (Hamming distance against the allowed difference); only pairs
-   that pass leave the task.
+   several components are compared member against member, in blocks, on their
+   bit sketches (Hamming distance against the allowed difference).  First only
+   about as many pairs as there are members leave the task (each member with
+   the one that is near to most); when their links are joined, all pairs that
+   are near by sketch and still in different components.
 4. Pairs that pass are verified on their whole texts.
 
 Links are never dropped: 2 and 3 together look at every pair that shares a
@@ -258,8 +260,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
             .select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long"))
 
 
-def _crossing(doc, n, comp, block, sketches, lo: int, hi: int) -> np.ndarray:
-    """Pairs of one block pair, from different components, near by sketch."""
+def _crossing(doc, n, comp, block, sketches, lo: int, hi: int, spanning: bool) -> np.ndarray:
+    """Pairs of one block pair, from different components, near by sketch;
+    with ``spanning`` only as many as there are members: every member with a
+    near one is joined to the one that is near to most."""
     width = min(map(len, sketches))
     sketch = np.stack([folded(np.frombuffer(s, np.uint8), width) for s in sketches])
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
@@ -270,11 +274,31 @@ def _crossing(doc, n, comp, block, sketches, lo: int, hi: int) -> np.ndarray:
         if len(j):
             far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             j = j[far <= most_difference(n[j], n[i])]
-            found.append(np.column_stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]))))
-    return np.concatenate(found)
-
-
-def _crossing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found.append(np.column_stack((np.full(len(j), i), j)))
+    near = np.concatenate(found)
+    if spanning and len(near) > 1:
+        near = _hub_stars(near, len(doc))
+    return np.sort(np.column_stack((doc[near[:, 0]], doc[near[:, 1]])), axis=1)
+
+
+def _hub_stars(near: np.ndarray, size: int) -> np.ndarray:
+    """Of a graph's edges a part that reaches every node once, hubs first."""
+    ends = np.concatenate((near, near[:, ::-1]))
+    ends = ends[np.argsort(ends[:, 0], kind="stable")]
+    degree = np.bincount(ends[:, 0], minlength=size)
+    first = np.concatenate(([0], np.cumsum(degree)))
+    reached = np.zeros(size, bool)
+    stars = []
+    for hub in np.argsort(-degree, kind="stable")[:np.count_nonzero(degree)]:
+        new = ends[first[hub]:first[hub + 1], 1]
+        new = new[~reached[new]]
+        if len(new):
+            reached[new] = reached[hub] = True
+            stars.append(np.column_stack((np.full(len(new), hub), new)))
+    return np.concatenate(stars)
+
+
+def _crossing_batches(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, lo, hi): each run is one block pair."""
     names = ("key", "lo", "hi", "block", "doc_id", "n", "comp")
 
@@ -284,7 +308,7 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         found = [np.empty((0, 2), np.int64)]
         for x, y in zip(starts[:-1], starts[1:], strict=True):
             found.append(_crossing(*(col[c][x:y] for c in ("doc_id", "n", "comp", "block")), sketch[x:y],
-                                   col["lo"][x], col["hi"][x]))
+                                   col["lo"][x], col["hi"][x], spanning))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -303,7 +327,7 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pairs_of(held, np.array([0, held.num_rows]))
 
 
-def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame) -> DataFrame:
+def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame, spanning: bool) -> DataFrame:
     """Distinct pairs that share a posted word, lie in different components
     and are near by sketch; compared in blocks of at most about BLOCK members,
     so that a very large group spreads over many tasks.  Groups of two have
@@ -320,7 +344,8 @@ def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame) -> Da
                .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))
     return (members.select("key", "lo", "hi", "block", "doc_id", "n", "comp", "sketch")
             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            .mapInArrow(_crossing_batches, "a long, b long").where("a <> b").distinct())
+            .mapInArrow(lambda batches: _crossing_batches(batches, spanning), "a long, b long")
+            .where("a <> b").distinct())
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,13 +362,17 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     copy_links = stored(copies.join(firsts, "digest").where("doc_id <> first")
                         .select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
     groups = stored(shared_words(prints), "groups")
-    star = groups.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = stored(groups.where("doc_id <> rep").select(F.least("rep", "doc_id").alias("a"),
+                                                      F.greatest("rep", "doc_id").alias("b")).distinct(), "star")
     links = stored(verified(near_by_sketch(star, prints), docs, id_col, text_col), "links")
     comps = connected_components(copy_links.union(links))
-    crossing = stored(crossing_pairs(groups, comps, prints), "crossing")
-    more = stored(verified(crossing, docs, id_col, text_col), "links")
-    if not more.isEmpty():
-        comps = connected_components(comps.toDF("a", "b").union(more))
+    tried = star
+    for spanning in (True, False):
+        pairs = stored(crossing_pairs(groups, comps, prints, spanning).join(tried, ["a", "b"], "left_anti"), "crossing")
+        more = stored(verified(pairs, docs, id_col, text_col), "links")
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            comps = connected_components(comps.toDF("a", "b").union(more))
     drop_stored(groups)
     return prints.select("doc_id", F.col("n").alias("n_shingles")).join(
         comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(

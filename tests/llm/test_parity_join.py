@@ -117,8 +117,10 @@ def test_blocks_do_not_lose_pairs(spark, monkeypatch, block):
     prints = spark.createDataFrame([Row(doc_id=i, digest=bytes([i]), n=20, sketch=sk) for i in range(12)])
     groups = spark.createDataFrame([Row(key=1, doc_id=i, n=20, rep=0) for i in range(12)])
     comps = spark.createDataFrame([Row(node=1, component=0), Row(node=0, component=0)])
-    pairs = {(r.a, r.b) for r in pj.crossing_pairs(groups, comps, prints).collect()}
+    pairs = {(r.a, r.b) for r in pj.crossing_pairs(groups, comps, prints, False).collect()}
     assert pairs == {(i, j) for i in range(12) for j in range(i + 1, 12)} - {(0, 1)}
+    few = {(r.a, r.b) for r in pj.crossing_pairs(groups, comps, prints, True).collect()}
+    assert few <= pairs and {x for p in few for x in p} == set(range(12))
 
 
 def test_group_scan_carries_over_batches():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysight.llm import decontaminate, mixture, parity_join, toxicity, url_rules, virtual_slots
+from quaysight.llm import decontaminate, impact_index, lm_score, mixture, parity_join, toxicity, url_rules, virtual_slots
 from quaysight.llm.common import table
 
 
@@ -16,6 +16,17 @@ def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents, good against all."""
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every hundredth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", impact_index.scaled(F.col("embedding")).alias("embedding"))
+    return impact_index.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of all documents with all benchmark items."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
@@ -60,7 +71,7 @@ def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_parity_join, op5_spaced_seeds, op6_virtual_slots, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit)
+        op2_parity_join, op3_cross_entropy, op4_impact_ordered, op5_spaced_seeds, op6_virtual_slots, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit)
 }
 
 ORACLE_SQL: dict[str, str] = {}

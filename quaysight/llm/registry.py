@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysight.llm import decontaminate, impact_index, lm_score, mixture, parity_join, toxicity, url_rules, virtual_slots
+from quaysight.llm import (
+    chat_format,
+    decontaminate,
+    impact_index,
+    lm_score,
+    mixture,
+    parity_join,
+    pii,
+    toxicity,
+    url_rules,
+    virtual_slots,
+)
 from quaysight.llm.common import table
 
 
+# A conversation whose texts hold control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, a JSON record in another
+    layout, formatted and read back."""
+    record = json.dumps({"messages": [{"role": role, "content": CONTROL_TEXT} for role in ("user", "assistant")]})
+    extra = spark.createDataFrame([(-7, record)], "conv_id long, record string")
+    turns = chat_format.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(
+        chat_format.canonical_json_turns(extra).drop("layout"))
+    return chat_format.digests(chat_format.format_conversations(turns))
+
+
 def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return parity_join.near_duplicate_components(table(spark, sf_dir, "documents"))
@@ -39,6 +65,11 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op8_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities and the toxic decision for all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -71,7 +102,8 @@ def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_parity_join, op3_cross_entropy, op4_impact_ordered, op5_spaced_seeds, op6_virtual_slots, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit)
+        op1_schema_fingerprint, op2_parity_join, op3_cross_entropy, op4_impact_ordered, op5_spaced_seeds, op6_virtual_slots,
+        op7_weak_supervision, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit)
 }
 
 ORACLE_SQL: dict[str, str] = {}

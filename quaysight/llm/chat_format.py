@@ -77,9 +77,11 @@ def record_paths(value, prefix: str = "") -> set[str]:
 
 
 def fingerprint(paths: Iterable[str]) -> str:
-    """Hash of the paths that some layout knows; others do not matter."""
-    known = {p for lay in LAYOUTS for p in lay.paths() | {p for _, p in lay.optional}}
-    return hashlib.sha256("\n".join(sorted(known & set(paths))).encode()).hexdigest()[:16]
+    """Hash of the paths that matter: those of layouts whose required paths
+    are all there.  Others are ignored; two layouts at once match none."""
+    have = set(paths)
+    known = {p for lay in LAYOUTS if lay.paths() <= have for p in lay.paths() | {p for _, p in lay.optional}}
+    return hashlib.sha256("\n".join(sorted(known & have)).encode()).hexdigest()[:16]
 
 
 def mappings() -> dict[str, Layout]:
@@ -107,9 +109,10 @@ def _turns(lay: Layout, at) -> Column:
     else:
         said = [F.struct(F.lit(role).alias("role"), at(path).cast("string").alias("text")) for role, path in lay.fields]
         optional = {"system", "input"}
-        turns = F.filter(F.array(*said), lambda t: F.lit(True)) if not any(p in optional for _, p in lay.fields) else F.concat(*[
-            F.when(at(p).isNull() | (at(p) == ""), F.array().cast("array<struct<role:string,text:string>>")).otherwise(F.array(s))
-            if p in optional else F.array(s) for (_, p), s in zip(lay.fields, said, strict=True)])
+        none = F.array().cast("array<struct<role:string,text:string>>")
+        turns = F.concat(*[   # empty optional fields are no turn
+            F.when(F.coalesce(at(p), F.lit("")) == "", none).otherwise(F.array(s)) if p in optional else F.array(s)
+            for (_, p), s in zip(lay.fields, said, strict=True)])
     for old, new in lay.roles.items():
         turns = F.transform(turns, lambda t: F.struct(F.when(t["role"] == old, F.lit(new)).otherwise(t["role"]).alias("role"), t["text"].alias("text")))
     return turns

@@ -17,7 +17,9 @@ from quaysight.llm.common import stored
 
 # Positions that count, of each mask.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
-SPAN = 8
+SHORTEST = 5
+# Words that an item must have to be evidence.
+LEAST = 8
 STRIDE = 2
 # Words of the window that is verified (whole items, if shorter) and the share that must agree.
 WINDOW = 13
@@ -37,11 +39,13 @@ def text_words(text: Column) -> Column:
 def seeds_at(words: Column, stride: int) -> tuple[Column, Column]:
     """(seeds, places): the seeds of all masks at every ``stride``-th word,
     one mask after the other, and how many places each mask has."""
-    places = F.greatest(F.lit(0), F.floor((F.size(words) - SPAN) / stride).cast("int") + 1)
+    places = F.greatest(F.lit(0), F.floor((F.size(words) - SHORTEST) / stride).cast("int") + 1)
     at = F.sequence(F.lit(0), F.greatest(F.lit(0), places - 1) * stride, F.lit(stride))
 
     def of_mask(number: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(number), *[F.get(words, i + k) for k in mask]))
+        # null where the mask reaches past the end
+        return F.transform(at, lambda i: F.when(F.get(words, i + mask[-1]).isNotNull(),
+                                                F.xxhash64(F.lit(number), *[F.get(words, i + k) for k in mask])))
 
     every = F.concat(*[of_mask(number, mask) for number, mask in enumerate(MASKS)])
     return F.when(places > 0, every).otherwise(F.array().cast("array<bigint>")), places
@@ -53,7 +57,8 @@ def seeded(frame: DataFrame, keys: list[str], stride: int) -> DataFrame:
     hashed = frame.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     seeds, places = seeds_at(F.col("h"), stride)
     return (hashed.select(*keys, places.alias("places"), F.posexplode(seeds).alias("i", "seed"))
-            .select(*keys, (F.pmod("i", "places") * stride).cast("int").alias("at"), "seed"))
+            .select(*keys, (F.pmod("i", "places") * stride).cast("int").alias("at"), "seed")
+            .where("seed IS NOT NULL"))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -67,13 +72,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     document and item that overlap, the first word of the best window in the
     document, its agreeing words and its length.
 
-    Null, blank and short texts (under 8 words) share nothing; items under 8
+    Null and blank texts share nothing; items under 8
     words are no evidence and match nothing.  Rows with a null id are searched
     too; repeated rows give one result, repeated items (same id) one result
     for each document.  Empty tables give no rows; other columns are ignored.
     """
     items = stored(benchmark.select(F.col(item_col).alias("item_id"), text_words(F.col(item_text)).alias("item"))
-                   .where(F.size("item") >= SPAN).distinct(), "items")
+                   .where(F.size("item") >= LEAST).distinct(), "items")
     tests = stored(seeded(items.withColumnRenamed("item", "words").withColumn("item_key", F.xxhash64("words")),
                           ["item_id", "item_key"], 1).withColumnRenamed("at", "item_at"), "item-seeds")
     if tests.count() <= BROADCAST_SEEDS:

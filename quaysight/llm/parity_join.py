@@ -159,7 +159,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, n, doc_id) -> those of keys with several documents,
-    each with a member of compatible size to be checked against."""
+    each with a member of compatible size to be checked against.  The key is
+    kept (else 0) for groups of three or more, which may need more checks."""
     held = np.empty((0, 3), np.int64)
     star: tuple | None = None   # key, rep, rep's size of a group that goes on
 
@@ -169,10 +170,10 @@ def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         size = np.diff(first, append=len(key))
         at = np.repeat(first, size)
         rep, rep_n = rows[at, 1], rows[at, 2]
-        keep = np.repeat(size > 1, size)
+        keep, many = np.repeat(size > 1, size), np.repeat(size > 2, size)
         if star is not None and star[0] == key[0]:
             rep[:size[0]], rep_n[:size[0]] = star[1], star[2]
-            keep[:size[0]] = True
+            keep[:size[0]] = many[:size[0]] = True
         # sizes rise within a group: members too large for its first go to later ones
         for i in np.flatnonzero(keep & (NUM * rows[:, 2] > DEN * rep_n)):
             j = i - 1
@@ -181,7 +182,7 @@ def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             else:
                 rep[i], rep_n[i] = rows[i, 1], rows[i, 2]
         last = (key[-1], rep[-1], rep_n[-1])
-        return (np.column_stack((rows, rep))[keep] if keep.any() else None), last
+        return (np.column_stack((np.where(many, key, 0), rows[:, 1:], rep))[keep] if keep.any() else None), last
 
     def batch_of(x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(4)], names=["key", "doc_id", "n", "rep"])
@@ -212,7 +213,7 @@ def _group_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def shared_words(prints: DataFrame) -> DataFrame:
     """``(key, doc_id, n, rep)``: members of every group of documents that
-    share a posted word."""
+    share a posted word; the key is 0 for groups of two."""
     posts = prints.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", "n")
     return (posts.repartition("key").sortWithinPartitions("key", "n", "doc_id")
             .mapInArrow(_group_batches, "key long, doc_id long, n long, rep long"))
@@ -330,13 +331,13 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iter
 def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame, spanning: bool) -> DataFrame:
     """Distinct pairs that share a posted word, lie in different components
     and are near by sketch; compared in blocks of at most about BLOCK members,
-    so that a very large group spreads over many tasks.  Groups of two have
-    no pair that the star left out."""
-    members = groups.select("key", "doc_id", "n").join(
+    so that a very large group spreads over many tasks.  Groups of two (key 0)
+    have no pair that the star left out."""
+    members = groups.where("key <> 0").select("key", "doc_id", "n").join(
         comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     spread = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"))
-    open_keys = spread.where("lo <> hi AND g > 2").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    open_keys = spread.where("lo <> hi").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     members = members.join(open_keys, "key").join(
         prints.where("sketch IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sketch"), "doc_id")
     members = (members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -357,11 +358,13 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     table gives no rows; other columns are ignored.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    groups = stored(shared_words(prints), "groups")
+    posted, prints = prints, stored(prints.drop("keys"), "sizes")
+    drop_stored(posted)
     copies = prints.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     firsts = copies.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copy_links = stored(copies.join(firsts, "digest").where("doc_id <> first")
                         .select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
-    groups = stored(shared_words(prints), "groups")
     star = stored(groups.where("doc_id <> rep").select(F.least("rep", "doc_id").alias("a"),
                                                       F.greatest("rep", "doc_id").alias("b")).distinct(), "star")
     links = stored(verified(near_by_sketch(star, prints), docs, id_col, text_col), "links")

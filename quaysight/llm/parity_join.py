@@ -20,9 +20,9 @@ difference.  Sets of sizes ``a`` and ``b`` with Jaccard similarity of at least
 3. After the links found are joined to components, groups that still span
    several components are compared member against member, in blocks, on their
    bit sketches (Hamming distance against the allowed difference).  First only
-   about as many pairs as there are members leave the task (each member with
-   the one that is near to most); when their links are joined, all pairs that
-   are near by sketch and still in different components.
+   about as many pairs as there are components leave the task (each with the
+   one that is near to most); when their links are joined, all pairs that are
+   near by sketch and still in different components.
 4. Pairs that pass are verified on their whole texts.
 
 Links are never dropped: 2 and 3 together look at every pair that shares a
@@ -263,22 +263,28 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
 
 def _crossing(doc, n, comp, block, sketches, lo: int, hi: int, spanning: bool) -> np.ndarray:
     """Pairs of one block pair, from different components, near by sketch;
-    with ``spanning`` only as many as there are members: every member with a
-    near one is joined to the one that is near to most."""
+    with ``spanning`` one nearest pair for two components, and of those only
+    as many as there are components: each with the one that is near to most."""
     width = min(map(len, sketches))
     sketch = np.stack([folded(np.frombuffer(s, np.uint8), width) for s in sketches])
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    found = [np.empty((0, 2), np.int64)]
+    found = [np.empty((0, 3), np.int64)]
     for i in left:
         j = right[right > i] if lo == hi else right
         j = j[(comp[j] != comp[i]) & (NUM * np.maximum(n[j], n[i]) <= DEN * np.minimum(n[j], n[i]))]
         if len(j):
             far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            j = j[far <= most_difference(n[j], n[i])]
-            found.append(np.column_stack((np.full(len(j), i), j)))
+            ok = far <= most_difference(n[j], n[i])
+            found.append(np.column_stack((np.full(ok.sum(), i), j[ok], far[ok])))
     near = np.concatenate(found)
     if spanning and len(near) > 1:
-        near = _hub_stars(near, len(doc))
+        _, of = np.unique(comp, return_inverse=True)
+        ends = np.sort(of[near[:, :2]], axis=1)
+        order = np.lexsort((near[:, 2], ends[:, 1], ends[:, 0]))
+        first = order[np.append(True, (np.diff(ends[order], axis=0) != 0).any(axis=1))]
+        pair_of = {tuple(e): k for e, k in zip(ends[first].tolist(), first.tolist(), strict=True)}
+        stars = np.sort(_hub_stars(ends[first], len(doc)), axis=1).tolist()
+        near = near[[pair_of[tuple(e)] for e in stars]]
     return np.sort(np.column_stack((doc[near[:, 0]], doc[near[:, 1]])), axis=1)
 
 
@@ -303,15 +309,22 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iter
     """Rows sorted by (key, lo, hi): each run is one block pair."""
     names = ("key", "lo", "hi", "block", "doc_id", "n", "comp")
 
-    def pairs_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    made = np.empty((0, 2), np.int64)   # distinct pairs of this task
+
+    def add(table: pa.Table, starts: np.ndarray) -> None:
+        nonlocal made
         col = {c: table.column(c).to_numpy() for c in names}
         sketch = table.column("sketch").to_pylist()
-        found = [np.empty((0, 2), np.int64)]
+        found = [made]
         for x, y in zip(starts[:-1], starts[1:], strict=True):
             found.append(_crossing(*(col[c][x:y] for c in ("doc_id", "n", "comp", "block")), sketch[x:y],
                                    col["lo"][x], col["hi"][x], spanning))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        made = np.unique(np.concatenate(found), axis=0)
+
+    def flush() -> pa.RecordBatch:
+        nonlocal made
+        out, made = made, made[:0]
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     def starts_of(table: pa.Table) -> np.ndarray:
         run = np.column_stack([table.column(c).to_numpy() for c in names[:3]])
@@ -323,9 +336,12 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iter
         if table.num_rows:
             starts = starts_of(table)
             held = table.slice(starts[-2])   # may go on in the next batch
-            yield pairs_of(table, starts[:-1])
+            add(table, starts[:-1])
+            if len(made) > 200_000:
+                yield flush()
     if held is not None:
-        yield pairs_of(held, np.array([0, held.num_rows]))
+        add(held, np.array([0, held.num_rows]))
+    yield flush()
 
 
 def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame, spanning: bool) -> DataFrame:

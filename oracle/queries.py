@@ -448,10 +448,11 @@ def _queries() -> dict[str, str]:
                              f"FROM w_shipment s LEFT JOIN w_locn_hdr h ON s.staging_locn_id = h.locn_id")
     q["door_assignments"] = (f"SELECT r.shipment_id, dd.dock_door_name, {door('dd.dock_door_name')} AS dock_door "
                              f"FROM w_dock_door_ref r JOIN w_dock_door dd ON r.dock_door_id = dd.dock_door_id")
-    q["note_tags"] = (f"SELECT s.shipment_id, n1.debord, n2.users, n3.coch FROM w_shipment s "
+    q["note_tags"] = (f"SELECT s.shipment_id, n1.debord, n2.users, n3.coch, n4.addition FROM w_shipment s "
                       f"LEFT JOIN {tagged('#', 'debord')} n1 ON n1.shipment_id = s.shipment_id "
                       f"LEFT JOIN {tagged('$', 'users')} n2 ON n2.shipment_id = s.shipment_id "
-                      f"LEFT JOIN {tagged('@', 'coch')} n3 ON n3.shipment_id = s.shipment_id")
+                      f"LEFT JOIN {tagged('@', 'coch')} n3 ON n3.shipment_id = s.shipment_id "
+                      f"LEFT JOIN {tagged('+', 'addition')} n4 ON n4.shipment_id = s.shipment_id")
     q["not_closed_list"] = not_closed_sql(act)
 
     for seg, key in (("global", "piece_stage_counts"), ("meca", "piece_stage_counts_meca"),
@@ -491,9 +492,7 @@ def _queries() -> dict[str, str]:
     q["appointment_po_rollup"] = f"WITH {po_rows_sql()}\nSELECT * FROM rollup"
     q["eav_attributes"] = (f"SELECT a.appointment_id, {', '.join(a for a, _ in ATTRS)} "
                            f"FROM w_ilm_appointments a\n{attr_joins()}")
-    unique = tuple(x for x in ATTRS if x[0] != "cust_comments")
-    q["eav_attributes_pivot"] = (f"SELECT a.appointment_id, {', '.join(a for a, _ in unique)} "
-                                 f"FROM w_ilm_appointments a\n{attr_joins(unique)}")
+    q["eav_attributes_pivot"] = q["eav_attributes"]
     q["eav_quantities"] = ("SELECT a.appointment_id, "
                            "CAST(coalesce(CAST(nb_pal AS DECIMAL(10,3)), 0) AS DECIMAL(10,3)) AS nb_palette, "
                            "CAST(coalesce(CAST(nb_package AS DECIMAL(10,3)), 0) AS DECIMAL(10,3)) AS nb_package "

@@ -17,8 +17,7 @@ Layout
                events with ties, tagged notes, attribute lookups, PO rollups,
                trailer timelines).
 ``plans``      the three reports and the registry of named queries.
-``streaming``  intentionally empty: the reports are batch queries over a
-               clock value ``as_of``.
+``llm``        operators for training data (optional; nothing else imports it).
 """
 
 from quaysight.session import build_session

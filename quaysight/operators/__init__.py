@@ -43,13 +43,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quaysight-{name}-{uuid.uuid4().hex}"
-    # A filtered scan of a big table keeps one partition per input split;
-    # when there are many, REBALANCE lets AQE merge them to the advisory size
-    # (and split skewed ones), so the folder holds a few right-sized files,
-    # not thousands.  A handful of partitions is written as is.
-    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if len(df.inputFiles()) > 2 * many:
-        df = df.hint("rebalance")
+    # REBALANCE lets AQE merge the splits of a filtered scan to the advisory
+    # size (and split skewed ones), so the folder holds right-sized files.
+    df = df.hint("rebalance")
     df.write.mode("overwrite").parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -85,35 +81,3 @@ def drop_materialized(spark) -> int:
         fs = path.getFileSystem(conf)
         removed += bool(fs.delete(path, True))
     return removed
-
-
-def bounded_broadcast(rows: int, max_rows_per_key: int, *sides: DataFrame,
-                      bytes_per_row: int = 512) -> list[DataFrame]:
-    """Broadcast report sides whose size is proven by a counted driving set.
-
-    ``rows`` is the counted size of the driving set and each side holds at
-    most ``max_rows_per_key`` rows per driving key, so
-    ``rows * max_rows_per_key * bytes_per_row`` bounds its size.  Under
-    Spark's broadcast threshold the sides are hinted for broadcast (no
-    shuffle); otherwise they are left to the size check of the planner and
-    AQE.  Spark cannot see this bound itself: it estimates a join's size as the
-    product of its inputs'.
-    """
-    if not sides:
-        return []
-    spark = sides[0].sparkSession
-    limit = _broadcast_threshold(spark)
-    if limit > 0 and rows * max_rows_per_key * bytes_per_row <= limit:
-        from pyspark.sql import functions as F
-
-        return [F.broadcast(s) for s in sides]
-    return list(sides)
-
-
-def _broadcast_threshold(spark) -> int:
-    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for suffix in sorted(units, key=len, reverse=True):
-        if raw.endswith(suffix) and raw[: -len(suffix)].strip().lstrip("-").isdigit():
-            return int(raw[: -len(suffix)]) * units[suffix]
-    return int(raw)

@@ -1,12 +1,10 @@
 """Entity-attribute-value lookups on appointment attributes.
 
-``attach_attributes`` is the faithful form: one filtered LEFT JOIN per
-attribute, so an attribute stored twice for an appointment doubles the rows
-(exactly as the source query does).  ``pivot_attributes`` turns the
-attributes into columns in one scan and one aggregation; it is only exact when
-every (appointment, attribute) pair is unique, so ``attributes_are_unique``
-checks that with a distributed aggregate and callers fall back to the joins
-otherwise.
+The source query joins the attribute table once per attribute, so an attribute
+stored twice for an appointment doubles the rows.  Here the table is scanned
+and aggregated once: per appointment the values of each attribute form a list,
+and one ``explode_outer`` per attribute brings back the same rows, repeated
+and NULL values included.
 """
 
 from __future__ import annotations
@@ -26,34 +24,19 @@ REPORT_ATTRIBUTES = {
 }
 
 
-def attribute(attrs: DataFrame, name: str, alias: str) -> DataFrame:
-    """(appointment_id, <alias>) for one attribute name."""
-    return attrs.filter(F.col("attribute_name") == name).select(
-        "appointment_id", F.col("attribute_value").alias(alias))
+def pivot_attributes(attrs: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """(appointment_id, one array of ``struct(value)`` per wanted attribute);
+    the struct keeps a stored NULL value apart from no value."""
+    name, value = F.col("attribute_name"), F.struct(F.col("attribute_value").alias("value"))
+    return (attrs.filter(name.isin(*wanted.values())).groupBy("appointment_id")
+            .agg(*[F.collect_list(F.when(name == n, value)).alias(a) for a, n in wanted.items()]))
 
 
 def attach_attributes(df: DataFrame, attrs: DataFrame, wanted: dict[str, str] | None = None) -> DataFrame:
-    """LEFT JOIN each wanted attribute (alias -> attribute name) on appointment_id."""
-    out = df
-    for alias, name in (wanted or REPORT_ATTRIBUTES).items():
-        out = out.join(attribute(attrs, name, alias), "appointment_id", "left")
+    """LEFT JOIN of every wanted attribute (alias -> attribute name) on
+    appointment_id, in one pass over ``attrs``."""
+    wanted = wanted or REPORT_ATTRIBUTES
+    out = df.join(pivot_attributes(attrs, wanted), "appointment_id", "left")
+    for alias in wanted:
+        out = out.withColumn(alias, F.explode_outer(alias)).withColumn(alias, F.col(f"{alias}.value"))
     return out
-
-
-def attributes_are_unique(attrs: DataFrame, names) -> bool:
-    """True when no appointment holds one of ``names`` twice (one distributed
-    aggregate; only a boolean reaches the driver)."""
-    dup = (attrs.filter(F.col("attribute_name").isin(*names))
-           .groupBy("appointment_id", "attribute_name").count()
-           .filter(F.col("count") > 1).limit(1))
-    return dup.isEmpty()
-
-
-def pivot_attributes(attrs: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """(appointment_id, one column per wanted attribute) via a pivot with a
-    fixed value list (no extra pass to discover the names)."""
-    names = list(wanted.values())
-    piv = (attrs.filter(F.col("attribute_name").isin(*names))
-           .groupBy("appointment_id").pivot("attribute_name", names)
-           .agg(F.first("attribute_value")))
-    return piv.select("appointment_id", *[F.col(n).alias(a) for a, n in wanted.items()])

@@ -34,20 +34,17 @@ def tagged_notes(shipment_note: DataFrame) -> DataFrame:
         ora_substr(note, 2, NOTE_BODY_LENGTH).alias("body"))
 
 
-def notes_with_tag(shipment_note: DataFrame, tag: str, alias: str) -> DataFrame:
-    """(shipment_id, <alias>) for every note carrying ``tag`` - one row per
-    note, so several notes of one tag multiply the joined rows."""
-    t = tagged_notes(shipment_note)
-    return t.filter(F.col("tag") == tag).select("shipment_id", F.col("body").alias(alias))
-
-
 def attach_notes(df: DataFrame, shipment_note: DataFrame, tags: dict[str, str],
                  key: str = "shipment_id") -> DataFrame:
-    """LEFT JOIN one note set per tag (alias -> tag), keeping the fan-out."""
-    out = df
-    for alias, tag in tags.items():
-        out = out.join(notes_with_tag(shipment_note, tag, alias).withColumnRenamed("shipment_id", key),
-                       key, "left")
+    """LEFT JOIN of one note set per tag (alias -> tag) in one pass over the
+    notes: per shipment the bodies of each tag form a list, exploded again, so
+    several notes of one tag multiply the rows as the joins would."""
+    tag, body = F.col("tag"), F.struct("body")
+    lists = (tagged_notes(shipment_note).filter(tag.isin(*tags.values())).groupBy("shipment_id")
+             .agg(*[F.collect_list(F.when(tag == t, body)).alias(a) for a, t in tags.items()]))
+    out = df.join(lists.withColumnRenamed("shipment_id", key), key, "left")
+    for alias in tags:
+        out = out.withColumn(alias, F.explode_outer(alias)).withColumn(alias, F.col(f"{alias}.body"))
     return out
 
 

@@ -24,8 +24,8 @@ from quaysight.operators.dock import (
     shipment_stops,
     stop_stage_counts,
 )
-from quaysight.operators.eav import REPORT_ATTRIBUTES, attach_attributes, attributes_are_unique, pivot_attributes
-from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes, po_priority
+from quaysight.operators.eav import REPORT_ATTRIBUTES, attach_attributes
+from quaysight.operators.notes import TAG_ADDITION, TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes, po_priority
 from quaysight.operators.purchase import appointment_po_rollup, po_lists
 from quaysight.operators.shipments import (
     active_shipments,
@@ -127,7 +127,8 @@ def q_door_assignments(w):
 
 def q_note_tags(w):
     return attach_notes(w.shipment.select("shipment_id"), w.shipment_note,
-                        {"debord": TAG_DETOUR, "users": TAG_USERS, "coch": TAG_ORDER})
+                        {"debord": TAG_DETOUR, "users": TAG_USERS, "coch": TAG_ORDER,
+                         "addition": TAG_ADDITION})
 
 
 def q_not_closed_list(w):
@@ -229,16 +230,10 @@ def q_eav_attributes(w):
     return attach_attributes(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute)
 
 
-UNIQUE_ATTRIBUTES = {k: v for k, v in REPORT_ATTRIBUTES.items() if k != "cust_comments"}
-
-
 def q_eav_attributes_pivot(w):
-    """Pivot of the attributes that are stored once per appointment; checked
-    first, with the join form as the fallback."""
-    attrs, appts = w.ilm_appt_custom_attribute, w.ilm_appointments.select("appointment_id")
-    if attributes_are_unique(attrs, UNIQUE_ATTRIBUTES.values()):
-        return appts.join(pivot_attributes(attrs, UNIQUE_ATTRIBUTES), "appointment_id", "left")
-    return attach_attributes(appts, attrs, UNIQUE_ATTRIBUTES)
+    """The attributes in another column order: the pivot does not depend on it."""
+    wanted = dict(sorted(REPORT_ATTRIBUTES.items()))
+    return attach_attributes(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute, wanted)
 
 
 def q_eav_quantities(w):

@@ -35,7 +35,7 @@ from quaysight.functions.clock import (
     to_char,
 )
 from quaysight.functions.semantics import proper_name
-from quaysight.operators import bounded_broadcast, materialize, materialize_all, restrict_to
+from quaysight.operators import materialize, materialize_all, restrict_to
 from quaysight.operators.extremes import LOAD_MENU_OPTION, OPEN_LOCK_CODE, load_first_last, lock_first_last
 from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes
 from quaysight.operators.shipments import (
@@ -97,10 +97,9 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
     ship_pieces = restrict_to(pieces, ships, "shipment_id")
 
     segments = stage_segments(classified_pieces(ship_pieces, w.locn_hdr, ACTIVITY_RULE))
-    # The first/last operators read their events twice (extremes, candidates)
-    # and the notes are read once per tag; the typed shipments' events and
-    # notes are written once, concurrently, so each of those tables is
-    # scanned once.
+    # The first/last operators read their events twice (extremes, candidates);
+    # the typed shipments' events are written once, concurrently, so each of
+    # those tables is scanned once.
     events = materialize_all({
         "load_events": restrict_to(
             w.prod_trkg_tran.filter(F.col("menu_optn_name") == LOAD_MENU_OPTION)
@@ -110,14 +109,11 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
             w.lpn_lock.filter(F.col("inventory_lock_code") == OPEN_LOCK_CODE)
             .select("lpn_id", "inventory_lock_code", "created_dttm", "created_source"),
             ship_pieces, "lpn_id"),
-        "notes": restrict_to(w.shipment_note, ships, "shipment_id"),   # read once per tag
     })
-    trkg, locks_of_ships, notes = events["load_events"], events["lock_events"], events["notes"]
+    trkg, locks_of_ships = events["load_events"], events["lock_events"]
+    notes = restrict_to(w.shipment_note, ships, "shipment_id")
     loads = load_first_last(trkg, w.ucl_user)
     locks = lock_first_last(ship_pieces, locks_of_ships, w.ucl_user)
-    # Stage shares and locks hold at most one row per typed shipment: with the
-    # shipments counted, their size is proven and they can be broadcast.
-    segments, locks = bounded_broadcast(ships.count(), 1, segments, locks)
     doors = door_assignments(restrict_to(w.dock_door_ref, ships, "shipment_id"), w.dock_door) \
         .select("shipment_id", "dock_door")
     not_closed = not_closed_list(watched.drop("_active"), pieces, as_of)

@@ -3,14 +3,28 @@
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from quaysight.plans.registry import QUERIES as REPORTS
 from tests.compare import compare
 from tests.conftest import SMALL
 
-KEYS = list(queries())
+KEYS = list(REPORTS)
 
 
 def test_every_query_has_an_oracle():
-    assert set(KEYS) == set(oracle_sql())
+    assert set(KEYS) <= set(oracle_sql()) <= set(queries())
+
+
+def test_entry_imports_without_the_optional_subpackage(monkeypatch):
+    import importlib.util
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    spec = importlib.util.spec_from_file_location("entry_alone", __spark_entry__.__file__)
+    alone = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(alone)
+    assert set(alone.queries()) == set(KEYS) == set(alone.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaysight.operators import extremes, stages
-from quaysight.operators.eav import REPORT_ATTRIBUTES, attach_attributes, attributes_are_unique, pivot_attributes
+from quaysight.operators.eav import REPORT_ATTRIBUTES, attach_attributes
+from quaysight.operators.notes import attach_notes, tagged_notes
 from quaysight.operators.purchase import po_split
 
 T = [dt.datetime(2024, 1, 1, h) for h in range(10)]
@@ -77,21 +78,40 @@ def test_empty_segment_is_null(spark):
     assert one[12]["global_prep"] == 100
 
 
-def test_pivot_only_when_unique(spark):
+def test_one_pass_attributes_equal_one_join_each(spark):
     attrs = spark.createDataFrame([
-        (1, "NUM_CNT", "c1"), (1, "NB_PALETTE", "3"), (2, "NUM_CNT", "c2"),
-        (2, "CUST_COMMENTS", "a"), (2, "CUST_COMMENTS", "b"),
+        (1, "NUM_CNT", "c1"), (1, "NB_PALETTE", "3"), (2, "NUM_CNT", "c2"), (2, "NUM_CNT", None),
+        (2, "CUST_COMMENTS", "a"), (2, "CUST_COMMENTS", "b"), (4, "NB_PALETTE", "9"), (None, "NUM_CNT", "x"),
     ], "appointment_id long, attribute_name string, attribute_value string")
-    unique = {k: v for k, v in REPORT_ATTRIBUTES.items() if k != "cust_comments"}
-    assert attributes_are_unique(attrs, unique.values())
-    assert not attributes_are_unique(attrs, REPORT_ATTRIBUTES.values())
-    appts = spark.createDataFrame([(1,), (2,), (3,)], "appointment_id long")
-    joined = sorted((tuple(r) for r in attach_attributes(appts, attrs, unique).collect()), key=str)
-    pivoted = sorted((tuple(r) for r in appts.join(pivot_attributes(attrs, unique), "appointment_id", "left")
-                      .select("appointment_id", *unique).collect()), key=str)
-    assert joined == pivoted
-    # the repeated attribute multiplies rows in the faithful form
-    assert attach_attributes(appts, attrs).filter(F.col("appointment_id") == 2).count() == 2
+    appts = spark.createDataFrame([(1,), (2,), (3,), (None,)], "appointment_id long")
+    joined = appts
+    for alias, name in REPORT_ATTRIBUTES.items():
+        one = attrs.filter(F.col("attribute_name") == name).select("appointment_id", F.col("attribute_value").alias(alias))
+        joined = joined.join(one, "appointment_id", "left")
+    out = attach_attributes(appts, attrs)
+    assert out.columns == joined.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, joined.collect()))
+    assert out.filter("appointment_id = 2").count() == 4   # 2 containers x 2 comments
+    assert _scans(out) == 1
+
+
+def test_one_pass_notes_equal_one_join_each(spark):
+    notes = spark.createDataFrame([(1, "#a"), (1, "#b"), (1, "$u"), (2, "@"), (2, "+x"), (2, "+y"), (3, "zz"), (None, "#n")],
+                                  "shipment_id long, note string")
+    ships = spark.createDataFrame([(1,), (2,), (3,), (4,)], "shipment_id long")
+    tags = {"debord": "#", "users": "$", "coch": "@", "addition": "+"}
+    joined = ships
+    for alias, tag in tags.items():
+        one = tagged_notes(notes).filter(F.col("tag") == tag).select("shipment_id", F.col("body").alias(alias))
+        joined = joined.join(one, "shipment_id", "left")
+    out = attach_notes(ships, notes, tags)
+    assert sorted(map(str, out.collect())) == sorted(map(str, joined.collect()))
+    assert _scans(out) == 1
+
+
+def _scans(df) -> int:
+    """Scans besides that of the frame joined to."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") - 1
 
 
 def test_po_split_weights_equal_fanout(spark):

@@ -4,9 +4,14 @@ Two bigram models of the same order, smoothing (Witten-Bell over add-one
 unigrams) and vocabulary: the target model counts the documents labelled good,
 the background model all documents.  A document's score is the mean over its
 words of target loss minus background loss (nats): the lower, the closer to
-the target.  The vocabulary is the most frequent words of the whole corpus and
-one symbol for all others, so a model never exceeds VOCABULARY^2 cells, whatever
-the corpus; the counts behind it cover every word of every document.
+the target.
+
+The vocabulary is every word of the corpus.  The most frequent words have
+bigrams of their own; all others share one symbol in the bigrams, and the loss
+of such a word is that of the symbol plus that of the word under it (add-one
+over all words of the symbol).  The bigram matrix is thus bounded, while the
+word table grows with the corpus: its most frequent part is broadcast, a
+bounded number of words, and the occurrences of all others are joined with it.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ from pyspark.sql import functions as F
 
 from quaysight.llm.common import stored
 
-# Symbols of the shared vocabulary; symbol 0 stands for all other words.
+# Symbols of the bigrams; symbol 0 stands for all other words.
 VOCABULARY = 2048
+# Further words whose losses are broadcast; those of all others are joined.
+KNOWN = 1 << 17
 # Histories (rows of the count matrix) that travel as one row.
 BLOCK = 64
 # Distinct words that a task counts before it passes them on.
@@ -34,29 +41,40 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], names=["word", "n"])
-
-    count: Counter = Counter()
+    """Rows (text, good) -> counts of words in all and in good texts."""
+    def out(total: Counter, good: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64()),
+             pa.array([good[w] for w in total], pa.int64())], names=["word", "n", "t"])
+
+    total: Counter = Counter()
+    target: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            count.update(words_of(text))
-            if len(count) > FLUSH:
-                yield out(count)
-                count = Counter()
-    yield out(count)
-
-
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size - 1`` most frequent words of all texts; ties by bytes."""
-    counted = (docs.select(F.col(text_col).cast("string")).mapInArrow(_count_words, "word binary, n long")
-               .groupBy("word").agg(F.sum("n").alias("n")))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(size - 1).collect()]
-
-
-def _symbols(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
+        for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = words_of(text)
+            total.update(words)
+            if good:
+                target.update(words)
+            if len(total) > FLUSH:
+                yield out(total, target)
+                total, target = Counter(), Counter()
+    yield out(total, target)
+
+
+def word_counts(docs: DataFrame, target_col: str, text_col: str = "text") -> DataFrame:
+    """``(word, n, t)``: every word with its count in all and in target texts."""
+    return (docs.select(F.col(text_col).cast("string"), F.col(target_col)).mapInArrow(_count_words, "word binary, n long, t long")
+            .groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+
+
+def _symbols(text: str | None, ids: dict[bytes, int], size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Symbols of a text; the places in the broadcast word losses of those
+    words of symbol 0 that are there, and the other words of symbol 0."""
     words = words_of(text)
-    return np.fromiter((ids.get(w, 0) for w in words), np.int64, len(words))
+    at = np.fromiter((ids.get(w, 0) for w in words), np.int64, len(words))
+    known = at >= size
+    rest = [words[i] for i in np.flatnonzero(at == 0)]
+    return np.where(known, 0, at), at[known] - size, rest
 
 
 def bigram_counts(docs: DataFrame, ids, size: int, target_col: str, text_col: str = "text") -> DataFrame:
@@ -69,7 +87,7 @@ def bigram_counts(docs: DataFrame, ids, size: int, target_col: str, text_col: st
         for batch in batches:
             keys: tuple[list, list] = ([], [])
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = _symbols(text, known)
+                s = _symbols(text, known, size)[0]
                 if len(s):
                     keys[bool(good)].append(np.concatenate(([size], s[:-1])) * size + s)
             for good in (0, 1):
@@ -118,7 +136,7 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size: int = VOCABULARY,
+def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size: int = VOCABULARY, known: int = KNOWN,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, target_loss, background_loss, score)`` per row of
     ``docs``; losses are means per word in nats.
@@ -127,38 +145,61 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size:
     ``target`` holds (null is no; repeated labels count once).  Repeated
     documents count as often as they occur.  Null and blank texts have 0 words
     and null losses; a null id is never in the target.  Without any target the
-    target model is uniform.  An empty table gives no rows.
+    target model is uniform over its symbols and over the words of symbol 0.
+    An empty table gives no rows.  ``known`` moves work between a broadcast and
+    a join and changes no score.
     """
     sc = docs.sparkSession.sparkContext
-    vocab = vocabulary(docs, text_col, size)
-    ids = sc.broadcast({w: i for i, w in enumerate(vocab, 1)})   # size - 1 words
     good = stored(labels.where(F.expr(target)).select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
                   .withColumn("__good", F.lit(True)), "target-ids")
     marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias(text_col)).join(good, "__id", "left")
-    counts = np.zeros((2, (size + 1) * size), np.int32)
+    words = stored(word_counts(marked, "__good", text_col), "words")
+    # at most size - 1 + known words come to the driver
+    first = words.orderBy(F.desc("n"), "word").limit(size - 1 + known).collect()
+    kinds, *sums = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = first[:size - 1]
+    # kinds and total count (target, background) of the words of symbol 0
+    kinds -= len(top)
+    sums = [sums[0] - sum(r.t for r in top), sums[1] - sum(r.n for r in top)]
+    under = [[np.log((x + kinds) / (c + 1)) for c in column] for x, column in zip(
+        sums, ([r.t for r in first[size - 1:]], [r.n for r in first[size - 1:]]), strict=True)]
+    under = sc.broadcast([np.array(u, np.float64) for u in under])
+    # symbols 1 to size - 1, then the known words of symbol 0
+    ids = sc.broadcast({bytes(r.word): i for i, r in enumerate(top, 1)}
+                       | {bytes(r.word): i for i, r in enumerate(first[size - 1:], size)})
+    counts = np.zeros((2, (size + 1) * size), np.int64)
     # at most (size + 1) * size cells
-    for row in bigram_counts(marked, ids, size, "__good", text_col).collect():
+    for row in bigram_counts(marked, ids, size, "__good", text_col).toLocalIterator():
         at = np.frombuffer(row.cells, np.int32)
         counts[0][at] = np.frombuffer(row.target, np.int64)
         counts[1][at] = np.frombuffer(row.background, np.int64)
     models = sc.broadcast([losses(c.reshape(size + 1, size)).ravel() for c in counts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = ids.value, models.value
+        place, tables, inner = ids.value, models.value, under.value
         for batch in batches:
-            n, sums = [], [[], []]
+            n, sums, rests = [], [[], []], []
             for text in batch.column(1).to_pylist():
-                s = _symbols(text, known)
+                s, at, rest = _symbols(text, place, size)
                 n.append(len(s))
-                if len(s):
-                    cells = np.concatenate(([size], s[:-1])) * size + s
-                for t, out in zip(tables, sums, strict=True):
-                    out.append(float(t[cells].mean(dtype=np.float64)) if len(s) else None)
-            score = [None if a is None else a - b for a, b in zip(*sums, strict=True)]
+                rests.append(rest)
+                cells = np.concatenate(([size], s[:-1])) * size + s if len(s) else s
+                for t, u, out in zip(tables, inner, sums, strict=True):
+                    out.append(float(t[cells].sum(dtype=np.float64) + u[at].sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (*sums, score))],
-                names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in sums),
+                 pa.array(rests, pa.list_(pa.binary()))], names=["doc_id", "n_words", "target", "background", "rest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
-        run, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    # written, so that a row keeps its number
+    begun = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(
+        run, f"doc_id {kind}, n_words long, target double, background double, rest array<binary>")
+        .withColumn("row", F.monotonically_increasing_id()), "begun")
+    # each word here is rarer than the known ones: no hot key
+    rest = (begun.select("row", F.explode("rest").alias("word")).join(words, "word").groupBy("row")
+            .agg(*(F.sum(F.log((F.lit(x) + kinds) / (F.col(c) + 1))).alias(f"rest_{c}") for x, c in zip(sums, "tn", strict=True))))
+    losses_of = [(F.col(c) + F.coalesce(f"rest_{r}", F.lit(0.0))) / F.nullif("n_words", F.lit(0))
+                 for c, r in (("target", "t"), ("background", "n"))]
+    return begun.drop("rest").join(rest, "row", "left").select(
+        "doc_id", "n_words", losses_of[0].alias("target_loss"), losses_of[1].alias("background_loss"),
+        (losses_of[0] - losses_of[1]).alias("score"))

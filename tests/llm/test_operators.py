@@ -103,7 +103,8 @@ def test_layouts_by_fingerprint(spark):
 
 # 3: LM scoring
 
-def test_losses_match_plain_counting(spark):
+@pytest.mark.parametrize("known", [0, 100, 1 << 17])
+def test_losses_match_plain_counting(spark, known):
     docs, labels = documents(spark), spark.read.parquet(f"{SMALL}/labels.parquet")
     size = 64
     texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
@@ -112,7 +113,7 @@ def test_losses_match_plain_counting(spark):
     ids = {w: i for i, w in enumerate(sorted(freq, key=lambda w: (-freq[w], w))[:size - 1], 1)}
 
     def model(chosen):
-        uni, hist, pair, kinds = Counter(), Counter(), Counter(), Counter()
+        uni, hist, pair, kinds, rare = Counter(), Counter(), Counter(), Counter(), Counter()
         for d in chosen:
             last = size
             for w in texts[d]:
@@ -121,19 +122,21 @@ def test_losses_match_plain_counting(spark):
                 pair[last, s] += 1
                 hist[last] += 1
                 uni[s] += 1
+                rare[w] += w not in ids
                 last = s
-        total = sum(uni.values())
+        total, under = sum(uni.values()), rare.total() + len(freq) - len(ids)
 
-        def loss(h, s):
+        def loss(h, s, w):
             p = (uni[s] + 1) / (total + size)
-            return -math.log((pair[h, s] + kinds[h] * p) / (hist[h] + kinds[h]) if hist[h] else p)
+            return -math.log((pair[h, s] + kinds[h] * p) / (hist[h] + kinds[h]) if hist[h] else p) - (
+                0 if s else math.log((rare[w] + 1) / under))
         return loss
 
     models = model(good & texts.keys()), model(texts)
-    for r in lm_score.score(docs, labels, size=size).collect():
+    for r in lm_score.score(docs, labels, size=size, known=known).collect():
         s = [size] + [ids.get(w, 0) for w in texts[r.doc_id]]
         assert r.n_words == len(s) - 1
-        want = [np.mean([m(a, b) for a, b in itertools.pairwise(s)]) for m in models]
+        want = [np.mean([m(a, b, w) for (a, b), w in zip(itertools.pairwise(s), texts[r.doc_id], strict=True)]) for m in models]
         assert [r.target_loss, r.background_loss, r.score] == pytest.approx([*want, want[0] - want[1]], abs=1e-4)
 
 

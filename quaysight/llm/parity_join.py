@@ -22,7 +22,8 @@ difference.  Sets of sizes ``a`` and ``b`` with Jaccard similarity of at least
    bit sketches (Hamming distance against the allowed difference).  First only
    about as many pairs as there are components leave the task (each with the
    one that is near to most); when their links are joined, all pairs that are
-   near by sketch and still in different components.
+   near by sketch and still in different components, each from the smallest
+   of the open groups that its documents share and from no other.
 4. Pairs that pass are verified on their whole texts.
 
 Links are never dropped: 2 and 3 together look at every pair that shares a
@@ -261,10 +262,11 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
             .select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long"))
 
 
-def _crossing(doc, n, comp, block, sketches, lo: int, hi: int, spanning: bool) -> np.ndarray:
+def _crossing(doc, n, comp, block, sketches, before, lo: int, hi: int, spanning: bool) -> np.ndarray:
     """Pairs of one block pair, from different components, near by sketch;
     with ``spanning`` one nearest pair for two components, and of those only
-    as many as there are components: each with the one that is near to most."""
+    as many as there are components: each with the one that is near to most;
+    else all pairs that share none of the keys ``before`` this group's."""
     width = min(map(len, sketches))
     sketch = np.stack([folded(np.frombuffer(s, np.uint8), width) for s in sketches])
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
@@ -285,6 +287,9 @@ def _crossing(doc, n, comp, block, sketches, lo: int, hi: int, spanning: bool) -
         pair_of = {tuple(e): k for e, k in zip(ends[first].tolist(), first.tolist(), strict=True)}
         stars = np.sort(_hub_stars(ends[first], len(doc)), axis=1).tolist()
         near = near[[pair_of[tuple(e)] for e in stars]]
+    if not spanning:
+        earlier = {i: set(before[i]) for i in np.unique(near[:, 0]).tolist()}
+        near = near[[earlier[i].isdisjoint(before[j]) for i, j in near[:, :2].tolist()]]
     return np.sort(np.column_stack((doc[near[:, 0]], doc[near[:, 1]])), axis=1)
 
 
@@ -315,10 +320,11 @@ def _crossing_batches(batches: Iterator[pa.RecordBatch], spanning: bool) -> Iter
         nonlocal made
         col = {c: table.column(c).to_numpy() for c in names}
         sketch = table.column("sketch").to_pylist()
+        before = table.column("before")
         found = [made]
         for x, y in zip(starts[:-1], starts[1:], strict=True):
             found.append(_crossing(*(col[c][x:y] for c in ("doc_id", "n", "comp", "block")), sketch[x:y],
-                                   col["lo"][x], col["hi"][x], spanning))
+                                   before.slice(x, y - x).to_numpy(), col["lo"][x], col["hi"][x], spanning))
         made = np.unique(np.concatenate(found), axis=0)
 
     def flush() -> pa.RecordBatch:
@@ -348,18 +354,27 @@ def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame, spann
     """Distinct pairs that share a posted word, lie in different components
     and are near by sketch; compared in blocks of at most about BLOCK members,
     so that a very large group spreads over many tasks.  Groups of two (key 0)
-    have no pair that the star left out."""
+    have no pair that the star left out.
+
+    A document's open groups are brought together with its sketch, one row a
+    document, and dealt out again; unless ``spanning``, each carries the keys
+    of the document's smaller open groups, which have seen its pairs there."""
     members = groups.where("key <> 0").select("key", "doc_id", "n").join(
         comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     spread = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"))
     open_keys = spread.where("lo <> hi").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(open_keys, "key").join(
-        prints.where("sketch IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "sketch"), "doc_id")
+    by_doc = members.join(open_keys, "key").groupBy("doc_id", "n", "comp").agg(
+        F.sort_array(F.collect_set(F.struct("key", "blocks"))).alias("open"))
+    sketches = prints.where("sketch IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n", "sketch")
+    members = (by_doc.join(sketches, ["doc_id", "n"])
+               .select("doc_id", "n", "comp", "sketch", "open", F.posexplode("open").alias("at", "own"))
+               .select("doc_id", "n", "comp", "sketch", "own.key", "own.blocks",
+                       F.slice("open.key", 1, F.lit(0) if spanning else F.col("at")).alias("before")))
     members = (members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))
-    return (members.select("key", "lo", "hi", "block", "doc_id", "n", "comp", "sketch")
+    return (members.select("key", "lo", "hi", "block", "doc_id", "n", "comp", "sketch", "before")
             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
             .mapInArrow(lambda batches: _crossing_batches(batches, spanning), "a long, b long")
             .where("a <> b").distinct())

@@ -22,8 +22,8 @@ difference.  Sets of sizes ``a`` and ``b`` with Jaccard similarity of at least
    bit sketches (Hamming distance against the allowed difference).  First only
    about as many pairs as there are components leave the task (each with the
    one that is near to most); when their links are joined, all pairs that are
-   near by sketch and still in different components, each from the smallest
-   of the open groups that its documents share and from no other.
+   near by sketch and still in different components; a group leaves out those
+   that a smaller open group, which it knows of, has met before.
 4. Pairs that pass are verified on their whole texts.
 
 Links are never dropped: 2 and 3 together look at every pair that shares a
@@ -49,6 +49,9 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 # Members of a group that one task compares with one another.
 BLOCK = 2048
+# Smallest open groups that a member names, so that a pair met in one of them
+# isn't made again elsewhere; a pair that shares others is made once in each.
+NAMED = 16
 # Digests of texts that a task remembers, to post copies once.
 REMEMBERED = 1 << 18
 
@@ -266,7 +269,7 @@ def _crossing(doc, n, comp, block, sketches, before, lo: int, hi: int, spanning:
     """Pairs of one block pair, from different components, near by sketch;
     with ``spanning`` one nearest pair for two components, and of those only
     as many as there are components: each with the one that is near to most;
-    else all pairs that share none of the keys ``before`` this group's."""
+    else all pairs that have none of the keys ``before`` this one in common."""
     width = min(map(len, sketches))
     sketch = np.stack([folded(np.frombuffer(s, np.uint8), width) for s in sketches])
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
@@ -357,8 +360,10 @@ def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame, spann
     have no pair that the star left out.
 
     A document's open groups are brought together with its sketch, one row a
-    document, and dealt out again; unless ``spanning``, each carries the keys
-    of the document's smaller open groups, which have seen its pairs there."""
+    document, and dealt out again; unless ``spanning``, each carries the
+    NAMED smallest keys of the document's smaller open groups.  A pair with
+    such a key in common is made there: this saves copies of pairs, never a
+    pair."""
     members = groups.where("key <> 0").select("key", "doc_id", "n").join(
         comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
@@ -370,7 +375,7 @@ def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame, spann
     members = (by_doc.join(sketches, ["doc_id", "n"])
                .select("doc_id", "n", "comp", "sketch", "open", F.posexplode("open").alias("at", "own"))
                .select("doc_id", "n", "comp", "sketch", "own.key", "own.blocks",
-                       F.slice("open.key", 1, F.lit(0) if spanning else F.col("at")).alias("before")))
+                       F.slice("open.key", 1, F.lit(0) if spanning else F.least("at", F.lit(NAMED))).alias("before")))
     members = (members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")))

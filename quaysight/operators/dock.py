@@ -86,14 +86,3 @@ def load_percentage_by_multiplicity(rows: DataFrame, lpn: DataFrame, group_cols:
     k = F.col("_k")
     return j.groupBy(*group_cols).agg(
         trunc_ratio_pct(F.sum(k * F.col("nb_loaded")), F.sum(k * F.col("nb_counted"))).alias("percentage"))
-
-
-def load_percentage_fanout(rows: DataFrame, lpn: DataFrame, group_cols: list) -> DataFrame:
-    """Source shape: LEFT JOIN each report row to every piece of its shipment.
-    It emits every row x piece pair - kept for tests on small fixtures."""
-    status = F.col("lpn_facility_status")
-    pieces = lpn.filter(F.col("shipment_id").isNotNull()).select(
-        "shipment_id", flag(status == LOADED_STATUS).alias("chgt"),
-        flag(status <= COUNTED_STATUS_MAX).alias("total"))
-    j = rows.join(pieces, "shipment_id", "left")
-    return j.groupBy(*group_cols).agg(trunc_ratio_pct(F.sum("chgt"), F.sum("total")).alias("percentage"))

@@ -15,17 +15,12 @@ event; ties give several users.
 
 Plans
 -----
-``*_first_last`` (default) - skew-safe: one scan of the events, reduced by a
-    map-side combined aggregation to distinct (key, time, user) candidates
-    (locks: one row per (key, time)); the extremes are a partial aggregation
-    of those, and candidates are equi-joined to the extremes on (key, time).
-    Every shuffle is hashed on key AND time, so a group holding a third of
-    all events is spread over many tasks, and its repeated events collapse
-    before they are shuffled.  Given a plain scan, the event table is read
-    twice (Spark folds the candidate DISTINCT under the MIN/MAX branch, so
-    the two branches do not share an exchange); the activity report passes
-    its events already cut and written once, so there both reads hit a small
-    file.
+``*_first_last`` (default) - one scan of the events, skew-safe: a map-side
+    combined aggregation reduces them to one row per (key, time), hashed on
+    key AND time, so a group holding a third of all events is spread over many
+    tasks and its repeated events collapse before they are shuffled; the
+    earliest and the latest of those rows per key are the MIN and MAX of a
+    struct that starts with the time (again combined map-side), no join back.
 ``*_first_last_selfjoin`` - the source shape: the extreme aggregate joined
     back to the events twice (min side, max side), grouped, then joined.
 ``*_first_last_window`` - ``rank()`` / ``min().over`` per group; one shuffle
@@ -45,17 +40,6 @@ LOAD_MENU_OPTION = "RF CHARGER OLPN"
 OPEN_LOCK_CODE = "OP"
 
 
-def _extreme_times(events: DataFrame, key: str, ts: str) -> DataFrame:
-    """(key, ts, side) for side 'first' = MIN(ts) and 'last' = MAX(ts) of each
-    key; partial aggregation, then a two-row unpivot per key."""
-    ext = events.groupBy(key).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    return ext.select(
-        key, F.explode(F.array(
-            F.struct(F.lit("first").alias("side"), F.col("_first").alias(ts)),
-            F.struct(F.lit("last").alias("side"), F.col("_last").alias(ts)))).alias("_e")
-    ).select(key, F.col("_e").getField(ts).alias(ts), F.col("_e").getField("side").alias("side"))
-
-
 def _known_users(users: DataFrame) -> DataFrame:
     return users.select(F.col("user_name"), F.col("user_first_name"))
 
@@ -80,23 +64,23 @@ def load_first_last(prod_trkg_tran: DataFrame, ucl_user: DataFrame,
     was made by an unknown user has no row; when no known user made the last
     load the row carries a NULL last_loader.
 
-    One scan of the tracking table, reduced at once to the distinct
-    (code, time, known?, loader) candidates by a map-side combined
-    aggregation - repeated scans of one code at one time by one user collapse
-    before any shuffle.  The extremes come from those candidates, and only
-    candidates sitting on an extreme are kept (equi-join on code and time).
+    One row per (code, time) holds whether a known user is there and the set
+    of their names (a known user may have a NULL name, hence a set of structs);
+    events without a code or a time are never an extreme.
     """
     ev = _attach_names(load_events(prod_trkg_tran, menu_option), "user_id", ucl_user)
-    cand = ev.select(
-        "tc_shipment_id", "create_date_time", F.coalesce(F.col("_known"), F.lit(False)).alias("_known"),
-        proper_name("user_first_name").alias("last_loader")).distinct()
-    ext = _extreme_times(cand, "tc_shipment_id", "create_date_time")
-    at_ext = cand.filter(F.col("_known")).join(ext, ["tc_shipment_id", "create_date_time"], "inner")
-    first = (at_ext.filter(F.col("side") == "first")
-             .groupBy("tc_shipment_id").agg(F.min("create_date_time").alias("start_of_loading")))
-    last = at_ext.filter(F.col("side") == "last").select("tc_shipment_id", "last_loader").distinct()
-    return first.join(last, "tc_shipment_id", "left").select(
-        "tc_shipment_id", "start_of_loading", "last_loader")
+    known = F.coalesce(F.col("_known"), F.lit(False))
+    per_time = (ev.filter(F.col("tc_shipment_id").isNotNull() & F.col("create_date_time").isNotNull())
+                .groupBy("tc_shipment_id", "create_date_time").agg(
+                    F.max(known).alias("_known"),
+                    F.collect_set(F.when(known, F.struct(proper_name("user_first_name").alias("name")))).alias("_names")))
+    ends = per_time.groupBy("tc_shipment_id").agg(
+        F.min(F.struct("create_date_time", "_known")).alias("_first"),
+        F.max(F.struct("create_date_time", "_names")).alias("_last"))
+    return ends.filter("_first._known").select(
+        "tc_shipment_id", F.col("_first.create_date_time").alias("start_of_loading"),
+        F.explode_outer("_last._names").alias("_one")).select(
+        "tc_shipment_id", "start_of_loading", F.col("_one.name").alias("last_loader"))
 
 
 def load_first_last_selfjoin(prod_trkg_tran: DataFrame, ucl_user: DataFrame,
@@ -153,33 +137,27 @@ def lock_events(lpn: DataFrame, lpn_lock: DataFrame, lock_code: str = OPEN_LOCK_
     return pieces.join(locks, "lpn_id", "inner").select("shipment_id", "created_dttm", "created_source")
 
 
-def _lock_summary(at_ext: DataFrame) -> DataFrame:
-    first, last = F.col("side") == "first", F.col("side") == "last"
-    return at_ext.groupBy("shipment_id").agg(
-        F.min(F.when(first, F.col("created_dttm"))).alias("min_created_dttm"),
-        F.min(F.when(first, F.col("user_first_name"))).alias("min_first_name"),
-        F.min(F.when(last, F.col("created_dttm"))).alias("max_created_dttm"),
-        F.min(F.when(last, F.col("user_first_name"))).alias("max_first_name"))
-
-
 def lock_first_last(lpn: DataFrame, lpn_lock: DataFrame, ucl_user: DataFrame,
                     lock_code: str = OPEN_LOCK_CODE) -> DataFrame:
     """Per shipment: first / last open-lock time and the smallest user name at
     each, skew-safe plan.  A side whose extreme was set only by unknown users
     reads NULL; a shipment with neither side known has no row.
 
-    The locks are first reduced to one row per (shipment, time) - the
-    smallest known user name there and whether any known user is there - by
-    a map-side combined aggregation; the extremes and the final answer come
-    from that much smaller table with a one-to-one join on (shipment, time).
+    One row per (shipment, time) holds the smallest known user name there and
+    whether any known user is there; locks without a time are never an extreme.
     """
     ev = _attach_names(lock_events(lpn, lpn_lock, lock_code), "created_source", ucl_user)
-    per_time = ev.groupBy("shipment_id", "created_dttm").agg(
-        F.min(F.when(F.col("_known"), F.col("user_first_name"))).alias("user_first_name"),
-        F.max(F.coalesce(F.col("_known"), F.lit(False))).alias("_known"))
-    ext = _extreme_times(per_time, "shipment_id", "created_dttm")
-    at_ext = per_time.filter(F.col("_known")).join(ext, ["shipment_id", "created_dttm"], "inner")
-    return _lock_summary(at_ext).select(*LOCK_COLUMNS)
+    per_time = ev.filter(F.col("created_dttm").isNotNull()).groupBy("shipment_id", "created_dttm").agg(
+        F.max(F.coalesce(F.col("_known"), F.lit(False))).alias("_known"),
+        F.min(F.when(F.col("_known"), F.col("user_first_name"))).alias("user_first_name"))
+    at = F.struct("created_dttm", "_known", "user_first_name")
+    ends = per_time.groupBy("shipment_id").agg(F.min(at).alias("_min"), F.max(at).alias("_max"))
+    # an unknown user at the extreme leaves that side NULL
+    side = lambda name, field: F.when(F.col(f"{name}._known"), F.col(f"{name}.{field}"))
+    return ends.filter("_min._known OR _max._known").select(
+        "shipment_id",
+        side("_min", "created_dttm").alias("min_created_dttm"), side("_min", "user_first_name").alias("min_first_name"),
+        side("_max", "created_dttm").alias("max_created_dttm"), side("_max", "user_first_name").alias("max_first_name"))
 
 
 def lock_first_last_selfjoin(lpn: DataFrame, lpn_lock: DataFrame, ucl_user: DataFrame,

@@ -43,16 +43,19 @@ def po_split(objects: DataFrame, purchase_orders: DataFrame, line_items: DataFra
     obj = objects.select("appointment_id", "appt_obj_type", "appt_obj_id")
     po = purchase_orders.select("purchase_orders_id", "tc_purchase_orders_id",
                                 "purchase_orders_status", "business_partner_id")
-    rows = obj.join(po, obj.appt_obj_id == po.purchase_orders_id, "left")
     n_lines = _count_by(line_items, ["purchase_orders_id"], "_n_lines")
     n_partner = _count_by(partners, ["business_partner_id"], "_n_partner")
     n_status = _count_by(statuses, ["purchase_orders_status"], "_n_status")
     n_notes = _count_by(notes.select("purchase_orders_id", po_priority(F.col("note")).alias("_prio")),
                         ["purchase_orders_id", "_prio"], "_n_notes")
-    rows = (rows.join(n_lines, "purchase_orders_id", "left")
-            .join(n_partner, "business_partner_id", "left")
-            .join(n_status, "purchase_orders_status", "left")
-            .join(n_notes, "purchase_orders_id", "left"))
+    # the counts join the POs before the objects do: objects without a PO
+    # would all meet under a NULL key
+    po = (po.filter(F.col("purchase_orders_id").isNotNull())
+          .join(n_lines, "purchase_orders_id", "left")
+          .join(n_notes, "purchase_orders_id", "left")
+          .join(n_partner, "business_partner_id", "left")
+          .join(n_status, "purchase_orders_status", "left"))
+    rows = obj.join(po, obj.appt_obj_id == po.purchase_orders_id, "left")
     one = F.lit(1).cast("long")
     weight = (F.coalesce("_n_lines", one) * F.coalesce("_n_partner", one)
               * F.coalesce("_n_status", one) * F.coalesce("_n_notes", one))

@@ -53,7 +53,8 @@ def task_spans(spans: DataFrame, tasks: DataFrame, bucket: str = "hour") -> Data
     """
     t, kind = F.col("_t"), F.col("_kind")
     slice_of = lambda c: F.unix_timestamp(F.date_trunc(bucket, c))
-    task_rows = tasks.select(
+    # tasks without a trailer or a creation time match no check-in
+    task_rows = tasks.filter(F.col("trailer_id").isNotNull() & F.col("created_dttm").isNotNull()).select(
         "trailer_id", F.col("created_dttm").alias("_t"), F.lit(0).alias("_kind"),
         "created_dttm", "last_updated_dttm", slice_of("created_dttm").alias("_slice"))
     span_rows = spans.select(
@@ -86,16 +87,6 @@ def task_spans(spans: DataFrame, tasks: DataFrame, bucket: str = "hour") -> Data
         F.greatest("_local_max", "_after_max").alias("_max_update"))
 
 
-def task_spans_range_join(spans: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Source shape (same trailer AND checkin <= created, then MIN/MAX).  It
-    pairs every check-in with every later task of its trailer, so it is kept
-    only as the reference for tests on small fixtures."""
-    t = tasks.select(F.col("trailer_id").alias("_t_trailer"), "created_dttm", "last_updated_dttm")
-    j = spans.join(t, (spans.trailer_id == t._t_trailer) & (spans.checkin_dttm <= t.created_dttm), "inner")
-    return j.groupBy("trailer_id", "checkin_dttm").agg(
-        F.min("created_dttm").alias("min_task"), F.max("last_updated_dttm").alias("_max_update"))
-
-
 def trailer_tasks(detail: DataFrame, visit: DataFrame, trailer_ref: DataFrame,
                   locn_hdr: DataFrame, tasks: DataFrame, spans_fn=task_spans) -> DataFrame:
     groups = visit_rows(detail, visit, trailer_ref, locn_hdr).select(*TIMELINE_KEYS).distinct()

@@ -27,7 +27,6 @@ from quaysight.operators import materialize, materialize_all, restrict_to
 from quaysight.operators.dock import (
     OPEN_STATUS_BELOW,
     load_percentage,
-    load_percentage_fanout,
     loaded_weight,
     shipment_stops,
     stop_stage_counts,
@@ -101,17 +100,12 @@ def dock_rows(w: Wms, inputs: tuple[DataFrame, DataFrame, DataFrame] | None = No
 def _finish(grouped: DataFrame, ordered: bool) -> DataFrame:
     out = grouped.select(*DOCK_COLUMNS)
     if ordered:
-        # Source order: door ascending with NULLs last, stop descending with NULLs first.
-        out = out.orderBy(F.col("porte_de_quai").asc_nulls_last(), F.col("arret").desc_nulls_first())
+        # Source order: door ascending with NULLs last, stop descending with NULLs first;
+        # the shipment code after them lets the range sort split a busy door.
+        out = out.orderBy(F.col("porte_de_quai").asc_nulls_last(), F.col("arret").desc_nulls_first(), "chargement")
     return out
 
 
 def dock_doors(w: Wms, ordered: bool = True) -> DataFrame:
     inputs = open_inputs(w)
     return _finish(load_percentage(dock_rows(w, inputs), inputs[0], GROUP_COLUMNS), ordered)
-
-
-def dock_doors_fanout(w: Wms, ordered: bool = True) -> DataFrame:
-    """Source shape of the percentage (pieces joined to every row); it pairs
-    every report row with every piece of its shipment - tests only."""
-    return _finish(load_percentage_fanout(dock_rows(w), w.lpn, GROUP_COLUMNS), ordered)

@@ -35,8 +35,8 @@ from quaysight.functions.clock import (
     to_char,
 )
 from quaysight.functions.semantics import proper_name
-from quaysight.operators import materialize, materialize_all, restrict_to
-from quaysight.operators.extremes import LOAD_MENU_OPTION, OPEN_LOCK_CODE, load_first_last, lock_first_last
+from quaysight.operators import materialize, restrict_to
+from quaysight.operators.extremes import load_first_last, lock_first_last
 from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes
 from quaysight.operators.shipments import (
     NOT_CLOSED_FROM_DAYS,
@@ -97,20 +97,8 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
     ship_pieces = restrict_to(pieces, ships, "shipment_id")
 
     segments = stage_segments(classified_pieces(ship_pieces, w.locn_hdr, ACTIVITY_RULE))
-    # The first/last operators read their events twice (extremes, candidates);
-    # the typed shipments' events are written once, concurrently, so each of
-    # those tables is scanned once.
-    events = materialize_all({
-        "load_events": restrict_to(
-            w.prod_trkg_tran.filter(F.col("menu_optn_name") == LOAD_MENU_OPTION)
-            .select("ref_field_1", "menu_optn_name", "create_date_time", "user_id"),
-            ships, "ref_field_1", "tc_shipment_id"),
-        "lock_events": restrict_to(
-            w.lpn_lock.filter(F.col("inventory_lock_code") == OPEN_LOCK_CODE)
-            .select("lpn_id", "inventory_lock_code", "created_dttm", "created_source"),
-            ship_pieces, "lpn_id"),
-    })
-    trkg, locks_of_ships = events["load_events"], events["lock_events"]
+    trkg = restrict_to(w.prod_trkg_tran, ships, "ref_field_1", "tc_shipment_id")
+    locks_of_ships = restrict_to(w.lpn_lock, ship_pieces, "lpn_id")
     notes = restrict_to(w.shipment_note, ships, "shipment_id")
     loads = load_first_last(trkg, w.ucl_user)
     locks = lock_first_last(ship_pieces, locks_of_ships, w.ucl_user)

@@ -106,7 +106,7 @@ def test_same_rows_without_broadcast_or_aqe(spark, duck_small):
 
 @pytest.mark.parametrize("report,as_of,limits", [
     ("shipment_activity", "2001-07-20 12:00:00",
-     {"lpn": 0, "prod_trkg_tran": 0, "lpn_lock": 0, "shipment_note": 0, "do_orders": 0}),
+     {"lpn": 0, "prod_trkg_tran": 1, "lpn_lock": 1, "shipment_note": 0, "do_orders": 0}),
     ("dock_doors", None, {"lpn": 1, "shipment_note": 0}),
     ("appointments", "2024-01-12 12:00:00",
      {"ilm_appt_custom_attribute": 0, "ilm_appointment_objects": 0, "trailer_visit": 0, "ilm_tasks": 1}),

@@ -144,11 +144,11 @@ def test_fanout_forms_equal_preaggregated(spark):
     from quaysight.operators.dock import (
         load_percentage,
         load_percentage_by_multiplicity,
-        load_percentage_fanout,
         shipment_stops,
     )
-    from quaysight.operators.trailers import task_spans_range_join, trailer_tasks
-    from quaysight.plans.dock_doors import dock_doors, dock_doors_fanout
+    from quaysight.operators.trailers import trailer_tasks
+    from quaysight.plans.dock_doors import dock_doors
+    from tests.pair_forms import dock_doors_fanout, load_percentage_fanout, task_spans_range_join
     from quaysight.sources import Wms
     from tests.conftest import SMALL
 
@@ -158,13 +158,14 @@ def test_fanout_forms_equal_preaggregated(spark):
     pairs = _rows(load_percentage_fanout(rows, w.lpn, keys))
     assert _rows(load_percentage(rows, w.lpn, keys)) == pairs
     assert _rows(load_percentage_by_multiplicity(rows, w.lpn, keys)) == pairs
-    assert _rows(dock_doors(w, ordered=False)) == _rows(dock_doors_fanout(w, ordered=False))
+    assert _rows(dock_doors(w, ordered=False)) == _rows(dock_doors_fanout(w))
     args = (w.trailer_visit_detail, w.trailer_visit, w.trailer_ref, w.locn_hdr, w.ilm_tasks)
     assert _rows(trailer_tasks(*args)) == _rows(trailer_tasks(*args, spans_fn=task_spans_range_join))
 
 
 def test_task_spans_ties_and_slices(spark):
-    from quaysight.operators.trailers import task_spans, task_spans_range_join
+    from quaysight.operators.trailers import task_spans
+    from tests.pair_forms import task_spans_range_join
 
     d = dt.datetime
     spans = spark.createDataFrame([
@@ -200,7 +201,8 @@ def test_drop_materialized(spark):
 def test_hot_trailer_and_hot_shipment(spark):
     """One trailer / one shipment holding most rows: the sliced suffix scan
     and the pre-aggregated first/last agree with brute force."""
-    from quaysight.operators.trailers import task_spans, task_spans_range_join
+    from quaysight.operators.trailers import task_spans
+    from tests.pair_forms import task_spans_range_join
 
     d = dt.datetime
     base = d(2024, 1, 1)

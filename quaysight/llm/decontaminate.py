@@ -2,10 +2,11 @@
 
 A seed hashes the words at the fixed positions of a mask and ignores those in
 between, so a copy with some words replaced still shares seeds.  Training
-texts are seeded at every second word, benchmark items at every word; equal
-seeds give hits on a diagonal (document position minus item position).  Around
-each hit the item is laid over the text and the best window of words must
-agree in three of four.
+texts and benchmark items are seeded at every word; equal seeds give hits on a
+diagonal (document position minus item position).  Around each hit the item is
+laid over the text and the best window of words must agree in three of four.
+The masks leave out no such window: wherever the replaced words of a window of
+LEAST to WINDOW words lie, one mask fits between them.
 """
 
 from __future__ import annotations
@@ -16,11 +17,10 @@ from pyspark.sql import functions as F
 from quaysight.llm.common import stored
 
 # Positions that count, of each mask.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6))
 SHORTEST = 5
 # Words that an item must have to be evidence.
 LEAST = 8
-STRIDE = 2
 # Words of the window that is verified (whole items, if shorter) and the share that must agree.
 WINDOW = 13
 AGREE = 0.75
@@ -36,11 +36,11 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _NOT_WORD), lambda w: w != "")
 
 
-def seeds_at(words: Column, stride: int) -> tuple[Column, Column]:
-    """(seeds, places): the seeds of all masks at every ``stride``-th word,
-    one mask after the other, and how many places each mask has."""
-    places = F.greatest(F.lit(0), F.floor((F.size(words) - SHORTEST) / stride).cast("int") + 1)
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), places - 1) * stride, F.lit(stride))
+def seeds_at(words: Column) -> tuple[Column, Column]:
+    """(seeds, places): the seeds of all masks at every word, one mask after
+    the other, and how many places each mask has."""
+    places = F.greatest(F.lit(0), F.size(words) - SHORTEST + 1)
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), places - 1))
 
     def of_mask(number: int, mask: tuple[int, ...]) -> Column:
         # null where the mask reaches past the end
@@ -51,13 +51,13 @@ def seeds_at(words: Column, stride: int) -> tuple[Column, Column]:
     return F.when(places > 0, every).otherwise(F.array().cast("array<bigint>")), places
 
 
-def seeded(frame: DataFrame, keys: list[str], stride: int) -> DataFrame:
+def seeded(frame: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, ``at`` (word position from 0) and ``seed``; ``frame`` has the
     column ``words``."""
     hashed = frame.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    seeds, places = seeds_at(F.col("h"), stride)
+    seeds, places = seeds_at(F.col("h"))
     return (hashed.select(*keys, places.alias("places"), F.posexplode(seeds).alias("i", "seed"))
-            .select(*keys, (F.pmod("i", "places") * stride).cast("int").alias("at"), "seed")
+            .select(*keys, F.pmod("i", "places").cast("int").alias("at"), "seed")
             .where("seed IS NOT NULL"))
 
 
@@ -80,7 +80,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = stored(benchmark.select(F.col(item_col).alias("item_id"), text_words(F.col(item_text)).alias("item"))
                    .where(F.size("item") >= LEAST).distinct(), "items")
     tests = stored(seeded(items.withColumnRenamed("item", "words").withColumn("item_key", F.xxhash64("words")),
-                          ["item_id", "item_key"], 1).withColumnRenamed("at", "item_at"), "item-seeds")
+                          ["item_id", "item_key"]).withColumnRenamed("at", "item_at"), "item-seeds")
     if tests.count() <= BROADCAST_SEEDS:
         tests = F.broadcast(tests)
     size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
@@ -89,7 +89,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         laid = F.broadcast(laid)
     texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"),
                         text_words(F.col(text_col)).alias("words"))
-    hits = stored(seeded(texts, ["row_key"], STRIDE).join(tests, "seed")
+    hits = stored(seeded(texts, ["row_key"]).join(tests, "seed")
                   .select("row_key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal"))
                   .distinct(), "hits")
     window = F.least(F.lit(WINDOW), F.size("item"))

@@ -215,6 +215,29 @@ def test_leaks_with_substitutions_are_found_and_clean_texts_left(spark):
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 == decontaminate.overlaps(df.limit(0), bench).count()
 
 
+def test_every_accepted_pattern_is_found_at_both_parities(spark):
+    docs, items, most = [], [], {}
+    for size in range(8, 14):
+        item = [f"w{size}x{i}" for i in range(size)]
+        items.append((size, " ".join(item)))
+        most[size] = math.ceil(0.75 * size)
+        for gone in itertools.combinations(range(size), size - most[size]):
+            copy = ["changed" if i in gone else w for i, w in enumerate(item)]
+            docs += [(size * 10_000 + len(docs), " ".join(["before"] * offset + copy + ["after"] * 3), "", "", 0)
+                     for offset in (4, 5)]
+    docs = [(i, *d[1:], d[0] // 10_000) for i, d in enumerate(docs)]
+    # every fourth word replaced in a long copy, at both parities
+    long = [f"long{i}" for i in range(100)]
+    items.append((100, " ".join(long)))
+    periodic = " ".join("changed" if i % 4 == 1 else w for i, w in enumerate(long))
+    docs += [(len(docs) + offset, "before " * offset + periodic, "", "", 0, 100) for offset in (4, 5)]
+    df = spark.createDataFrame(docs, f"{DOCS}, size long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(df, bench).collect()}
+    assert set(got) == {(d[0], d[-1]) for d in docs}
+    assert all(got[d[0], d[-1]] == most.get(d[-1], 10) for d in docs)
+
+
 def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     both = []

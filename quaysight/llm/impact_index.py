@@ -1,6 +1,6 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Vectors are integers.  The index cuts the rows into blocks; in a block the
+Vectors are whole numbers.  The index cuts the rows into blocks; in a block the
 postings of each dimension are sorted by quantised impact, the size of the
 component in steps of STEP.  All dimensions' segments of the highest impact are
 processed first, for a chunk of queries at once, then the next.  What is not
@@ -9,10 +9,15 @@ yet processed can change a score by at most ``rest = sum |q_d| * u_d`` with
 only if its partial score reaches the k-th best partial score less
 ``2 * rest``.  A query stops when that proof leaves few rows; those are scored
 exactly.  Without such proof all segments are processed.
+
+Pairs with a component over LARGEST are all scored, in 64 bits where the product
+provably fits and in Python's integers elsewhere, and join the same ranking.
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +33,30 @@ BLOCK = 8192
 CHUNK = 128
 # A query stops when at most this many rows can still be members.
 FEW = 256
-# Components whose scaled value exceeds this have no exact score in 64 bits.
+# Vectors with a larger component than this are scored pair by pair in exact
+# integers, without the index: there, 64 bits and doubles would not do.
 LARGEST = 1 << 22
 
 
 def scaled(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component as long; null if the vector is null
-    or has a null, non-finite or too large component."""
+    """floor(scale * x) of each component, a whole number as double; null if
+    the vector is null or has a null or non-finite component.  A finite
+    component for which scale * x is beyond a double is an error."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= F.lit(float(LARGEST) / scale)))
-    return F.when(vector.isNotNull() & F.coalesce(fit, F.lit(False)), F.transform(x, lambda v: F.floor(v * scale)))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+
+    def floor(y: Column) -> Column:
+        # from 2^53 on every double is whole
+        return (F.when(F.abs(y) < F.lit(2.0 ** 53), F.floor(y).cast("double"))
+                .when(F.abs(y) == F.lit(float("inf")), F.raise_error(F.lit("scale * x is beyond a double")).cast("double"))
+                .otherwise(y))
+
+    return F.when(vector.isNotNull() & F.coalesce(finite, F.lit(False)), F.transform(x, lambda v: floor(v * scale)))
+
+
+def _is_wide(vector: str) -> Column:
+    # two comparisons: abs of the smallest long overflows
+    return F.exists(vector, lambda v: (v > LARGEST) | (v < -LARGEST))
 
 
 def _packed(rows: list[list[int]]) -> tuple[np.ndarray, int]:
@@ -86,9 +105,10 @@ _BLOCK_SCHEMA = "block long, width int, ids binary, x binary, postings binary"
 
 
 def index(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """The index of integer vectors, stored: one row per block."""
+    """The index of the vectors without a component over LARGEST, stored: one
+    row per block."""
     rows = vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).where(
-        F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
+        F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~_is_wide(vector_col))
     return stored(rows.mapInArrow(_blocks(BLOCK), _BLOCK_SCHEMA), "impact-index")
 
 
@@ -161,12 +181,72 @@ def _search(k: int):
     return run
 
 
+def _pickled(size: int):
+    """Rows (id, vector) -> blocks of at most ``size`` rows of one task, in
+    Python's integers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                rows = [list(map(int, v)) for v in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((part.column(0).to_pylist(), rows))], pa.binary())],
+                                                 names=["rows"])
+    return run
+
+
+def _matrix(rows: list[list[int]], width: int, kind) -> np.ndarray:
+    out = np.zeros((len(rows), width), kind)
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    return out
+
+
+def _score_pairs(k: int):
+    """Blocks of rows and of queries -> for each query the k best of the block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                (ids, x), (q_ids, q) = pickle.loads(r["rows"]), pickle.loads(r["q_rows"])
+                width = max(map(len, x + q))
+                most = [max((abs(c) for v in rows for c in v), default=0) for rows in (x, q)]
+                fits = max(1, width) * max(1, most[0]) * max(1, most[1]) < 1 << 63
+                kind = np.int64 if fits else object
+                scores = _matrix(q, width, kind) @ _matrix(x, width, kind).T if width else np.zeros((len(q), len(x)), kind)
+                out = [(q_id, i, -s) for q_id, row in zip(q_ids, scores.tolist(), strict=True)
+                       for s, i in heapq.nsmallest(k, ((-s, i) for s, i in zip(row, ids, strict=True) if i != q_id))]
+                long = [-(1 << 63) <= s < 1 << 63 for *_, s in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+                     pa.array([o[2] if f else None for o, f in zip(out, long, strict=True)], pa.int64()),
+                     pa.array([None if f else str(o[2]) for o, f in zip(out, long, strict=True)], pa.string())],
+                    names=["query_id", "vec_id", "score", "wide_score"])
+    return run
+
+
+def _wide_hits(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+    """The best pairs of which at least one vector has a component over
+    LARGEST; None without such a vector."""
+    wide = stored(rows.where(_is_wide("v")), "wide-vectors")
+    if wide.isEmpty():
+        return None
+
+    def met(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+        q = queries.mapInArrow(_pickled(CHUNK), "rows binary").withColumnRenamed("rows", "q_rows")
+        return candidates.mapInArrow(_pickled(BLOCK), "rows binary").crossJoin(q).mapInArrow(
+            _score_pairs(k), "query_id long, vec_id long, score long, wide_score string")
+
+    asked = stored(asked, "asked")
+    return met(wide, asked).unionByName(met(rows.where(~_is_wide("v")), asked.where(_is_wide("v"))))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
           vector_col: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for every row with ``is_query`` the
-    k highest inner products with the other rows, ties to the smaller id.
+    """``(query_id, rank, vec_id, score, wide_score)``: for every row with
+    ``is_query`` the k highest inner products with the other rows, ties to the
+    smaller id.  A score beyond 64 bits is null in ``score`` and stands in
+    ``wide_score`` as its decimal digits, which is null otherwise.
 
-    ``vector_col`` holds arrays of long.  Rows with a null id or vector take no
+    ``vector_col`` holds arrays of whole numbers, long or double.  Rows with a null id or vector take no
     part; shorter vectors count as filled up with zeros.  Rows that repeat an
     id are candidates each, but never of a query with that id; of a repeated
     query id the smallest vector asks.  Without queries or candidates there are
@@ -176,13 +256,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     blocks = index(vectors, id_col, vector_col)
     asked = vectors.where(is_query).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).groupBy(
         F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))
-    queries = stored(asked.mapInArrow(_blocks(4 * CHUNK), _BLOCK_SCHEMA).select(
+    wide = _wide_hits(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(
+        "id IS NOT NULL AND v IS NOT NULL"), asked, k)
+    queries = stored(asked.where(~_is_wide("v")).mapInArrow(_blocks(4 * CHUNK), _BLOCK_SCHEMA).select(
         F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")), "query-blocks")
     places = blocks.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)   # a row per block
     number = blocks.count()
     spread = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(max(0, number - 1)))))
     met = spread.join(places, "place").join(blocks, "block").select(
         "q_width", "q_ids", "q_x", "width", "ids", "x", "postings")
-    hits = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = met.mapInArrow(_search(k), "query_id long, vec_id long, score long").withColumn(
+        "wide_score", F.lit(None).cast("string"))
+    if wide is not None:
+        hits = hits.unionByName(wide)
+    # wide scores by sign and length, then by digit
+    negative = F.startswith("wide_score", F.lit("-"))
+    length = F.coalesce(F.length("wide_score") * F.when(negative, F.lit(-1)).otherwise(1), F.lit(0))
+    digits = F.when(negative, F.translate("wide_score", "0123456789", "9876543210")).otherwise(F.col("wide_score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(length.desc(), F.desc("score"), digits.desc(), "vec_id"))
+    return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score", "wide_score")

@@ -182,6 +182,28 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block):
     assert impact_index.top_k(scaled.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 8192])
+def test_large_components_are_candidates_and_queries(spark, monkeypatch, block):
+    monkeypatch.setattr(impact_index, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(60)]
+    rows += [(100 + 10 * n + i, [rng.choice((-1, 1)) * rng.random() * size for _ in range(4)])
+             for n, size in enumerate((5000, 1e6, 1e12, 1e30, 3e38, 1e200)) for i in range(6)]
+    rows += [(200, [5000.0]), (201, [1e30] * 5), (202, [-1e30] * 4), (203, [1e30] * 5)]   # short, long, opposite, tie
+    df = spark.createDataFrame([*rows, (300, [float("inf")] * 4), (301, [1e9, None])], "vec_id long, embedding array<double>")
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    got = defaultdict(list)
+    scaled = df.select("vec_id", impact_index.scaled(F.col("embedding")).alias("embedding"))
+    for r in impact_index.top_k(scaled, F.col("vec_id") % 5 == 0, k=70).orderBy("query_id", "rank").collect():
+        assert (r.score is None) != (r.wide_score is None)
+        got[r.query_id].append((r.vec_id, int(r.wide_score) if r.score is None else r.score))
+    assert dict(got) == nearest(ints, [x for x in ints if x[0] % 5 == 0], 70)
+    longs = spark.createDataFrame([(1, [-2**63, 2**63 - 1]), (2, [2**63 - 1, 2**62 + 1]), (3, [1, 0])], "vec_id long, embedding array<long>")
+    best = impact_index.top_k(longs, F.lit(True), k=1).orderBy("query_id").collect()
+    assert [(r.query_id, r.vec_id, r.score, r.wide_score) for r in best] == [
+        (1, 3, -2**63, None), (2, 3, 2**63 - 1, None), (3, 2, 2**63 - 1, None)]
+
+
 # 5: decontamination
 
 def test_leaks_with_substitutions_are_found_and_clean_texts_left(spark):

@@ -6,12 +6,17 @@ the background model all documents.  A document's score is the mean over its
 words of target loss minus background loss (nats): the lower, the closer to
 the target.
 
-The vocabulary is every word of the corpus.  The most frequent words have
-bigrams of their own; all others share one symbol in the bigrams, and the loss
-of such a word is that of the symbol plus that of the word under it (add-one
-over all words of the symbol).  The bigram matrix is thus bounded, while the
-word table grows with the corpus: its most frequent part is broadcast, a
-bounded number of words, and the occurrences of all others are joined with it.
+The vocabulary is every word of the corpus, and every distinct pair of words is
+counted.  Pairs of the most frequent words lie in a matrix that is broadcast;
+all others lie in a distributed table that grows with the corpus.  The
+documents are read once for the pairs: a block of documents gives its distinct
+pairs with the documents that hold them, and these are summed, given their
+losses by joins and joined back.
+
+With a number of symbols (``size``) the model is one of classes instead: the
+most frequent words have bigrams of their own, all others share one symbol, and
+the loss of such a word is that of the symbol plus that of the word under it
+(add-one over all words of the symbol).
 """
 
 from __future__ import annotations
@@ -26,10 +31,13 @@ from pyspark.sql import functions as F
 
 from quaysight.llm.common import stored
 
-# Symbols of the bigrams; symbol 0 stands for all other words.
-VOCABULARY = 2048
-# Further words whose losses are broadcast; those of all others are joined.
+# Words whose pairs lie in the matrix, the start of a text among them.
+CACHED = 2048
+# Further words whose counts are broadcast; those of all others are joined.
 KNOWN = 1 << 17
+# Words of a block of documents, at least, and pairs that travel in one batch.
+BLOCK_WORDS = 1 << 20
+BATCH = 1 << 15
 # Histories (rows of the count matrix) that travel as one row.
 BLOCK = 64
 # Distinct words that a task counts before it passes them on.
@@ -81,15 +89,21 @@ def bigram_counts(docs: DataFrame, ids, size: int, target_col: str, text_col: st
     """``(block, cells, target, background)``: counts of every pair of symbols
     (history row ``size`` is the start of a text), summed over all documents
     and packed by block of histories.  Each task sums its own documents first."""
+    def cells_of(text: str | None) -> np.ndarray:
+        s = _symbols(text, ids.value, size)[0]
+        return np.concatenate(([size], s[:-1])) * size + s if len(s) else s
+
+    return _summed(docs.select(F.col(text_col).cast("string"), F.col(target_col)), cells_of, size)
+
+
+def _summed(frame: DataFrame, cells_of, size: int) -> DataFrame:
+    """Rows (value, good) -> the cells of all values, counted as in ``bigram_counts``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ids.value
         total = np.zeros((2, (size + 1) * size), np.int64)
         for batch in batches:
             keys: tuple[list, list] = ([], [])
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = _symbols(text, known, size)[0]
-                if len(s):
-                    keys[bool(good)].append(np.concatenate(([size], s[:-1])) * size + s)
+            for value, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys[bool(good)].append(cells_of(value))
             for good in (0, 1):
                 if keys[good]:
                     cells, n = np.unique(np.concatenate(keys[good]), return_counts=True)
@@ -118,8 +132,17 @@ def bigram_counts(docs: DataFrame, ids, size: int, target_col: str, text_col: st
 
     schema = "block int, cells binary, target binary, background binary"
     # a block's rows: one per task; each is at most BLOCK * size cells
-    return (docs.select(F.col(text_col).cast("string"), F.col(target_col)).mapInArrow(count, schema)
-            .groupBy("block").applyInArrow(merge, schema))
+    return frame.mapInArrow(count, schema).groupBy("block").applyInArrow(merge, schema)
+
+
+def _gathered(counted: DataFrame, size: int) -> np.ndarray:
+    """Target and background counts of all cells, at most (size + 1) * size."""
+    counts = np.zeros((2, (size + 1) * size), np.int64)
+    for row in counted.toLocalIterator():
+        at = np.frombuffer(row.cells, np.int32)
+        counts[0][at] = np.frombuffer(row.target, np.int64)
+        counts[1][at] = np.frombuffer(row.background, np.int64)
+    return counts
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -136,8 +159,177 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size: int = VOCABULARY, known: int = KNOWN,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _pairs(ids, size: int):
+    """Rows (id, text, good) -> a row per document with its cells of the
+    matrix, and per block of documents a row per distinct other pair with the
+    documents that hold it.  ``row`` is the document's number, or that of the
+    block's first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 40
+        names = ("row", "doc_id", "n_words", "good", "cells", "hid", "wid", "h", "w", "n", "t", "docs")
+        kinds = (pa.int64(), None, pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(),
+                 pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        held: list = []
+        local = _Numbers()
+
+        def out(columns: dict, count: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            made = pa.RecordBatch.from_arrays(
+                [columns.get(n, pa.nulls(count, k or id_type)) for n, k in zip(names, kinds, strict=True)], names=list(names))
+            for at in range(0, count, BATCH):
+                yield made.slice(at, BATCH)
+
+        def block(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            nonlocal made, held, local
+            sizes = np.array([len(s) for _, s, _ in held], np.int64)
+            start = len(local)
+            w = np.concatenate([s for _, s, _ in held])
+            h = np.concatenate(([start], w[:-1])) if len(w) else w
+            first = np.cumsum(sizes) - sizes
+            h[first[sizes > 0]] = start
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            # a word's id, 0 if it is not known; the start's is size
+            number = np.array([*map(ids.value.get, local, [0] * start), size], np.int32)
+            hid, wid = number[h], number[w]
+            cached = (hid > 0) & (hid <= size) & (wid > 0) & (wid < size)
+            cells = hid[cached] * size + wid[cached]
+            cut = np.searchsorted(doc[cached], np.arange(len(held) + 1))
+            yield from out({
+                "row": pa.array(made + np.arange(len(held))), "doc_id": pa.array([d for d, _, _ in held], id_type),
+                "n_words": pa.array(sizes), "good": pa.array([g for *_, g in held], pa.bool_()),
+                "cells": pa.array([cells[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())},
+                len(held), id_type)
+            key = (h * (start + 1) + w)[~cached]
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[~cached][order]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            if len(key):
+                good = np.array([bool(g) for *_, g in held], np.int64)[doc]
+                h, w = np.divmod(key[begin], start + 1)
+                # a known word goes by its id alone
+                spelt = pa.array([b"" if k else word for word, k in zip([*local, b""], number.tolist(), strict=True)], pa.binary())
+                ends = np.append(begin, len(key)).astype(np.int32)
+                yield from out({
+                    "row": pa.array(np.full(len(begin), made)), "hid": pa.array(number[h]), "wid": pa.array(number[w]),
+                    "h": spelt.take(pa.array(h)), "w": spelt.take(pa.array(w)), "n": pa.array(np.diff(ends).astype(np.int64)),
+                    "t": pa.array(np.add.reduceat(good, begin)), "docs": pa.ListArray.from_arrays(pa.array(ends), pa.array(doc))},
+                    len(begin), id_type)
+            made += len(held)
+            held, local = [], _Numbers()
+
+        id_type, words = pa.null(), 0
+        for batch in batches:
+            id_type = batch.column(0).type
+            for i, text, good in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.array([*map(local.__getitem__, words_of(text))], np.int64)
+                held.append((i, s, bool(good)))
+                words += len(s)
+                if words >= BLOCK_WORDS:
+                    yield from block(id_type)
+                    words = 0
+        if held:
+            yield from block(id_type)
+    return run
+
+
+def _score_all_pairs(docs: DataFrame, marked: DataFrame, words: DataFrame, known: int, cached: int, id_col: str,
+                     text_col: str) -> DataFrame:
+    """``score`` over all distinct pairs of words."""
+    spark = docs.sparkSession
+    sc, size = spark.sparkContext, cached
+    # at most size - 1 + known words come to the driver; size is the id of the start
+    first = words.orderBy(F.desc("n"), "word").limit(size - 1 + known).collect()
+    number = [*range(1, size), *range(size + 1, size + 1 + known)]
+    ids = sc.broadcast({bytes(r.word): i for r, i in zip(first, number)})
+    kinds, *sums = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    kind = docs.schema[id_col].dataType.simpleString()
+    # written, so that a row keeps its number
+    begun = stored(marked.select("__id", F.col(text_col).cast("string"), "__good").mapInArrow(
+        _pairs(ids, size), f"row long, doc_id {kind}, n_words long, good boolean, cells binary, hid int, wid int, h binary, w binary, "
+        "n long, t long, docs array<int>"), "begun")
+    texts, posted = begun.where("hid IS NULL"), begun.where("hid IS NOT NULL")
+    key = ["hid", "wid", "h", "w"]
+    pairs = stored(posted.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
+    # words that follow a word and how many of them are distinct
+    after = stored(pairs.groupBy("hid", "h").agg(
+        F.sum("t").alias("seen_t"), F.count_if(F.col("t") > 0).alias("kinds_t"), F.sum("n").alias("seen_n"),
+        F.count("*").alias("kinds_n")), "after")
+    cells = _gathered(_summed(texts.select("cells", "good"), lambda c: np.frombuffer(c, np.int32), size), size)
+    cells = [c.reshape(size + 1, size) for c in cells]
+    seen, distinct = ([f(c) for c in cells] for f in (lambda c: c.sum(axis=1), lambda c: np.count_nonzero(c, axis=1)))
+    for r in after.where((F.col("hid") > 0) & (F.col("hid") <= size)).collect():   # at most size rows
+        for m, (s, k) in enumerate(((r.seen_t, r.kinds_t), (r.seen_n, r.kinds_n))):
+            seen[m][r.hid] += s
+            distinct[m][r.hid] += k
+    models = []
+    for m in (0, 1):
+        base = np.zeros(size)
+        for r, i in zip(first[:size - 1], number):
+            base[i] = ((r.t, r.n)[m] + 1) / (sums[m] + kinds)
+        table = np.zeros(cells[m].shape, np.float32)
+        for h in range(1, size + 1):   # row by row: no further matrix in memory
+            if seen[1][h]:
+                p = (cells[m][h] + distinct[m][h] * base) / (seen[m][h] + distinct[m][h]) if seen[m][h] else base
+                table[h, 1:len(first[:size - 1]) + 1] = -np.log(p[1:len(first[:size - 1]) + 1])
+        models.append(table.ravel())
+    models = sc.broadcast(models)
+
+    counted = "hid int, seen_t long, kinds_t long, seen_n long, kinds_n long"
+    few = spark.createDataFrame([(h, *(int(x[m][h]) for m in (0, 1) for x in (seen, distinct))) for h in range(1, size + 1)], counted)
+    histories = F.broadcast(few.unionByName(after.where(F.col("hid") > size).drop("h")))
+    follow = F.broadcast(spark.createDataFrame([(i, r.t, r.n) for r, i in zip(first, number)], "wid int, word_t long, word_n long"))
+    rare_after = after.where("hid = 0").drop("hid")
+    rare = words.select(F.col("word").alias("w"), F.col("t").alias("word_t"), F.col("n").alias("word_n"))
+    # a known word is never the key of a shuffle: no hot key
+    full = None
+    for known_h in (True, False):
+        for known_w in (True, False):
+            part = pairs.where(f"hid {'>' if known_h else '='} 0 AND wid {'>' if known_w else '='} 0")
+            part = part.join(histories, "hid") if known_h else part.join(rare_after, "h")
+            part = part.join(follow, "wid") if known_w else part.join(rare, "w")
+            full = part if full is None else full.unionByName(part)
+
+    def loss(m: str, total: int):
+        base = (F.col(f"word_{m}") + 1) / F.lit(float(total + kinds))
+        return -F.log(F.when(F.col(f"seen_{m}") > 0, (F.col(m) + F.col(f"kinds_{m}") * base) / (F.col(f"seen_{m}") + F.col(f"kinds_{m}")))
+                      .otherwise(base))
+
+    priced = full.select(*key, loss("t", sums[0]).alias("loss_t"), loss("n", sums[1]).alias("loss_n"))
+    others = (posted.select(*key, "row", "docs").join(priced, key)
+              .select(F.explode(F.transform("docs", lambda d: F.col("row") + d)).alias("row"), "loss_t", "loss_n")
+              .groupBy("row").agg(F.sum("loss_t").alias("rest_t"), F.sum("loss_n").alias("rest_n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = models.value
+        for batch in batches:
+            at = [np.frombuffer(c, np.int32) for c in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *(pa.array([float(t[c].sum(dtype=np.float64)) for c in at], pa.float64()) for t in tables)],
+                names=["row", "doc_id", "n_words", "target", "background"])
+
+    summed = texts.select("row", "doc_id", "n_words", "cells").mapInArrow(
+        run, f"row long, doc_id {kind}, n_words long, target double, background double")
+    return _means(summed.join(others, "row", "left"))
+
+
+def _means(sums: DataFrame) -> DataFrame:
+    losses_of = [(F.col(c) + F.coalesce(f"rest_{r}", F.lit(0.0))) / F.nullif("n_words", F.lit(0))
+                 for c, r in (("target", "t"), ("background", "n"))]
+    return sums.select("doc_id", "n_words", losses_of[0].alias("target_loss"), losses_of[1].alias("background_loss"),
+                       (losses_of[0] - losses_of[1]).alias("score"))
+
+
+def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size: int | None = None, known: int = KNOWN,
+          cached: int = CACHED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, target_loss, background_loss, score)`` per row of
     ``docs``; losses are means per word in nats.
 
@@ -145,15 +337,17 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size:
     ``target`` holds (null is no; repeated labels count once).  Repeated
     documents count as often as they occur.  Null and blank texts have 0 words
     and null losses; a null id is never in the target.  Without any target the
-    target model is uniform over its symbols and over the words of symbol 0.
-    An empty table gives no rows.  ``known`` moves work between a broadcast and
-    a join and changes no score.
+    target model is uniform over all words (with ``size``, over its symbols and
+    over the words of symbol 0).  An empty table gives no rows.  ``known`` and
+    ``cached`` move work between a broadcast and a join and change no score.
     """
     sc = docs.sparkSession.sparkContext
     good = stored(labels.where(F.expr(target)).select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
                   .withColumn("__good", F.lit(True)), "target-ids")
     marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias(text_col)).join(good, "__id", "left")
     words = stored(word_counts(marked, "__good", text_col), "words")
+    if size is None:
+        return _score_all_pairs(docs, marked, words, known, cached, id_col, text_col)
     # at most size - 1 + known words come to the driver
     first = words.orderBy(F.desc("n"), "word").limit(size - 1 + known).collect()
     kinds, *sums = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -167,12 +361,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size:
     # symbols 1 to size - 1, then the known words of symbol 0
     ids = sc.broadcast({bytes(r.word): i for i, r in enumerate(top, 1)}
                        | {bytes(r.word): i for i, r in enumerate(first[size - 1:], size)})
-    counts = np.zeros((2, (size + 1) * size), np.int64)
-    # at most (size + 1) * size cells
-    for row in bigram_counts(marked, ids, size, "__good", text_col).toLocalIterator():
-        at = np.frombuffer(row.cells, np.int32)
-        counts[0][at] = np.frombuffer(row.target, np.int64)
-        counts[1][at] = np.frombuffer(row.background, np.int64)
+    counts = _gathered(bigram_counts(marked, ids, size, "__good", text_col), size)
     models = sc.broadcast([losses(c.reshape(size + 1, size)).ravel() for c in counts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +387,4 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality = 1", size:
     # each word here is rarer than the known ones: no hot key
     rest = (begun.select("row", F.explode("rest").alias("word")).join(words, "word").groupBy("row")
             .agg(*(F.sum(F.log((F.lit(x) + kinds) / (F.col(c) + 1))).alias(f"rest_{c}") for x, c in zip(sums, "tn", strict=True))))
-    losses_of = [(F.col(c) + F.coalesce(f"rest_{r}", F.lit(0.0))) / F.nullif("n_words", F.lit(0))
-                 for c, r in (("target", "t"), ("background", "n"))]
-    return begun.drop("rest").join(rest, "row", "left").select(
-        "doc_id", "n_words", losses_of[0].alias("target_loss"), losses_of[1].alias("background_loss"),
-        (losses_of[0] - losses_of[1]).alias("score"))
+    return _means(begun.drop("rest").join(rest, "row", "left"))

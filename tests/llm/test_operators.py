@@ -140,6 +140,41 @@ def test_losses_match_plain_counting(spark, known):
         assert [r.target_loss, r.background_loss, r.score] == pytest.approx([*want, want[0] - want[1]], abs=1e-4)
 
 
+@pytest.mark.parametrize(("cached", "known", "block"), [(2048, 1 << 17, 1 << 20), (16, 30, 500), (1, 0, 1)])
+def test_all_pairs_of_words_count(spark, monkeypatch, cached, known, block):
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", block)
+    docs = documents(spark).limit(200)
+    docs = docs.unionByName(docs.limit(3))   # repeated rows
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    corpus = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    vocabulary = {w for _, t in corpus for w in t}
+
+    def model(chosen):
+        uni, pair = Counter(), Counter()
+        for t in chosen:
+            uni.update(t)
+            pair.update(zip([None, *t], t))
+        seen, kinds = Counter(), Counter()
+        for (h, _), n in pair.items():
+            seen[h] += n
+            kinds[h] += 1
+
+        def loss(h, w):
+            p = (uni[w] + 1) / (uni.total() + len(vocabulary))
+            return -math.log((pair[h, w] + kinds[h] * p) / (seen[h] + kinds[h]) if seen[h] else p)
+        return loss
+
+    models = model([t for d, t in corpus if d in good]), model([t for _, t in corpus])
+    want = sorted((d, len(t), *(np.mean([m(h, w) for h, w in zip([None, *t], t)]) for m in models)) for d, t in corpus if t)
+    got = sorted(tuple(r)[:4] for r in lm_score.score(docs, labels, cached=cached, known=known).collect() if r.n_words)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.array([g[2:] for g in got]) == pytest.approx(np.array([w[2:] for w in want]), abs=1e-5)
+    assert lm_score.score(docs.limit(0), labels).count() == 0
+    none = lm_score.score(docs, labels.limit(0), cached=cached, known=known).where("n_words > 0").first()
+    assert none.target_loss == pytest.approx(math.log(len(vocabulary)), abs=1e-5)
+
+
 def test_lm_edges(spark):
     docs = spark.createDataFrame([(1, None, "", "", 0), (2, " ", "", "", 0), (None, "a b", "", "", 0), (4, "a b " * 40_000, "", "", 0),
                                   (4, "a", "", "", 0)], DOCS).withColumn("score", F.lit("clash"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quaysight.llm import decontaminate, mixture, parity_join, toxicity, virtual_slots
 from quaysight.llm.common import stored, table
@@ -24,11 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id
-    stays, once if its row is repeated; documents without an id stay."""
-    groups = parity_join.near_duplicate_components(docs)
-    kept = stored(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    stays, once if its row is repeated; documents without an id stay.  Rows
+    that share an id but not the text are documents of their own."""
+    named = docs.where("doc_id IS NOT NULL")
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    unclear = named.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high")
+    if unclear.isEmpty():
+        nodes = named.withColumn("__node", F.col("doc_id"))
+    else:
+        # written, so that a row keeps its number; numbers follow the ids
+        nodes = stored(named.orderBy("doc_id", "text").withColumn("__node", F.monotonically_increasing_id()), "nodes")
+    groups = parity_join.near_duplicate_components(nodes.select(F.col("__node").alias("doc_id"), "text"))
+    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__node")).distinct(), "kept")
+    once = nodes.join(kept, "__node", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.drop("__node").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,13 @@ def test_repeated_and_null_ids_in_the_join_stage(spark):
     kept = sorted((r.doc_id for r in cp.keep_one_of_each_group(spark, docs, SMALL).collect()), key=str)
     assert kept == [1, 3, None, None]
     assert cp.keep_one_of_each_group(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_texts_that_share_an_id_are_separate_documents(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "pqr"]
+    docs = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (3, texts[1] + " more"), (4, texts[2]), (5, texts[2]),
+            (6, None), (6, None), (6, "other text"), (7, "")]
+    kept = cp.keep_one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), SMALL)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        [(1, texts[0]), (1, texts[1]), (4, texts[2]), (6, None), (6, "other text"), (7, "")], key=str)

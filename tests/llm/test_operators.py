@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from quaysight.llm import (
     url_rules,
     virtual_slots,
 )
-from quaysight.llm.registry import CONTROL_TEXT, QUERIES, URL_RULES
+from quaysight.llm.registry import CONTROL_TEXT, ORACLE_SQL, QUERIES, URL_RULES
 
+from tests.compare import compare
 from tests.conftest import MEDIUM, SMALL
 
 LARGE = "/root/testdata/sf0.1"
@@ -472,6 +474,13 @@ def test_page_verdicts(spark):
     assert len(rows) == len(urls)
 
 
+def test_page_verdicts_match_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{MEDIUM}/pages.parquet')")
+    res = compare(QUERIES["op9_sorted_sweep"](spark, MEDIUM), con, ORACLE_SQL["op9_sorted_sweep"])
+    assert res["match"], res
+
+
 def test_nested_rules_and_odd_urls(spark):
     rng = random.Random(6)
     hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "ab.com", "a-b.com", "net", "com.net", "x", "a.com.", "a..com"]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaysight.llm import (
+    bpe,
     chat_format,
     decontaminate,
     impact_index,
@@ -100,10 +101,22 @@ def op10_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("mix_size") * F.col("mix_times")).cast("long").alias("taken"), "source")
 
 
+def op11_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents under the public byte-level vocabulary, and the
+    texts read back from them."""
+    import public_tokenizers
+
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_schema_fingerprint, op2_parity_join, op3_cross_entropy, op4_impact_ordered, op5_spaced_seeds, op6_virtual_slots,
-        op7_weak_supervision, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit)
+        op7_weak_supervision, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit,
+        op11_prefix_dp)
 }
 
 ORACLE_SQL: dict[str, str] = {

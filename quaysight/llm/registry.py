@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quaysight.llm import (
     bpe,
+    centroids,
     chat_format,
     decontaminate,
     impact_index,
@@ -17,6 +18,7 @@ from quaysight.llm import (
     mixture,
     parity_join,
     pii,
+    sql,
     toxicity,
     url_rules,
     virtual_slots,
@@ -112,14 +114,20 @@ def op11_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 finite components around 40 centroids."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_schema_fingerprint, op2_parity_join, op3_cross_entropy, op4_impact_ordered, op5_spaced_seeds, op6_virtual_slots,
         op7_weak_supervision, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit,
-        op11_prefix_dp)
+        op11_prefix_dp, op12_zone_maps)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_zone_maps": sql.op12_zone_maps(),
     # URL_RULES, the longest first
     "op9_sorted_sweep": r"""
 WITH urls AS (

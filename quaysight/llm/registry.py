@@ -16,6 +16,7 @@ from quaysight.llm import (
     impact_index,
     lm_score,
     mixture,
+    norm_buckets,
     parity_join,
     pii,
     sql,
@@ -119,15 +120,21 @@ def op12_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item, of all documents."""
+    return norm_buckets.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_schema_fingerprint, op2_parity_join, op3_cross_entropy, op4_impact_ordered, op5_spaced_seeds, op6_virtual_slots,
         op7_weak_supervision, op8_classifier_chain, op9_sorted_sweep, op10_budget_fit,
-        op11_prefix_dp, op12_zone_maps)
+        op11_prefix_dp, op12_zone_maps, op13_norm_buckets)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op12_zone_maps": sql.op12_zone_maps(),
+    "op13_norm_buckets": sql.OP13_NORM_BUCKETS,
     # URL_RULES, the longest first
     "op9_sorted_sweep": r"""
 WITH urls AS (

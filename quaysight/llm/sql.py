@@ -32,3 +32,31 @@ SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY
   (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256, NULL::VARCHAR AS wide_distance,
   NULL::VARCHAR AS wide_cluster_inertia, NULL::VARCHAR AS wide_inertia
 FROM near{rounds} JOIN kept USING (place) JOIN hashes USING (c)"""
+
+
+OP13_NORM_BUCKETS = r"""
+WITH words AS MATERIALIZED (
+  SELECT row_id, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents)),
+lengths AS MATERIALIZED (SELECT row_id, any_value(doc_id) AS doc_id, count(*) AS n FROM words GROUP BY row_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+counts AS MATERIALIZED (SELECT row_id, term, count(*) AS tf FROM words GROUP BY row_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counts, whole GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)),
+scored AS (
+  SELECT item_id, doc_id, row_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (row_id), whole
+  GROUP BY item_id, doc_id, row_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""

@@ -14,7 +14,7 @@ select o_orderkey as shipment_id, case when o_orderkey % 97 = 0 then cast(o_orde
  case when o_orderkey % 3 = 0 then null else 'DSG' || cast(o_custkey % 5 as string) end as dsg_carrier_code,
  'CARR' || cast(o_custkey % 7 as string) as assigned_carrier_code,
  'ST' || cast(o_custkey as string) as broker_ref,
- case when o_orderkey % 11 = 0 then null else o_orderkey % 50 end as staging_locn_id,
+ case when o_orderkey % 11 = 0 then null else o_orderkey % (select count(*) + 50 from part) end as staging_locn_id,
  cast(o_custkey % 33 as int) as size1_value from orders
 """,
     "w_do_orders": """
@@ -26,12 +26,12 @@ select l_orderkey * 10000000 + l_partkey * 10 + l_linenumber as lpn_id, l_orderk
  case when l_partkey % 13 = 0 then null else case when l_orderkey % 97 = 0 then cast(l_orderkey as string) else 'CH' || lpad(cast(l_orderkey as string), 8, '0') end end as tc_shipment_id,
  cast(case l_partkey % 8 when 0 then 10 when 1 then 20 when 2 then 30 when 3 then 35 when 4 then 50 when 5 then 50 when 6 then 90 else null end as int) as lpn_facility_status,
  case l_suppkey % 6 when 0 then '03' when 1 then '05' when 2 then '06' when 3 then 'PTS' when 4 then '10' else null end as container_type,
- case when l_suppkey % 9 = 0 then null else l_suppkey % 50 end as curr_sub_locn_id,
+ case when l_suppkey % 9 = 0 then null else (l_orderkey + l_partkey) % (select count(*) + 50 from part) end as curr_sub_locn_id,
  'F' || cast(l_suppkey % 5 as string) as d_facility_alias_id, l_quantity as estimated_weight from lineitem
 """,
     "w_locn_hdr": """
 select p_partkey as locn_id, case p_partkey % 5 when 0 then 'R' when 1 then 'P' when 2 then 'S' when 3 then 'X' else null end as locn_class,
- 'A' || cast(p_size as string) as aisle, case when p_partkey % 7 = 0 then null else lpad(cast(p_partkey as string), 2, '0') end as lvl, p_name as dsp_locn from part where p_partkey < 50
+ 'A' || cast(p_size as string) as aisle, case when p_partkey % 7 = 0 then null else lpad(cast(p_partkey as string), 2, '0') end as lvl, p_name as dsp_locn from part
 """,
     "w_dock_door": """
 select n_nationkey as dock_door_id, 'Q' || lpad(cast(n_nationkey as string), 3, '0') as dock_door_name from nation
@@ -48,15 +48,15 @@ select 'F' || cast(r_regionkey as string) as facility_alias_id, r_name as city f
 """,
     "w_prod_trkg_tran": """
 select case when l_orderkey % 97 = 0 then cast(l_orderkey as string) else 'CH' || lpad(cast(l_orderkey as string), 8, '0') end as ref_field_1, case when l_returnflag = 'R' then 'RF AUTRE' else 'RF CHARGER OLPN' end as menu_optn_name,
- o_orderdate + (l_linenumber % 3) * interval '1' hour as create_date_time, 'U' || cast(l_suppkey % 10 as string) as user_id, l_partkey as seq_nbr
+ o_orderdate + (l_linenumber % 3) * interval '1' hour as create_date_time, 'U' || cast((l_suppkey + l_partkey) % (select count(*) + 25 from customer) as string) as user_id, l_partkey as seq_nbr
  from lineitem join orders on l_orderkey = o_orderkey
 """,
     "w_ucl_user": """
-select 'U' || cast(c_custkey as string) as user_name, case when c_custkey = 2 then null else lower(c_mktsegment) end as user_first_name from customer where c_custkey < 9
+select 'U' || cast(c_custkey as string) as user_name, case when c_custkey = 2 then null else lower(c_mktsegment) end as user_first_name from customer
 """,
     "w_lpn_lock": """
 select l_orderkey * 10000000 + l_partkey * 10 + l_linenumber as lpn_id, case when l_linestatus = 'O' then 'OP' else 'QH' end as inventory_lock_code,
- o_orderdate + (l_linenumber % 3) * interval '1' hour as created_dttm, 'U' || cast(l_partkey % 10 as string) as created_source
+ o_orderdate + (l_linenumber % 3) * interval '1' hour as created_dttm, 'U' || cast(l_partkey % (select count(*) + 25 from customer) as string) as created_source
  from lineitem join orders on l_orderkey = o_orderkey
 """,
     "w_shipment_note": """
@@ -114,7 +114,7 @@ select event_id as visit_id, user_id as trailer_id, case when event_id % 13 = 0
  case when event_id % 3 = 0 then null else ts + interval '150' minute end as checkout_dttm from events
 """,
     "w_trailer_ref": """
-select event_id as active_visit_id, event_id % 50 as current_location_id from events where event_id % 2 = 0
+select event_id as active_visit_id, event_id % (select count(*) + 50 from part) as current_location_id from events where event_id % 2 = 0
 """,
     "w_ilm_tasks": """
 select user_id as trailer_id, ts as created_dttm, ts + cast(event_id % 5 as int) * interval '10' minute as last_updated_dttm from events where event_type = 'click'

@@ -490,8 +490,13 @@ def _queries() -> dict[str, str]:
     q["po_lists"] = (f"WITH {po_rows_sql()}\nSELECT appointment_id, appt_obj_type, purchase_orders_running, "
                      f"purchase_orders_closed FROM rollup")
     q["appointment_po_rollup"] = f"WITH {po_rows_sql()}\nSELECT * FROM rollup"
-    q["eav_attributes"] = (f"SELECT a.appointment_id, {', '.join(a for a, _ in ATTRS)} "
-                           f"FROM w_ilm_appointments a\n{attr_joins()}")
+    # the tall table once, one cut of it per attribute
+    cuts = ",\n  ".join(f"cut_{alias} AS MATERIALIZED (SELECT appointment_id, attribute_value AS {alias} FROM tall "
+                        f"WHERE attribute_name = '{name}')" for alias, name in ATTRS)
+    joins = "\n".join(f"LEFT JOIN cut_{alias} ON cut_{alias}.appointment_id = a.appointment_id" for alias, _ in ATTRS)
+    q["eav_attributes"] = (f"WITH tall AS MATERIALIZED (SELECT * FROM w_ilm_appt_custom_attribute),\n  {cuts}\n"
+                           f"SELECT a.appointment_id, {', '.join(a for a, _ in ATTRS)} "
+                           f"FROM w_ilm_appointments a\n{joins}")
     q["eav_attributes_pivot"] = q["eav_attributes"]
     q["eav_quantities"] = ("SELECT a.appointment_id, "
                            "CAST(coalesce(CAST(nb_pal AS DECIMAL(10,3)), 0) AS DECIMAL(10,3)) AS nb_palette, "

@@ -1,10 +1,15 @@
 """Entity-attribute-value lookups on appointment attributes.
 
 The source query joins the attribute table once per attribute, so an attribute
-stored twice for an appointment doubles the rows.  Here the table is scanned
-and aggregated once: per appointment the values of each attribute form a list,
-and one ``explode_outer`` per attribute brings back the same rows, repeated
-and NULL values included.
+stored twice for an appointment doubles the rows.  Three forms give these rows:
+
+* ``attach_attributes_checked`` (the reports): one pass pivots the table and
+  proves which appointments store an attribute once only; others are gathered,
+  very large ones salted (``operators.fanout``);
+* ``attach_attributes_by_joins``: the source's shape;
+* ``attach_attributes``: one scan; per appointment the values of each attribute
+  form a list, and one ``explode_outer`` per attribute brings back the rows,
+  repeated and NULL values included.
 """
 
 from __future__ import annotations
@@ -12,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaysight.operators.fanout import SALTED_ROWS, attach_by_joins, attach_checked
+
 # Attribute names read by the appointment report, with the
 # output column each one fills.
 REPORT_ATTRIBUTES = {
@@ -40,3 +47,18 @@ def attach_attributes(df: DataFrame, attrs: DataFrame, wanted: dict[str, str] |
     for alias in wanted:
         out = out.withColumn(alias, F.explode_outer(alias)).withColumn(alias, F.col(f"{alias}.value"))
     return out
+
+
+def _tall(attrs: DataFrame) -> DataFrame:
+    return attrs.select("appointment_id", F.col("attribute_name").alias("tag"), F.col("attribute_value").alias("value"))
+
+
+def attach_attributes_checked(df: DataFrame, attrs: DataFrame, wanted: dict[str, str] | None = None,
+                              salted_rows: int = SALTED_ROWS) -> DataFrame:
+    """LEFT JOIN of every wanted attribute by a checked pivot."""
+    return attach_checked(df, _tall(attrs), "appointment_id", wanted or REPORT_ATTRIBUTES, "attributes", salted_rows)
+
+
+def attach_attributes_by_joins(df: DataFrame, attrs: DataFrame, wanted: dict[str, str] | None = None) -> DataFrame:
+    """One filtered LEFT JOIN per wanted attribute."""
+    return attach_by_joins(df, _tall(attrs), "appointment_id", wanted or REPORT_ATTRIBUTES)

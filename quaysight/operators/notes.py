@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.semantics import empty_as_null, ora_substr
+from quaysight.operators.fanout import SALTED_ROWS, attach_checked
 
 # Shipment note tags.
 TAG_DETOUR = "#"
@@ -48,6 +49,15 @@ def attach_notes(df: DataFrame, shipment_note: DataFrame, tags: dict[str, str],
     return out
 
 
+def attach_notes_checked(df: DataFrame, shipment_note: DataFrame, tags: dict[str, str],
+                         key: str = "shipment_id", salted_rows: int = SALTED_ROWS) -> DataFrame:
+    """The rows of ``attach_notes`` by a checked pivot: only shipments that
+    repeat a tag are gathered, and one with very many notes is salted
+    (``operators.fanout``)."""
+    tall = tagged_notes(shipment_note).select(F.col("shipment_id").alias(key), "tag", F.col("body").alias("value"))
+    return attach_checked(df, tall, key, tags, "notes", salted_rows)
+
+
 def po_priority(note) -> F.Column:
     """CASE SUBSTR(note,1,2) WHEN 'PU' THEN 1 ... ELSE 8 END."""
     code = ora_substr(note, 1, 2)

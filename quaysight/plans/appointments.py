@@ -13,9 +13,9 @@ items, notes, attributes, slots, visits, tasks) with LEFT SEMI joins before
 any aggregation, so the work is proportional to the appointments shown, not
 to the history held in the tables.  Cut inputs that several branches reuse
 (the window's objects, attributes and visits) are written once to the
-checkpoint folder (``materialize``): each large table is read once and the
-six attribute joins read a small file, not the attribute table.  The window
-itself is a filtered scan pushed into parquet, cheap to repeat.
+checkpoint folder (``materialize``): each large table is read once, and the
+checked pivot of the six attributes reads a small file.  The window itself is
+a filtered scan pushed into parquet, cheap to repeat.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from quaysight.functions.clock import (
 from quaysight.functions.semantics import zero_if_null_decimal
 from quaysight.operators import materialize, materialize_all, restrict_to
 from quaysight.operators.appointments import dock_pole, eligibility
-from quaysight.operators.eav import attach_attributes
+from quaysight.operators.eav import attach_attributes_checked
 from quaysight.operators.purchase import PO_OBJECT_TYPE, appointment_po_rollup, po_split
 from quaysight.operators.trailers import trailer_tasks
 from quaysight.sources.catalog import Wms
@@ -111,10 +111,10 @@ def appointments(w: Wms, as_of: AsOf) -> DataFrame:
     out = (appts.join(status, appts.appt_status == status.appt_status_code, "left")
            .join(rollup, "appointment_id", "left")
            .join(partner, "business_partner_id", "left"))
-    out = attach_attributes(out, attrs)
     out = (out.join(slot_rows, "appointment_id", "left")
            .join(slots, "slot_id", "left")
            .join(timeline, "appointment_id", "left"))
+    out = attach_attributes_checked(out, attrs)   # last: no later join brings a salted appointment together again
 
     obj_type = F.col("appt_obj_type")
     shown = eligibility(F.col("purchase_orders_running"), F.col("purchase_orders_closed"), F.col("dock_group"),

@@ -12,9 +12,9 @@ summed per shipment first (``load_percentage``, exact - see its docstring),
 so the fan-out of pieces x notes x stops is never materialised.  Per
 destination stage counts for both container segments come from a single
 aggregation.  Open shipments (status < 80) are a small, recent part of the
-shipment history, so pieces, weights and notes are first cut to them
-(LEFT SEMI joins streaming the big tables), and the open pieces are written
-once and read by both the stage counts and the loaded totals.
+shipment history, so pieces and notes are first cut to them, and the open
+pieces are written once - tagged with the key they were met by - and read by
+the stage counts, the loaded totals and the weights.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from quaysight.operators.dock import (
     shipment_stops,
     stop_stage_counts,
 )
-from quaysight.operators.notes import TAG_ADDITION, TAG_ORDER, attach_notes
+from quaysight.operators.notes import TAG_ADDITION, TAG_ORDER, attach_notes_checked
 from quaysight.operators.shipments import id_split
 from quaysight.sources.catalog import Wms
 
@@ -44,30 +44,44 @@ DOCK_COLUMNS = (
 GROUP_COLUMNS = [c for c in DOCK_COLUMNS if c != "percentage"]
 
 
-PIECE_COLUMNS = ("shipment_id", "d_facility_alias_id", "lpn_facility_status", "container_type", "curr_sub_locn_id")
-
-
-def open_inputs(w: Wms) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pieces, notes, keys) of the open shipments, written once and concurrently:
-    stage counts and loaded totals both read the pieces and each note tag
-    reads the notes, while ``lpn`` and ``shipment_note`` (the whole history)
-    are scanned once each."""
-    open_ids = open_shipment_keys(w)
-    written = materialize_all({
-        "open_pieces": restrict_to(w.lpn.select(*PIECE_COLUMNS), open_ids, "shipment_id"),
-        "open_notes": restrict_to(w.shipment_note, open_ids, "shipment_id"),
-    })
-    return written["open_pieces"], written["open_notes"], open_ids
+PIECE_COLUMNS = ("shipment_id", "tc_shipment_id", "d_facility_alias_id", "lpn_facility_status", "container_type",
+                 "curr_sub_locn_id", "estimated_weight")
 
 
 def open_shipment_keys(w: Wms) -> DataFrame:
     """(shipment_id, tc_shipment_id) of the open shipments, written once so
-    that the semi joins cutting ``lpn`` and ``shipment_note`` see its real
+    that the joins cutting ``lpn`` and ``shipment_note`` see its real
     size and broadcast it (a filtered scan is estimated at the whole table)."""
     open_ships = w.shipment.filter(F.col("shipment_status") < OPEN_STATUS_BELOW)
     return materialize(open_ships.select("shipment_id", "tc_shipment_id"), "open_shipments")
 
 
+def tagged_pieces(lpn: DataFrame, keys: DataFrame) -> DataFrame:
+    """The pieces that meet an open shipment by its id (``_by_id``), by its
+    code (``_by_code``) or by both, in one scan of ``lpn``: the counts join on
+    the id, the weight on the code.  The key sets are distinct, so the outer
+    joins only tag; a NULL key meets nothing."""
+    ids = keys.select("shipment_id").distinct().withColumn("_by_id", F.lit(True))
+    codes = keys.select("tc_shipment_id").distinct().withColumn("_by_code", F.lit(True))
+    return (lpn.select(*PIECE_COLUMNS).join(ids, "shipment_id", "left").join(codes, "tc_shipment_id", "left")
+            .filter(F.col("_by_id") | F.col("_by_code")))
+
+
+def open_inputs(w: Wms) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pieces by shipment id, notes, pieces by shipment code) of the open
+    shipments, written once and concurrently: stage counts, loaded totals and
+    weights read the written pieces and each note tag reads the written notes,
+    while ``lpn`` and ``shipment_note`` (the whole history) are scanned once
+    each."""
+    keys = open_shipment_keys(w)
+    written = materialize_all({
+        "open_pieces": tagged_pieces(w.lpn, keys),
+        "open_notes": restrict_to(w.shipment_note, keys, "shipment_id"),
+    })
+    pieces = written["open_pieces"]
+    return pieces.filter("_by_id"), written["open_notes"], pieces.filter("_by_code")
+
+
 def dock_rows(w: Wms, inputs: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """All report rows before the final grouping, with the shipment key.
 
@@ -75,14 +89,13 @@ def dock_rows(w: Wms, inputs: tuple[DataFrame, DataFrame, DataFrame] | None = No
     shipment id, the loaded weight by shipment code (the source joins weight
     on the code), the notes by shipment id.
     """
-    pieces, notes, open_ships = inputs if inputs is not None else open_inputs(w)
+    pieces, notes, coded = inputs if inputs is not None else open_inputs(w)
     rows = shipment_stops(w.shipment, w.dock_door_ref, w.dock_door, w.stop, w.facility_alias)
     counts = stop_stage_counts(pieces, w.locn_hdr).withColumnRenamed("shipment_id", "_c_shipment_id")
     rows = rows.join(counts, (rows.shipment_id == counts._c_shipment_id)
                      & (rows.facility_alias_id == counts.d_facility_alias_id), "left")
-    weights = loaded_weight(restrict_to(w.lpn, open_ships, "tc_shipment_id"))
-    rows = rows.join(weights, "tc_shipment_id", "left")
-    rows = attach_notes(rows, notes, {"note_ordre": TAG_ORDER, "note_rajout": TAG_ADDITION})
+    rows = rows.join(loaded_weight(coded), "tc_shipment_id", "left")
+    rows = attach_notes_checked(rows, notes, {"note_ordre": TAG_ORDER, "note_rajout": TAG_ADDITION})
     left, right = id_split("tc_shipment_id")
     ts = F.col("pickup_start_dttm")
     return rows.select(

@@ -24,8 +24,8 @@ from quaysight.operators.dock import (
     shipment_stops,
     stop_stage_counts,
 )
-from quaysight.operators.eav import REPORT_ATTRIBUTES, attach_attributes
-from quaysight.operators.notes import TAG_ADDITION, TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes, po_priority
+from quaysight.operators.eav import attach_attributes_by_joins, attach_attributes_checked
+from quaysight.operators.notes import TAG_ADDITION, TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes_checked, po_priority
 from quaysight.operators.purchase import appointment_po_rollup, po_lists
 from quaysight.operators.shipments import (
     active_shipments,
@@ -126,7 +126,7 @@ def q_door_assignments(w):
 
 
 def q_note_tags(w):
-    return attach_notes(w.shipment.select("shipment_id"), w.shipment_note,
+    return attach_notes_checked(w.shipment.select("shipment_id"), w.shipment_note,
                         {"debord": TAG_DETOUR, "users": TAG_USERS, "coch": TAG_ORDER,
                          "addition": TAG_ADDITION})
 
@@ -227,17 +227,15 @@ def q_appointment_po_rollup(w):
 
 
 def q_eav_attributes(w):
-    return attach_attributes(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute)
+    return attach_attributes_by_joins(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute)
 
 
 def q_eav_attributes_pivot(w):
-    """The attributes in another column order: the pivot does not depend on it."""
-    wanted = dict(sorted(REPORT_ATTRIBUTES.items()))
-    return attach_attributes(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute, wanted)
+    return attach_attributes_checked(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute)
 
 
 def q_eav_quantities(w):
-    j = attach_attributes(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute,
+    j = attach_attributes_checked(w.ilm_appointments.select("appointment_id"), w.ilm_appt_custom_attribute,
                           {"nb_pal": "NB_PALETTE", "nb_package": "NBR_COLIS"})
     return j.select("appointment_id", zero_if_null_decimal("nb_pal").alias("nb_palette"),
                     zero_if_null_decimal("nb_package").alias("nb_package"))
@@ -252,9 +250,9 @@ def q_dock_pole(w):
 def q_appointment_eligibility(w):
     rollup = appointment_po_rollup(po_split_for(w, w.ilm_appointment_objects, restrict=False))
     base = w.ilm_appointments.select("appointment_id").join(rollup, "appointment_id", "left")
-    base = attach_attributes(base, w.ilm_appt_custom_attribute, {"nb_pal": "NB_PALETTE", "nb_package": "NBR_COLIS"})
     base = (base.join(w.ilm_appt_slots, "appointment_id", "left")
             .join(w.slots.select("slot_id", F.col("description").alias("dock_group")), "slot_id", "left"))
+    base = attach_attributes_checked(base, w.ilm_appt_custom_attribute, {"nb_pal": "NB_PALETTE", "nb_package": "NBR_COLIS"})
     return base.select(
         "appointment_id", "appt_obj_type", "dock_group", "purchase_orders_running", "purchase_orders_closed",
         "nb_pal", "nb_package", "nb_lines",
@@ -341,6 +339,7 @@ QUERIES: dict[str, QueryFn] = {name: _on_testdata(fn) for name, fn in WMS_QUERIE
 # pair forms against the registered plans on the small fixture.
 REWRITE_OF = {
     "load_percentage_fanout": "load_percentage",
+    "eav_attributes_pivot": "eav_attributes",
     "load_first_last_selfjoin": "load_first_last",
     "load_first_last_window": "load_first_last",
     "lock_first_last_selfjoin": "lock_first_last",

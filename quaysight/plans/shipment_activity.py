@@ -37,7 +37,7 @@ from quaysight.functions.clock import (
 from quaysight.functions.semantics import proper_name
 from quaysight.operators import materialize, restrict_to
 from quaysight.operators.extremes import load_first_last, lock_first_last
-from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes
+from quaysight.operators.notes import TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes_checked
 from quaysight.operators.shipments import (
     NOT_CLOSED_FROM_DAYS,
     NOT_CLOSED_TO_DAYS,
@@ -99,7 +99,7 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
     segments = stage_segments(classified_pieces(ship_pieces, w.locn_hdr, ACTIVITY_RULE))
     trkg = restrict_to(w.prod_trkg_tran, ships, "ref_field_1", "tc_shipment_id")
     locks_of_ships = restrict_to(w.lpn_lock, ship_pieces, "lpn_id")
-    notes = restrict_to(w.shipment_note, ships, "shipment_id")
+    notes = materialize(restrict_to(w.shipment_note, ships, "shipment_id"), "notes")
     loads = load_first_last(trkg, w.ucl_user)
     locks = lock_first_last(ship_pieces, locks_of_ships, w.ucl_user)
     doors = door_assignments(restrict_to(w.dock_door_ref, ships, "shipment_id"), w.dock_door) \
@@ -111,9 +111,9 @@ def shipment_activity(w: Wms, as_of: AsOf, order_type: str = STORE_ORDER_TYPE) -
            .join(doors, "shipment_id", "left")
            .join(loads, "tc_shipment_id", "left")
            .join(segments, "shipment_id", "inner"))   # a shipment without pieces is not shown
-    out = attach_notes(out, notes, {"debord": TAG_DETOUR, "users": TAG_USERS, "coch": TAG_ORDER})
-    out = (out.crossJoin(F.broadcast(not_closed))    # exactly one row
-           .join(locks, "shipment_id", "left"))
+    out = out.join(locks, "shipment_id", "left")
+    out = attach_notes_checked(out, notes, {"debord": TAG_DETOUR, "users": TAG_USERS, "coch": TAG_ORDER})
+    out = out.crossJoin(F.broadcast(not_closed))    # exactly one row
 
     left, right = id_split("tc_shipment_id")
     loading = F.col("start_of_loading")

@@ -53,6 +53,7 @@ class TestDataDerivation:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._base: dict[str, DataFrame] = {}
+        self._counts: dict[str, int] = {}
 
     def base(self, name: str) -> DataFrame:
         """The shipped table (read once; several warehouse tables derive from it)."""
@@ -60,6 +61,20 @@ class TestDataDerivation:
             self._base[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._base[name]
 
+    def _rows(self, name: str) -> int:
+        """Rows of a shipped table (read from its file's metadata)."""
+        if name not in self._counts:
+            self._counts[name] = self.base(name).count()
+        return self._counts[name]
+
+    def _location(self, key: Column) -> Column:
+        """A location id: a row of ``locn_hdr``, or one of 50 unknown ids."""
+        return key % F.lit(self._rows("part") + 50)
+
+    def _user(self, key: Column) -> Column:
+        """A user name: a row of ``ucl_user``, or one of 25 unknown names."""
+        return F.concat(F.lit("U"), _s(key % F.lit(self._rows("customer") + 25)))
+
     def build(self, name: str) -> DataFrame:
         df = getattr(self, f"_{name}")()
         return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
@@ -76,7 +91,7 @@ class TestDataDerivation:
             F.when(k % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("DSG"), _s(cust % 5))).alias("dsg_carrier_code"),
             F.concat(F.lit("CARR"), _s(cust % 7)).alias("assigned_carrier_code"),
             F.concat(F.lit("ST"), _s(cust)).alias("broker_ref"),
-            F.when(k % 11 == 0, F.lit(None)).otherwise(k % 50).alias("staging_locn_id"),
+            F.when(k % 11 == 0, F.lit(None)).otherwise(self._location(k)).alias("staging_locn_id"),
             (cust % 33).alias("size1_value"))
 
     def _do_orders(self) -> DataFrame:
@@ -95,12 +110,12 @@ class TestDataDerivation:
             F.when(no_ship, F.lit(None)).otherwise(_tc_code(ok)).alias("tc_shipment_id"),
             _case(pk % 8, {0: 10, 1: 20, 2: 30, 3: 35, 4: 50, 5: 50, 6: 90}).alias("lpn_facility_status"),
             _case(sk % 6, {0: "03", 1: "05", 2: "06", 3: "PTS", 4: "10"}).alias("container_type"),
-            F.when(sk % 9 == 0, F.lit(None)).otherwise(sk % 50).alias("curr_sub_locn_id"),
+            F.when(sk % 9 == 0, F.lit(None)).otherwise(self._location(ok + pk)).alias("curr_sub_locn_id"),
             F.concat(F.lit("F"), _s(sk % 5)).alias("d_facility_alias_id"),
             F.col("l_quantity").alias("estimated_weight"))
 
     def _locn_hdr(self) -> DataFrame:
-        p = self.base("part").filter(F.col("p_partkey") < 50)
+        p = self.base("part")
         pk = F.col("p_partkey")
         return p.select(
             pk.alias("locn_id"),
@@ -144,11 +159,11 @@ class TestDataDerivation:
             F.when(F.col("l_returnflag") == "R", F.lit("RF AUTRE"))
             .otherwise(F.lit("RF CHARGER OLPN")).alias("menu_optn_name"),
             F.timestamp_add("HOUR", F.col("l_linenumber") % 3, F.col("o_orderdate")).alias("create_date_time"),
-            F.concat(F.lit("U"), _s(F.col("l_suppkey") % 10)).alias("user_id"),
+            self._user(F.col("l_suppkey") + F.col("l_partkey")).alias("user_id"),
             F.col("l_partkey").alias("seq_nbr"))
 
     def _ucl_user(self) -> DataFrame:
-        c = self.base("customer").filter(F.col("c_custkey") < 9)
+        c = self.base("customer")
         return c.select(
             F.concat(F.lit("U"), _s(F.col("c_custkey"))).alias("user_name"),
             F.when(F.col("c_custkey") == 2, F.lit(None))
@@ -161,7 +176,7 @@ class TestDataDerivation:
             (ok * 10000000 + pk * 10 + ln).alias("lpn_id"),
             F.when(F.col("l_linestatus") == "O", F.lit("OP")).otherwise(F.lit("QH")).alias("inventory_lock_code"),
             F.timestamp_add("HOUR", ln % 3, F.col("o_orderdate")).alias("created_dttm"),
-            F.concat(F.lit("U"), _s(pk % 10)).alias("created_source"))
+            self._user(pk).alias("created_source"))
 
     def _shipment_note(self) -> DataFrame:
         o = self.base("orders")
@@ -278,7 +293,7 @@ class TestDataDerivation:
     def _trailer_ref(self) -> DataFrame:
         e = F.col("event_id")
         return self.base("events").filter(e % 2 == 0).select(e.alias("active_visit_id"),
-                                                             (e % 50).alias("current_location_id"))
+                                                             self._location(e).alias("current_location_id"))
 
     def _ilm_tasks(self) -> DataFrame:
         e, ts = F.col("event_id"), F.col("ts")

@@ -64,17 +64,77 @@ def test_appointments_push_window_into_scan(staged):
     assert scans and all(re.search(r"PushedFilters: \[[^\]]*scheduled_dttm", s) for s in scans)
 
 
-def test_scans_read_only_needed_columns(staged):
-    from quaysight.plans import dock_doors
+def test_scans_read_only_needed_columns(spark, staged):
+    from quaysight.plans.dock_doors import open_shipment_keys, tagged_pieces
 
-    plan = plan_of(dock_doors(staged))
+    plan = plan_of(tagged_pieces(staged.lpn, open_shipment_keys(staged)))
     scans = _scan_lines(plan, "lpn")
-    assert scans
+    assert len(scans) == 1
     for s in scans:
         columns = re.search(r"FileScan parquet \[([^\]]*)\]", s).group(1)
         assert "order_id" not in columns and "lpn_id" not in columns, columns
 
 
+# Reads each report once in a session of its own and counts, over all its jobs,
+# the scans of each table in Spark's event log.
+SCANS_OF_ALL_JOBS = """
+import collections, glob, json, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+         .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", {log!r}).config("spark.eventLog.compress", "false")
+         .config("spark.eventLog.rolling.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate())
+from quaysight.plans import appointments, dock_doors, shipment_activity
+from quaysight.session import tune_session
+from quaysight.sources import Wms
+tune_session(spark)
+w = Wms.from_parquet(spark, {tables!r})
+report = {{"dock_doors": lambda: dock_doors(w), "appointments": lambda: appointments(w, "2024-01-12 12:00:00"),
+          "shipment_activity": lambda: shipment_activity(w, "2001-07-20 12:00:00")}}[{report!r}]()
+report.write.format("noop").mode("overwrite").save()
+spark.stop()
+plans = {{}}
+for path in glob.glob({log!r} + "/*"):
+    for line in open(path):
+        event = json.loads(line)
+        if "sparkPlanInfo" in event:   # the start of an execution, then its plan as it is changed at run time
+            plans[event["executionId"]] = event["sparkPlanInfo"]
+found = collections.Counter()
+def walk(node):
+    if node["nodeName"].startswith("Scan parquet"):
+        found[node["metadata"].get("Location", "").rstrip("]").rsplit("/", 1)[-1]] += 1
+    for child in node["children"]:
+        walk(child)
+for plan in plans.values():
+    walk(plan)
+print("FOUND", json.dumps(found))
+"""
+
+
+@pytest.mark.parametrize("report,large", [
+    ("dock_doors", ("lpn", "shipment_note")),
+    ("appointments", ("ilm_appt_custom_attribute", "ilm_appointment_objects", "trailer_visit", "trailer_visit_detail", "ilm_tasks")),
+    ("shipment_activity", ("lpn", "prod_trkg_tran", "lpn_lock", "shipment_note", "do_orders")),
+])
+def test_large_tables_read_once_over_all_jobs(staged, tmp_path, report, large):
+    import json
+    import os
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    tables = staged.lpn.inputFiles()[0].removeprefix("file://").removeprefix("file:").rsplit("/", 2)[0]
+    (tmp_path / "log").mkdir()
+    script = SCANS_OF_ALL_JOBS.format(root=ROOT, log=str(tmp_path / "log"), tables=tables, report=report)
+    run = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300,
+                         env=os.environ | {"TMPDIR": str(tmp_path)})
+    lines = [x for x in run.stdout.splitlines() if x.startswith("FOUND ")]
+    assert lines, run.stderr[-2000:]
+    found = json.loads(lines[0][6:])
+    assert {t: found.get(t, 0) for t in large} == dict.fromkeys(large, 1)
+
+
 ROBUST_KEYS = ["shipment_activity", "dock_doors", "appointments_friday", "load_first_last", "lock_first_last",
                "trailer_tasks", "appointment_po_rollup", "piece_stage_segments", "not_closed_list"]
 

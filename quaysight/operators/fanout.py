@@ -58,14 +58,17 @@ def checked_pivot(tall: DataFrame, key: str, wanted: dict[str, str], salted_rows
     return found.withColumns({"_rows": rows, "_repeated": most > 1, "_hot": (most > 1) & (rows > salted_rows)})
 
 
-def _from_lists(base: DataFrame, tall: DataFrame, keys: DataFrame, key: str, wanted: dict[str, str]) -> DataFrame:
-    """Keys with a repeated tag: one list per tag, exploded."""
+def _with_lists(base: DataFrame, tall: DataFrame, pivot: DataFrame, key: str, wanted: dict[str, str]) -> DataFrame:
+    """Keys with a repeated tag get one list per tag, exploded; all others
+    their value from the pivot."""
     tag, value = F.col("tag"), F.struct(F.col("value"))   # the struct keeps a stored NULL apart from no value
-    lists = (restrict_to(tall.filter(tag.isin(*wanted.values())), keys, key).groupBy(key)
-             .agg(*[F.collect_list(F.when(tag == t, value)).alias(a) for a, t in wanted.items()]))
-    out = base.join(lists, key)
+    lists = (restrict_to(tall.filter(tag.isin(*wanted.values())), pivot.filter("_repeated").select(key), key).groupBy(key)
+             .agg(*[F.collect_list(F.when(tag == t, value)).alias(f"_l_{a}") for a, t in wanted.items()]))
+    out = base.join(pivot.select(key, "_repeated", *wanted), key, "left").join(lists, key, "left")
     for alias in wanted:
-        out = out.withColumn(alias, F.explode_outer(alias)).withColumn(alias, F.col(f"{alias}.value"))
+        one = F.array(F.struct(F.col(alias).alias("value")))
+        out = out.withColumn(alias, F.explode_outer(F.when(F.col("_repeated"), F.col(f"_l_{alias}")).otherwise(one)))
+        out = out.withColumn(alias, F.col(f"{alias}.value"))
     return out.select(*base.columns, *wanted)
 
 
@@ -101,10 +104,9 @@ def attach_checked(base: DataFrame, tall: DataFrame, key: str, wanted: dict[str,
     values = pivot.select(key, *wanted)
     if not seen.get["repeated"]:
         return base.join(values, key, "left").select(*base.columns, *wanted)
-    base = materialize(base, f"{name}_base")
-    single = base.join(pivot.filter("_repeated").select(key), key, "left_anti").join(
-        pivot.filter("NOT _repeated").select(key, *wanted), key, "left").select(*base.columns, *wanted)
-    out = single.unionByName(_from_lists(base, tall, pivot.filter("_repeated AND NOT _hot").select(key), key, wanted))
-    if seen.get["hot"]:
-        out = out.unionByName(_salted(base, tall, pivot.filter("_hot"), key, wanted, salted_rows))
-    return out
+    if not seen.get["hot"]:
+        return _with_lists(base, tall, pivot, key, wanted)
+    base, hot = materialize(base, f"{name}_base"), pivot.filter("_hot")
+    others = base.join(hot.select(key), key, "left_anti").select(*base.columns)
+    return _with_lists(others, tall, pivot.filter("NOT _hot"), key, wanted).unionByName(
+        _salted(base, tall, hot, key, wanted, salted_rows))

@@ -20,6 +20,8 @@ materialising the fan-out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +41,31 @@ def _count_by(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def po_split(objects: DataFrame, purchase_orders: DataFrame, line_items: DataFrame,
              partners: DataFrame, statuses: DataFrame, notes: DataFrame,
-             closed_status: int = PO_CLOSED_STATUS) -> DataFrame:
+             closed_status: int = PO_CLOSED_STATUS, partner_is_key: bool = False,
+             status_is_key: bool = False) -> DataFrame:
+    """The two joins to ``partners`` and ``statuses`` show no column; they only
+    multiply rows where their key repeats.  With ``partner_is_key`` /
+    ``status_is_key`` (a verified declaration, ``Wms.has_key``) the join is
+    left out, else its count stays a factor of the weight."""
     obj = objects.select("appointment_id", "appt_obj_type", "appt_obj_id")
     po = purchase_orders.select("purchase_orders_id", "tc_purchase_orders_id",
                                 "purchase_orders_status", "business_partner_id")
     n_lines = _count_by(line_items, ["purchase_orders_id"], "_n_lines")
-    n_partner = _count_by(partners, ["business_partner_id"], "_n_partner")
-    n_status = _count_by(statuses, ["purchase_orders_status"], "_n_status")
     n_notes = _count_by(notes.select("purchase_orders_id", po_priority(F.col("note")).alias("_prio")),
                         ["purchase_orders_id", "_prio"], "_n_notes")
     # the counts join the POs before the objects do: objects without a PO
     # would all meet under a NULL key
     po = (po.filter(F.col("purchase_orders_id").isNotNull())
           .join(n_lines, "purchase_orders_id", "left")
-          .join(n_notes, "purchase_orders_id", "left")
-          .join(n_partner, "business_partner_id", "left")
-          .join(n_status, "purchase_orders_status", "left"))
+          .join(n_notes, "purchase_orders_id", "left"))
+    factors = ["_n_lines", "_n_notes"]
+    for table, key, unique in ((partners, "business_partner_id", partner_is_key),
+                               (statuses, "purchase_orders_status", status_is_key)):
+        if not unique:
+            factors.append(f"_n_{key}")
+            po = po.join(_count_by(table, [key], factors[-1]), key, "left")
     rows = obj.join(po, obj.appt_obj_id == po.purchase_orders_id, "left")
-    one = F.lit(1).cast("long")
-    weight = (F.coalesce("_n_lines", one) * F.coalesce("_n_partner", one)
-              * F.coalesce("_n_status", one) * F.coalesce("_n_notes", one))
+    weight = reduce(lambda a, b: a * b, [F.coalesce(F.col(f), F.lit(1).cast("long")) for f in factors])
     status, code = F.col("purchase_orders_status"), F.col("tc_purchase_orders_id")
     return rows.groupBy(
         "appointment_id", "appt_obj_type",

@@ -60,7 +60,9 @@ def po_split_for(w: Wms, objects: DataFrame, restrict: bool) -> DataFrame:
         pos = restrict_to(pos, objects, "purchase_orders_id", "appt_obj_id")
         lines = restrict_to(lines, objects, "purchase_orders_id", "appt_obj_id")
         notes = restrict_to(notes, objects, "purchase_orders_id", "appt_obj_id")
-    return po_split(objects, pos, lines, w.business_partner, w.purchase_orders_status, notes)
+    return po_split(objects, pos, lines, w.business_partner, w.purchase_orders_status, notes,
+                    partner_is_key=w.has_key("business_partner", ("business_partner_id",)),
+                    status_is_key=w.has_key("purchase_orders_status", ("purchase_orders_status",)))
 
 
 def window_visits(w: Wms, appts: DataFrame) -> tuple[DataFrame, DataFrame]:

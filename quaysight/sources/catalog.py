@@ -19,13 +19,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysight.sources.schemas import SCHEMAS, TABLE_NAMES
+from quaysight.sources.schemas import KEYS, SCHEMAS, TABLE_NAMES
+
+
+class KeyViolation(ValueError):
+    """A declared key that the table's rows contradict."""
+
+
+def is_key(df: DataFrame, columns: tuple[str, ...]) -> bool:
+    """Whether no two rows agree on ``columns``; rows with a NULL among them
+    match nothing in a join and are not asked."""
+    named = df.select(*columns).dropna()
+    return named.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
 
 
 class Wms:
     def __init__(self, loader: Callable[[str], DataFrame]):
         self._loader = loader
         self._cache: dict[str, DataFrame] = {}
+        self._keys: dict[str, tuple[str, ...]] = dict(KEYS)
+        self._on_violation = "fall back"
+        self._verified: dict[str, bool] = {}
+
+    def declare_keys(self, keys: dict[str, tuple[str, ...]], on_violation: str = "fall back") -> "Wms":
+        """Declare the tables' keys, in place of those of ``schemas.KEYS``.
+        ``on_violation``: what a plan does when the rows contradict a
+        declaration, "fall back" to the plan without it or raise an "error"."""
+        if on_violation not in ("fall back", "error"):
+            raise ValueError(f"unknown reaction {on_violation!r}")
+        for name, columns in keys.items():
+            unknown = set(columns) - set(SCHEMAS[name].names) if name in SCHEMAS else {name}
+            if unknown or not columns:
+                raise KeyError(f"no such table or columns: {name} {sorted(unknown)}")
+        self._keys, self._on_violation, self._verified = dict(keys), on_violation, {}
+        return self
+
+    def has_key(self, name: str, columns: tuple[str, ...]) -> bool:
+        """Whether ``columns`` are declared as the key of the table and its rows
+        confirm it: one aggregate over the key columns, once for this ``Wms``."""
+        if self._keys.get(name) != tuple(columns):
+            return False
+        if name not in self._verified:
+            self._verified[name] = is_key(self.table(name), columns)
+        if not self._verified[name] and self._on_violation == "error":
+            raise KeyViolation(f"{', '.join(columns)} is declared as the key of {name}, but repeats")
+        return self._verified[name]
 
     def table(self, name: str) -> DataFrame:
         if name not in SCHEMAS:

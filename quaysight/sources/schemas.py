@@ -62,3 +62,10 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 TABLE_NAMES: tuple[str, ...] = tuple(SCHEMAS)
+
+# Columns declared to be a table's key.  A declaration is not trusted: ``Wms.has_key``
+# verifies it once before a plan relies on it.
+KEYS: dict[str, tuple[str, ...]] = {
+    "business_partner": ("business_partner_id",),
+    "purchase_orders_status": ("purchase_orders_status",),
+}

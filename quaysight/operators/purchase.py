@@ -25,7 +25,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaysight.operators.notes import PO_PRIORITY_DEFAULT, po_priority
+from quaysight.operators.lists import HOT_ROWS, grouped_lists, hot_groups
+from quaysight.operators.notes import PO_PRIORITY_CODES, PO_PRIORITY_DEFAULT, po_priority
 
 # The PO status code meaning 'closed'; the object type of POs.
 PO_CLOSED_STATUS = 950
@@ -76,23 +77,23 @@ def po_split(objects: DataFrame, purchase_orders: DataFrame, line_items: DataFra
     ).agg(F.sum(weight).alias("nb_lines"))
 
 
-def ordered_list(column: str, sep: str = " ") -> F.Column:
-    """LISTAGG(column, sep) WITHIN GROUP (ORDER BY column): NULLs skipped,
-    duplicates kept, NULL for an empty group."""
-    return F.expr(f"listagg({column}, '{sep}') within group (order by {column})")
+ROLLUP_KEYS = ["appointment_id", "appt_obj_type"]
+LISTS = {c: c for c in ("purchase_orders_running", "purchase_orders_closed")}
 
 
-def appointment_po_rollup(split: DataFrame) -> DataFrame:
-    return split.groupBy("appointment_id", "appt_obj_type").agg(
-        ordered_list("purchase_orders_running").alias("purchase_orders_running"),
-        ordered_list("purchase_orders_closed").alias("purchase_orders_closed"),
+def hot_appointments(objects: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
+    """Appointments whose PO lists are made in parts.  An object gives at most
+    one split row for each of the eight note priorities."""
+    return hot_groups(objects, ROLLUP_KEYS, limit // (len(PO_PRIORITY_CODES) + 1))
+
+
+def appointment_po_rollup(split: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    return grouped_lists(split, ROLLUP_KEYS, LISTS, [
         F.max("business_partner_id").alias("business_partner_id"),
         F.min("purchase_orders_priority").alias("purchase_orders_priority"),
-        F.sum("nb_lines").alias("nb_lines"))
+        F.sum("nb_lines").alias("nb_lines")], hot)
 
 
-def po_lists(split: DataFrame) -> DataFrame:
+def po_lists(split: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Only the two ordered PO lists of the rollup."""
-    return split.groupBy("appointment_id", "appt_obj_type").agg(
-        ordered_list("purchase_orders_running").alias("purchase_orders_running"),
-        ordered_list("purchase_orders_closed").alias("purchase_orders_closed"))
+    return grouped_lists(split, ROLLUP_KEYS, LISTS, [], hot)

@@ -15,7 +15,7 @@ from quaysight.functions.clock import (
     to_char,
 )
 from quaysight.functions.semantics import ora_concat, ora_substr
-from quaysight.operators.purchase import ordered_list
+from quaysight.operators.lists import lists_in_parts
 
 # Shipment status band of shipments in progress, the order type
 # of store deliveries, and the look-back days of the two clock windows.
@@ -106,11 +106,11 @@ def not_closed_list(shipment: DataFrame, lpn: DataFrame, as_of: AsOf,
     progress whose pickup lies between TRUNC(as_of-10) and TRUNC(as_of-5) and
     which have at least one piece (NULL when there is none).
 
-    The clock window bounds the list; the EXISTS test streams ``lpn`` against
-    the (small) windowed shipment keys.
+    The EXISTS test streams ``lpn`` against the windowed shipment keys.  All
+    codes are one group, so they are listed in parts, by range.
     """
     late = in_progress(shipment).filter(between_midnights("pickup_start_dttm", as_of, from_days, to_days)) \
         .select("shipment_id", "tc_shipment_id")
     with_pieces = lpn.select("shipment_id").join(late.select("shipment_id"), "shipment_id", "left_semi")
     late = late.join(with_pieces, "shipment_id", "left_semi")
-    return late.agg(ordered_list("tc_shipment_id").alias("not_closed"))
+    return lists_in_parts(late, [], "tc_shipment_id", "not_closed")

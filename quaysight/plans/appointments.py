@@ -36,7 +36,7 @@ from quaysight.functions.semantics import zero_if_null_decimal
 from quaysight.operators import materialize, materialize_all, restrict_to
 from quaysight.operators.appointments import dock_pole, eligibility
 from quaysight.operators.eav import attach_attributes_checked
-from quaysight.operators.purchase import PO_OBJECT_TYPE, appointment_po_rollup, po_split
+from quaysight.operators.purchase import PO_OBJECT_TYPE, appointment_po_rollup, hot_appointments, po_split
 from quaysight.operators.trailers import trailer_tasks
 from quaysight.sources.catalog import Wms
 
@@ -102,7 +102,7 @@ def appointments(w: Wms, as_of: AsOf) -> DataFrame:
     })
     objects, attrs, detail = written["objects"], written["attributes"], written["visit_detail"]
     visits = materialize(restrict_to(w.trailer_visit, detail, "visit_id"), "visits")
-    rollup = appointment_po_rollup(po_split_for(w, objects, restrict=True))
+    rollup = appointment_po_rollup(po_split_for(w, objects, restrict=True), hot_appointments(objects))
     slot_rows = restrict_to(w.ilm_appt_slots, appts, "appointment_id").select("appointment_id", "slot_id")
     slots = w.slots.select("slot_id", F.col("description").alias("dock_group"))
     timeline = appointment_timeline(w, appts, (detail, visits))

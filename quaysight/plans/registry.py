@@ -26,7 +26,7 @@ from quaysight.operators.dock import (
 )
 from quaysight.operators.eav import attach_attributes_by_joins, attach_attributes_checked
 from quaysight.operators.notes import TAG_ADDITION, TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes_checked, po_priority
-from quaysight.operators.purchase import appointment_po_rollup, po_lists
+from quaysight.operators.purchase import appointment_po_rollup, hot_appointments, po_lists
 from quaysight.operators.shipments import (
     active_shipments,
     carrier_code,
@@ -219,11 +219,11 @@ def q_po_split(w):
 
 
 def q_po_lists(w):
-    return po_lists(_split(w))
+    return po_lists(_split(w), hot_appointments(w.ilm_appointment_objects))
 
 
 def q_appointment_po_rollup(w):
-    return appointment_po_rollup(_split(w))
+    return appointment_po_rollup(_split(w), hot_appointments(w.ilm_appointment_objects))
 
 
 def q_eav_attributes(w):
@@ -248,7 +248,7 @@ def q_dock_pole(w):
 
 
 def q_appointment_eligibility(w):
-    rollup = appointment_po_rollup(po_split_for(w, w.ilm_appointment_objects, restrict=False))
+    rollup = appointment_po_rollup(_split(w), hot_appointments(w.ilm_appointment_objects))
     base = w.ilm_appointments.select("appointment_id").join(rollup, "appointment_id", "left")
     base = (base.join(w.ilm_appt_slots, "appointment_id", "left")
             .join(w.slots.select("slot_id", F.col("description").alias("dock_group")), "slot_id", "left"))

@@ -430,6 +430,17 @@ def _queries() -> dict[str, str]:
     q["appointments"] = appointments_sql(APPOINTMENT_AS_OF)
     q["appointments_friday"] = appointments_sql(APPOINTMENT_AS_OF_FRIDAY)
 
+    def each_clock(sql, clocks) -> str:
+        """The statement of every clock, one after the other."""
+        return "\nUNION ALL\n".join(f"SELECT {ts(c)} AS as_of, * FROM (\n{sql(c)}\n)" for c in clocks)
+
+    q["appointments_week"] = each_clock(appointments_sql, [dt.datetime(2024, 1, d, 12) for d in range(8, 15)])
+    activity_week = [dt.datetime(2001, 7, d, 12) for d in range(16, 23)]
+    q["active_shipments_week"] = each_clock(
+        lambda c: f"SELECT s.shipment_id, s.tc_shipment_id, s.shipment_status, s.pickup_start_dttm "
+                  f"FROM w_shipment s WHERE {active_where('s', c)}", activity_week)
+    q["not_closed_week"] = each_clock(not_closed_sql, activity_week)
+
     q["carrier_fallback"] = ("SELECT shipment_id, coalesce(dsg_carrier_code, assigned_carrier_code) AS carrier_code "
                              "FROM w_shipment")
     q["id_split"] = (f"SELECT tc_shipment_id, {code_left('tc_shipment_id')} AS tc_shipment_id_left, "

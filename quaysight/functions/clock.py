@@ -67,6 +67,11 @@ def iso_weekday(d: Column) -> Column:
     return F.weekday(d) + 1
 
 
+def business_days_ahead(today: Column, friday: int = 5, friday_ahead: int = 3, other_ahead: int = 1) -> Column:
+    """Days from a day to the next working day: 3 on a Friday, else 1."""
+    return F.when(iso_weekday(today) == friday, F.lit(friday_ahead)).otherwise(F.lit(other_ahead))
+
+
 def business_day_window(ts: ColumnOrName, as_of: AsOf, friday: int = 5,
                         friday_ahead: int = 3, other_ahead: int = 1) -> Column:
     """TRUNC(ts) BETWEEN TRUNC(as_of) AND TRUNC(as_of + (Friday ? 3 : 1)).
@@ -75,8 +80,7 @@ def business_day_window(ts: ColumnOrName, as_of: AsOf, friday: int = 5,
     numbering, independent of any locale.
     """
     today = F.to_date(as_of_col(as_of))
-    ahead = F.when(iso_weekday(today) == friday, F.lit(friday_ahead)).otherwise(F.lit(other_ahead))
-    return day(ts).between(today, F.date_add(today, ahead))
+    return day(ts).between(today, F.date_add(today, business_days_ahead(today, friday, friday_ahead, other_ahead)))
 
 
 def minutes_of_day_since(as_of: AsOf, ts: ColumnOrName) -> Column:

@@ -20,14 +20,18 @@ a filtered scan pushed into parquet, cheap to repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.clock import (
     MASK_DAY_MONTH,
     MASK_TIME,
     AsOf,
+    as_of_col,
     business_day_window,
+    business_days_ahead,
     minutes_of_day_since,
     minutes_since,
     to_char,
@@ -35,6 +39,7 @@ from quaysight.functions.clock import (
 from quaysight.functions.semantics import zero_if_null_decimal
 from quaysight.operators import materialize, materialize_all, restrict_to
 from quaysight.operators.appointments import dock_pole, eligibility
+from quaysight.operators.clocks import business_windows, clock_table, rows_in_windows
 from quaysight.operators.eav import attach_attributes_checked
 from quaysight.operators.purchase import PO_OBJECT_TYPE, appointment_po_rollup, hot_appointments, po_split
 from quaysight.operators.trailers import trailer_tasks
@@ -89,12 +94,32 @@ def appointment_timeline(w: Wms, appts: DataFrame | None = None,
     return trailer_tasks(detail, visit, ref, w.locn_hdr, tasks)
 
 
+def window_appointments(w: Wms, as_of: AsOf) -> DataFrame:
+    """The appointments of the clock's business-day window."""
+    today = F.to_date(as_of_col(as_of))
+    rows = w.days("ilm_appointments", today, F.date_add(today, business_days_ahead(today)))
+    return rows.filter(business_day_window("scheduled_dttm", as_of))
+
+
 def appointments(w: Wms, as_of: AsOf) -> DataFrame:
+    return _report(w, window_appointments(w, as_of), as_of_col(as_of)).select(*APPOINTMENT_COLUMNS)
+
+
+def appointments_by_clock(w: Wms, clocks: Iterable[AsOf]) -> DataFrame:
+    """(as_of, the report's columns): the report of each clock, from one scan
+    of the appointments and of every table behind them.  An appointment shown
+    by several clocks is rolled up once."""
+    windows = business_windows(clock_table(w.ilm_appointments.sparkSession, clocks))
+    return _report(w, rows_in_windows(w.ilm_appointments, "scheduled_dttm", windows), F.col("as_of")).select("as_of", *APPOINTMENT_COLUMNS)
+
+
+def _report(w: Wms, shown: DataFrame, as_of: Column) -> DataFrame:
+    """The report over the appointments of one or more windows."""
     # The window's appointments are written first so that Spark sees their
     # real (small) size and streams the big tables against a broadcast of
     # their keys (a filtered scan is estimated at the whole table's size);
     # the cut inputs several branches reuse are then written concurrently.
-    appts = materialize(w.ilm_appointments.filter(business_day_window("scheduled_dttm", as_of)), "appointments")
+    appts = materialize(shown, "appointments")
     written = materialize_all({
         "objects": restrict_to(w.ilm_appointment_objects, appts, "appointment_id"),
         "attributes": restrict_to(w.ilm_appt_custom_attribute, appts, "appointment_id"),
@@ -125,7 +150,7 @@ def appointments(w: Wms, as_of: AsOf) -> DataFrame:
 
     ts = F.col("scheduled_dttm")
     return out.select(
-        to_char(ts, MASK_DAY_MONTH).alias("scheduled_date"), to_char(ts, MASK_TIME).alias("scheduled_time"),
+        as_of.alias("as_of"), to_char(ts, MASK_DAY_MONTH).alias("scheduled_date"), to_char(ts, MASK_TIME).alias("scheduled_time"),
         "tc_appointment_id", F.col("comments").alias("appointment_comments"), "appointment_status",
         "tc_container_id",
         zero_if_null_decimal("nb_pal").alias("nb_palette"), zero_if_null_decimal("nb_package").alias("nb_package"),

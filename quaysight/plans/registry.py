@@ -17,6 +17,7 @@ from quaysight.functions.clock import business_day_window, minutes_of_day_since,
 from quaysight.functions.semantics import zero_if_null_decimal
 from quaysight.operators import extremes, stages
 from quaysight.operators.appointments import dock_pole, eligibility
+from quaysight.operators.clocks import active_shipments_by_clock, clock_table, not_closed_by_clock
 from quaysight.operators.dock import (
     load_percentage,
     load_percentage_by_multiplicity,
@@ -38,7 +39,7 @@ from quaysight.operators.shipments import (
     shipments_with_order_type_distinct,
     staging_locations,
 )
-from quaysight.plans.appointments import appointment_timeline, appointments, po_split_for
+from quaysight.plans.appointments import appointment_timeline, appointments, appointments_by_clock, po_split_for
 from quaysight.plans.dock_doors import dock_doors
 from quaysight.plans.shipment_activity import shipment_activity
 from quaysight.sources.catalog import Wms
@@ -48,6 +49,10 @@ ACTIVITY_AS_OF = "2001-07-20 12:00:00"
 APPOINTMENT_AS_OF = "2024-01-10 12:00:00"          # a Wednesday
 APPOINTMENT_AS_OF_FRIDAY = "2024-01-12 12:00:00"   # a Friday
 
+# A week of clocks for the runs with many.
+ACTIVITY_WEEK = tuple(f"2001-07-{d} 12:00:00" for d in range(16, 23))
+APPOINTMENT_WEEK = tuple(f"2024-01-{d:02d} 12:00:00" for d in range(8, 15))
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 WmsQueryFn = Callable[[Wms], DataFrame]
 
@@ -83,6 +88,10 @@ def q_appointments_friday(w):
     return appointments(w, APPOINTMENT_AS_OF_FRIDAY)
 
 
+def q_appointments_week(w):
+    return appointments_by_clock(w, APPOINTMENT_WEEK)
+
+
 # ------------------------------------------------------------ shipments ----
 def q_carrier_fallback(w):
     return w.shipment.select("shipment_id", carrier_code().alias("carrier_code"))
@@ -103,6 +112,15 @@ def q_active_shipments(w):
         "shipment_id", "tc_shipment_id", "shipment_status", "pickup_start_dttm")
 
 
+def q_active_shipments_week(w):
+    return active_shipments_by_clock(w.shipment, clock_table(w.shipment.sparkSession, ACTIVITY_WEEK)).select(
+        "as_of", "shipment_id", "tc_shipment_id", "shipment_status", "pickup_start_dttm")
+
+
+def q_not_closed_week(w):
+    return not_closed_by_clock(w.shipment, w.lpn, clock_table(w.shipment.sparkSession, ACTIVITY_WEEK))
+
+
 def _typed(w, fn):
     ids = fn(w.lpn, w.do_orders)
     return w.shipment.join(ids, "shipment_id", "inner").select("shipment_id", "tc_shipment_id")
@@ -277,7 +295,10 @@ WMS_QUERIES: dict[str, WmsQueryFn] = {
     "dock_doors": q_dock_doors,
     "appointments": q_appointments,
     "appointments_friday": q_appointments_friday,
+    "appointments_week": q_appointments_week,
     # operators
+    "active_shipments_week": q_active_shipments_week,
+    "not_closed_week": q_not_closed_week,
     "carrier_fallback": q_carrier_fallback,
     "eav_quantities": q_eav_quantities,
     "appointment_eligibility": q_appointment_eligibility,

@@ -30,6 +30,7 @@ from quaysight.functions.clock import (
     MASK_DAY_MONTH_TIME,
     MASK_TIME,
     AsOf,
+    as_of_col,
     after_day_offset,
     between_midnights,
     to_char,
@@ -75,7 +76,8 @@ PIECE_COLUMNS = ("lpn_id", "order_id", "shipment_id", "lpn_facility_status", "co
 def watched_shipments(w: Wms, as_of: AsOf) -> DataFrame:
     """Shipments in progress that either report reads: the active ones and
     the late ones of the not-closed list (one scan of ``shipment``)."""
-    watched = in_progress(w.shipment).filter(
+    earliest = F.date_sub(F.to_date(as_of_col(as_of)), max(OPEN_DAYS_BACK, NOT_CLOSED_FROM_DAYS))
+    watched = in_progress(w.days("shipment", earliest)).filter(
         after_day_offset("pickup_start_dttm", as_of, OPEN_DAYS_BACK)
         | between_midnights("pickup_start_dttm", as_of, NOT_CLOSED_FROM_DAYS, NOT_CLOSED_TO_DAYS))
     return watched.withColumn("_active", after_day_offset("pickup_start_dttm", as_of, OPEN_DAYS_BACK))

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaysight.sources.schemas import KEYS, SCHEMAS, TABLE_NAMES
+from quaysight.sources.schemas import DAY_COLUMNS, DAY_PARTITION, KEYS, SCHEMAS, TABLE_NAMES
 
 
 class KeyViolation(ValueError):
@@ -80,12 +80,14 @@ class Wms:
         except KeyError as exc:
             raise AttributeError(str(exc)) from None
 
-    def stage(self, root: str, names=TABLE_NAMES, files: int | None = None) -> "Wms":
+    def stage(self, root: str, names=TABLE_NAMES, files: int | None = None, by_day: bool = False) -> "Wms":
         """Write the tables to ``root/<table>`` as parquet and return a
         ``Wms`` reading them (e.g. to turn the test-data derivation into
         stored tables, as a warehouse extract would be).  ``files`` spreads
         each table over that many files, as a stored table would be, so that
-        its scans can run in parallel."""
+        its scans can run in parallel.  With ``by_day`` the tables that the
+        clock windows cut are partitioned by day, so that a report opens the
+        days of its window only."""
         root = root.rstrip("/")
         spark = None
         for name in names:
@@ -93,9 +95,23 @@ class Wms:
             spark = df.sparkSession
             if files:
                 df = df.repartition(files)
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            if by_day and name in DAY_COLUMNS:
+                # a day's rows in few files; AQE splits a large day
+                df = df.withColumn(DAY_PARTITION, F.to_date(DAY_COLUMNS[name])).hint("rebalance", F.col(DAY_PARTITION))
+                df.write.mode("overwrite").partitionBy(DAY_PARTITION).parquet(f"{root}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{root}/{name}")
         return Wms.from_parquet(spark, root)
 
+    def days(self, name: str, first: Column, last: Column | None = None) -> DataFrame:
+        """The table, of its days from ``first`` to ``last`` if it is stored by
+        day; the whole table otherwise.  Callers filter by time as well."""
+        df = self.table(name)
+        if DAY_PARTITION not in df.columns:
+            return df
+        day = F.col(DAY_PARTITION)
+        return df.filter(day >= first if last is None else day.between(first, last)).drop(DAY_PARTITION)
+
     # -- constructors -------------------------------------------------------
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Wms":

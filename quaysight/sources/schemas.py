@@ -69,3 +69,11 @@ KEYS: dict[str, tuple[str, ...]] = {
     "business_partner": ("business_partner_id",),
     "purchase_orders_status": ("purchase_orders_status",),
 }
+
+# Tables that ``Wms.stage(by_day=True)`` stores by day, and the time whose day is
+# their partition column.
+DAY_PARTITION = "day_of_window"
+DAY_COLUMNS: dict[str, str] = {
+    "shipment": "pickup_start_dttm",
+    "ilm_appointments": "scheduled_dttm",
+}

@@ -513,6 +513,13 @@ def _queries() -> dict[str, str]:
                            "CAST(coalesce(CAST(nb_pal AS DECIMAL(10,3)), 0) AS DECIMAL(10,3)) AS nb_palette, "
                            "CAST(coalesce(CAST(nb_package AS DECIMAL(10,3)), 0) AS DECIMAL(10,3)) AS nb_package "
                            f"FROM w_ilm_appointments a\n{attr_joins(ATTRS[1:3])}")
+    chosen = ("FROM w_ilm_appt_custom_attribute WHERE attribute_name IN ('NB_PALETTE', 'NBR_COLIS', 'ARRIVAL_DTTM') "
+              "AND {} (attribute_value IS NULL OR try_cast(attribute_value AS DECIMAL(10,3)) IS NOT NULL)")
+    q["rejected_quantities"] = ("SELECT appointment_id, attribute_name, attribute_value, 'attribute_value: ' || "
+                                "CASE WHEN try_cast(attribute_value AS DECIMAL(38,10)) IS NULL THEN 'not a number' "
+                                f"ELSE 'out of range of decimal(10,3)' END AS reject_reason {chosen.format('NOT')}")
+    q["accepted_quantities"] = ("SELECT appointment_id, attribute_name, CAST(attribute_value AS DECIMAL(10,3)) AS quantity "
+                                f"{chosen.format('')}")
     q["dock_pole"] = (f"SELECT isl.appointment_id, isl.slot_id, sl.description AS dock_group, {POLE_CASE} AS dock_pole "
                       f"FROM w_ilm_appt_slots isl LEFT JOIN w_slots sl ON isl.slot_id = sl.slot_id")
     q["appointment_eligibility"] = f"""WITH {po_rows_sql()}

@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame
 
 from quaysight.session import ensure_checkpoint_dir
 
-# Folders written by ``materialize`` in this driver process (see
+# Folders written by ``materialize`` outside of any ``intermediates`` block (see
 # ``drop_materialized``).
 _WRITTEN: list[str] = []
+# The folders of the block that the current thread runs in.
+_OWNER: ContextVar[list[str] | None] = ContextVar("quaysight_intermediates", default=None)
+
+
+@contextmanager
+def intermediates(spark) -> Iterator[list[str]]:
+    """A block that owns the intermediates written in it: they are deleted when
+    it ends, those of other reports - of this driver or of another - are not.
+
+        with intermediates(spark):
+            save_report(dock_doors(wms), path)
+    """
+    mine: list[str] = []
+    token = _OWNER.set(mine)
+    try:
+        yield mine
+    finally:
+        _OWNER.reset(token)
+        _delete(spark, mine)
 
 
 def restrict_to(big: DataFrame, keys: DataFrame, big_col: str, key_col: str | None = None) -> DataFrame:
@@ -47,7 +69,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     # size (and split skewed ones), so the folder holds right-sized files.
     df = df.hint("rebalance")
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
+    owner = _OWNER.get()
+    (_WRITTEN if owner is None else owner).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,23 +84,29 @@ def materialize_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return {name: materialize(df, name) for name, df in frames.items()}
     ensure_checkpoint_dir(next(iter(frames.values())).sparkSession)   # resolve once, before the threads
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-        futures = {name: pool.submit(materialize, df, name) for name, df in frames.items()}
+        # each thread in a copy of this context: the folders keep their owner
+        futures = {name: pool.submit(copy_context().run, materialize, df, name) for name, df in frames.items()}
         return {name: f.result() for name, f in futures.items()}
 
 
 def drop_materialized(spark) -> int:
-    """Delete the folders ``materialize`` wrote, once the reports that read
-    them have been written out (e.g. at the end of a dashboard refresh).
-    Uses the Hadoop file system of the session, so it works for any shared
-    store.  Returns the number of folders removed."""
+    """Delete the folders ``materialize`` wrote outside of ``intermediates``
+    blocks, once the reports that read them have been written out (e.g. at the
+    end of a dashboard refresh).  Returns the number of folders removed."""
+    return _delete(spark, _WRITTEN)
+
+
+def _delete(spark, folders: list[str]) -> int:
+    """Delete folders with the Hadoop file system of the session, so that it
+    works for any shared store."""
     try:
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
     except Exception:   # no driver-side JVM (Spark Connect): leave the folders to the store's retention
         return 0
     removed = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while folders:
+        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
         fs = path.getFileSystem(conf)
         removed += bool(fs.delete(path, True))
     return removed

@@ -42,6 +42,7 @@ from quaysight.operators.appointments import dock_pole, eligibility
 from quaysight.operators.clocks import business_windows, clock_table, rows_in_windows
 from quaysight.operators.eav import attach_attributes_checked
 from quaysight.operators.purchase import PO_OBJECT_TYPE, appointment_po_rollup, hot_appointments, po_split
+from quaysight.operators.rejects import QUANTITY_TYPES, split_rejects
 from quaysight.operators.trailers import trailer_tasks
 from quaysight.sources.catalog import Wms
 
@@ -101,8 +102,11 @@ def window_appointments(w: Wms, as_of: AsOf) -> DataFrame:
     return rows.filter(business_day_window("scheduled_dttm", as_of))
 
 
-def appointments(w: Wms, as_of: AsOf) -> DataFrame:
-    return _report(w, window_appointments(w, as_of), as_of_col(as_of)).select(*APPOINTMENT_COLUMNS)
+def appointments(w: Wms, as_of: AsOf, rejects_to: str | None = None) -> DataFrame:
+    """The report at one clock.  A quantity that is no number is an error, as
+    in the source; with ``rejects_to`` its row goes to that folder instead,
+    with the reason (``operators.rejects``)."""
+    return _report(w, window_appointments(w, as_of), as_of_col(as_of), rejects_to).select(*APPOINTMENT_COLUMNS)
 
 
 def appointments_by_clock(w: Wms, clocks: Iterable[AsOf]) -> DataFrame:
@@ -113,7 +117,7 @@ def appointments_by_clock(w: Wms, clocks: Iterable[AsOf]) -> DataFrame:
     return _report(w, rows_in_windows(w.ilm_appointments, "scheduled_dttm", windows), F.col("as_of")).select("as_of", *APPOINTMENT_COLUMNS)
 
 
-def _report(w: Wms, shown: DataFrame, as_of: Column) -> DataFrame:
+def _report(w: Wms, shown: DataFrame, as_of: Column, rejects_to: str | None = None) -> DataFrame:
     """The report over the appointments of one or more windows."""
     # The window's appointments are written first so that Spark sees their
     # real (small) size and streams the big tables against a broadcast of
@@ -142,6 +146,10 @@ def _report(w: Wms, shown: DataFrame, as_of: Column) -> DataFrame:
            .join(slots, "slot_id", "left")
            .join(timeline, "appointment_id", "left"))
     out = attach_attributes_checked(out, attrs)   # last: no later join brings a salted appointment together again
+    if rejects_to:
+        split = split_rejects(out, QUANTITY_TYPES, "checked_appointments")
+        split.rejected.write.mode("overwrite").parquet(rejects_to)
+        out = split.good
 
     obj_type = F.col("appt_obj_type")
     shown = eligibility(F.col("purchase_orders_running"), F.col("purchase_orders_closed"), F.col("dock_group"),

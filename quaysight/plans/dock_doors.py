@@ -19,7 +19,7 @@ the stage counts, the loaded totals and the weights.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.clock import MASK_DAY_MONTH, MASK_DAY_MONTH_YEAR_TIME, MASK_TIME, to_char
@@ -110,13 +110,15 @@ def dock_rows(w: Wms, inputs: tuple[DataFrame, DataFrame, DataFrame] | None = No
         F.col("weight").alias("poids_charge"), "note_ordre", "note_rajout")
 
 
+def dock_order() -> list[Column]:
+    """Source order: door ascending with NULLs last, stop descending with NULLs
+    first; the shipment code after them lets the range sort split a busy door."""
+    return [F.col("porte_de_quai").asc_nulls_last(), F.col("arret").desc_nulls_first(), F.col("chargement").asc()]
+
+
 def _finish(grouped: DataFrame, ordered: bool) -> DataFrame:
     out = grouped.select(*DOCK_COLUMNS)
-    if ordered:
-        # Source order: door ascending with NULLs last, stop descending with NULLs first;
-        # the shipment code after them lets the range sort split a busy door.
-        out = out.orderBy(F.col("porte_de_quai").asc_nulls_last(), F.col("arret").desc_nulls_first(), "chargement")
-    return out
+    return out.orderBy(*dock_order()) if ordered else out
 
 
 def dock_doors(w: Wms, ordered: bool = True) -> DataFrame:

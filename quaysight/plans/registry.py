@@ -28,6 +28,7 @@ from quaysight.operators.dock import (
 from quaysight.operators.eav import attach_attributes_by_joins, attach_attributes_checked
 from quaysight.operators.notes import TAG_ADDITION, TAG_DETOUR, TAG_ORDER, TAG_USERS, attach_notes_checked, po_priority
 from quaysight.operators.purchase import appointment_po_rollup, hot_appointments, po_lists
+from quaysight.operators.rejects import split_attributes
 from quaysight.operators.shipments import (
     active_shipments,
     carrier_code,
@@ -259,6 +260,19 @@ def q_eav_quantities(w):
                     zero_if_null_decimal("nb_package").alias("nb_package"))
 
 
+# Attributes that a site could take for quantities; arrival times are none.
+QUANTITY_ATTRIBUTES = ("NB_PALETTE", "NBR_COLIS", "ARRIVAL_DTTM")
+
+
+def q_rejected_quantities(w):
+    return split_attributes(w.ilm_appt_custom_attribute, QUANTITY_ATTRIBUTES).rejected
+
+
+def q_accepted_quantities(w):
+    return split_attributes(w.ilm_appt_custom_attribute, QUANTITY_ATTRIBUTES).good.select(
+        "appointment_id", "attribute_name", F.col("attribute_value").cast("decimal(10,3)").alias("quantity"))
+
+
 def q_dock_pole(w):
     j = w.ilm_appt_slots.join(w.slots, "slot_id", "left")
     return j.select("appointment_id", "slot_id", F.col("description").alias("dock_group"),
@@ -324,6 +338,8 @@ WMS_QUERIES: dict[str, WmsQueryFn] = {
     "staging_location": q_staging_location,
     "stop_stage_counts": q_stop_stage_counts,
     "eav_attributes": q_eav_attributes,
+    "rejected_quantities": q_rejected_quantities,
+    "accepted_quantities": q_accepted_quantities,
     "appointment_po_rollup": q_appointment_po_rollup,
     "load_percentage": _percentage(load_percentage),
     "loaded_weight": q_loaded_weight,

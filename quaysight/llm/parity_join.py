@@ -52,18 +52,43 @@ BLOCK = 2048
 # Smallest open groups that a member names, so that a pair met in one of them
 # isn't made again elsewhere; a pair that shares others is made once in each.
 NAMED = 16
-# Digests of texts that a task remembers, to post copies once.
+# Digests of texts that a task remembers, to post copies once, and hashes of
+# words that a worker remembers.
 REMEMBERED = 1 << 18
+# Members of a block pair whose pairs are compared at once, and bytes of their
+# sketches that are laid against one another at a time.
+AT_ONCE = 256
+SKETCH_BYTES = 1 << 22
 
 _FINGERPRINTS = "doc_id long, digest binary, n long, sketch binary, keys array<long>"
 
 
+class _WordHashes(dict):
+    """Words -> their 64-bit hashes; a worker remembers the last ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_hash_of = _WordHashes().__getitem__
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingle_hashes(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return shingles_of(words_of(text))
+
+
+def shingles_of(words: list[bytes]) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.fromiter(map(_hash_of, words), np.uint64, len(words))
     width = min(SHINGLE, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -139,12 +164,12 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            norm = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-            digest = hashlib.md5(norm, usedforsecurity=False).digest() if norm else None
+            words = words_of(text)
+            digest = hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if words else None
             if digest in seen:
                 rows.append((doc, digest, seen[digest], None, None))
                 continue
-            h = shingle_hashes(text)
+            h = shingles_of(words)
             if digest is not None and doc is not None:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
@@ -271,16 +296,28 @@ def _crossing(doc, n, comp, block, sketches, before, lo: int, hi: int, spanning:
     as many as there are components: each with the one that is near to most;
     else all pairs that have none of the keys ``before`` this one in common."""
     width = min(map(len, sketches))
-    sketch = np.stack([folded(np.frombuffer(s, np.uint8), width) for s in sketches])
+    # a sketch has 64 bits or a multiple
+    sketch = np.stack([folded(np.frombuffer(s, np.uint64), width // 8) for s in sketches])
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
     found = [np.empty((0, 3), np.int64)]
-    for i in left:
-        j = right[right > i] if lo == hi else right
-        j = j[(comp[j] != comp[i]) & (NUM * np.maximum(n[j], n[i]) <= DEN * np.minimum(n[j], n[i]))]
-        if len(j):
-            far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            ok = far <= most_difference(n[j], n[i])
-            found.append(np.column_stack((np.full(ok.sum(), i), j[ok], far[ok])))
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        may = (comp[j] != comp[i]) & (NUM * np.maximum(n[j], n[i]) <= DEN * np.minimum(n[j], n[i]))
+        i, j = i[may], j[may]
+        step = max(1, SKETCH_BYTES // width)
+        for at in range(0, len(i), step):
+            a, b = i[at:at + step], j[at:at + step]
+            far = np.bitwise_count(sketch[b] ^ sketch[a]).sum(axis=1, dtype=np.int64)
+            ok = far <= most_difference(n[b], n[a])
+            found.append(np.column_stack((a[ok], b[ok], far[ok])))
+
+    if len(doc) <= AT_ONCE:
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        compare(*((i[i < j], j[i < j]) if lo == hi else (i, j)))
+    else:
+        for i in left:
+            j = right[right > i] if lo == hi else right
+            compare(np.full(len(j), i), j)
     near = np.concatenate(found)
     if spanning and len(near) > 1:
         _, of = np.unique(comp, return_inverse=True)

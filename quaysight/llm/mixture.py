@@ -113,8 +113,8 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__hash"))
     sized = sized.withColumn("__cell", F.pmod("__hash", F.lit(CELLS)).cast("int"))
     spark = docs.sparkSession
-    cells = stored(sized.groupBy("__source", "mix_size", "__cell").agg(F.count("*").alias("cell_n")), "mix-cells")
-    by_length = cells.groupBy("__source", "mix_size").agg(F.sum("cell_n").alias("n"))
+    cells = stored(sized.groupBy("__source", "mix_size", "__cell").agg(F.count("*").alias("__cell_n")), "mix-cells")
+    by_length = cells.groupBy("__source", "mix_size").agg(F.sum("__cell_n").alias("n"))
     sums = by_length.groupBy("__source").agg(F.sum(F.col("mix_size") * F.col("n")).alias("size"))
     # one row per source, which the weights are stated for
     dealt = source_targets([(None if r[0] == "n" else r[0][1:], r[1]) for r in sums.collect()], weights, share)
@@ -130,24 +130,24 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
         whole = int(target // size) if size else 0
         more = choose_lengths(have, round(target - whole * size))
         return pd.DataFrame({"__source": counts["__source"], "mix_size": counts["mix_size"],
-                             "whole": whole, "more": [more.get(n, 0) for n in counts["mix_size"].tolist()]})
+                             "__whole": whole, "__more": [more.get(n, 0) for n in counts["mix_size"].tolist()]})
 
     fitted = by_length.join(targets, "__source").groupBy("__source").applyInPandas(
-        fit, "__source string, mix_size long, whole int, more long")
+        fit, "__source string, mix_size long, __whole int, __more long")
     before = Window.partitionBy("__source", "mix_size").orderBy("__cell")
     plan = stored(
         cells.join(fitted, ["__source", "mix_size"])
-        .withColumn("earlier", F.sum("cell_n").over(before) - F.col("cell_n"))
-        .withColumn("extra", F.greatest(F.lit(0), F.least("cell_n", F.col("more") - F.col("earlier"))))
+        .withColumn("__earlier", F.sum("__cell_n").over(before) - F.col("__cell_n"))
+        .withColumn("__extra", F.greatest(F.lit(0), F.least("__cell_n", F.col("__more") - F.col("__earlier"))))
         .join(targets, "__source")
-        .select("__source", "mix_size", "__cell", "cell_n", "whole", "extra", "mix_source_size", "mix_target"), "mix-plan")
+        .select("__source", "mix_size", "__cell", "__cell_n", "__whole", "__extra", "mix_source_size", "mix_target"), "mix-plan")
     # Only cells that are taken in part need an order; they hold 1/CELLS of a length.
     keys = ["__source", "mix_size", "__cell"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", id_col))
     return (sized.join(plan, keys)
             .withColumn("mix_times", F.when(F.col("mix_size") == 0, 0).otherwise(
-                F.col("whole") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("int"))
-            .drop("__source", "__cell", "__hash", "cell_n", "whole", "extra"))
+                F.col("__whole") + F.when(rank <= F.col("__extra"), 1).otherwise(0)).cast("int"))
+            .drop("__source", "__cell", "__hash", "__cell_n", "__whole", "__extra"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -550,3 +550,14 @@ def test_mix_edges(spark):
     assert sum(r.mix_size * r.mix_times for r in hot) == pytest.approx(hot[0].mix_target, abs=3)
     assert mixture.mixed_rows(df).columns == df.columns
     assert mixture.mix(df.limit(0)).count() == 0
+
+
+def test_the_mixture_keeps_columns_named_like_its_helpers(spark):
+    df = documents(spark).select("*", *(F.lit(k).alias(n) for k, n in enumerate(("extra", "whole", "cell_n", "more", "earlier", "n", "size"))))
+    got = mixture.mix(df)
+    assert got.columns == [*df.columns, "mix_size", "mix_source_size", "mix_target", "mix_times"]
+    plain = {r.doc_id: r.mix_times for r in mixture.mix(documents(spark)).collect()}
+    for r in got.collect():
+        assert (r.extra, r.whole, r.cell_n, r.more, r.earlier, r.n, r["size"]) == (0, 1, 2, 3, 4, 5, 6)
+        assert r.mix_times == plain[r.doc_id]
+    assert mixture.mixed_rows(df).columns == df.columns

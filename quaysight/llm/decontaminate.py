@@ -6,11 +6,14 @@ texts and benchmark items are seeded at every word; equal seeds give hits on a
 diagonal (document position minus item position).  Around each hit the item is
 laid over the text and the best window of words must agree in three of four.
 The masks leave out no such window: wherever the replaced words of a window of
-LEAST to WINDOW words lie, one mask fits between them.
+LEAST to WINDOW words lie, one mask fits between them.  Items of fewer words are
+seeded whole and must occur word for word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from quaysight.llm.common import stored
 # Positions that count, of each mask.
 MASKS = ((0, 1, 2, 4), (0, 3, 4, 5), (0, 1, 3, 6))
 SHORTEST = 5
-# Words that an item must have to be evidence.
+# Words from which an item may have some replaced; shorter ones must occur whole.
 LEAST = 8
 # Words of the window that is verified (whole items, if shorter) and the share that must agree.
 WINDOW = 13
@@ -29,17 +32,32 @@ BROADCAST_SEEDS = 1_000_000
 BROADCAST_WORDS = 4_000_000
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
+# Scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han).
+_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+
+Masks = list[tuple[int, tuple[int, ...]]]
+_LONG: Masks = list(enumerate(MASKS))
 
 
 def text_words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _NOT_WORD), lambda w: w != "")
+    """Lower-case runs of letters and digits; of scripts without spaces each
+    letter with its marks is a word."""
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    apart = F.regexp_replace(low, rf"({_UNSPACED}\p{{M}}*)", " $1 ")
+    low = F.when((F.octet_length(low) > F.char_length(low)) & low.rlike(_UNSPACED), apart).otherwise(low)
+    return F.filter(F.split(low, _NOT_WORD), lambda w: w != "")
+
+
+def short_masks(sizes: Sequence[int]) -> Masks:
+    """Masks of the whole items of fewer than LEAST words."""
+    return [(len(MASKS) + n, tuple(range(n))) for n in sorted(sizes)]
 
 
-def seeds_at(words: Column) -> tuple[Column, Column]:
+def seeds_at(words: Column, masks: Masks = _LONG) -> tuple[Column, Column]:
     """(seeds, places): the seeds of all masks at every word, one mask after
     the other, and how many places each mask has."""
-    places = F.greatest(F.lit(0), F.size(words) - SHORTEST + 1)
+    shortest = min((mask[-1] + 1 for _, mask in masks), default=SHORTEST)
+    places = F.greatest(F.lit(0), F.size(words) - shortest + 1)
     at = F.sequence(F.lit(0), F.greatest(F.lit(0), places - 1))
 
     def of_mask(number: int, mask: tuple[int, ...]) -> Column:
@@ -47,15 +65,15 @@ def seeds_at(words: Column) -> tuple[Column, Column]:
         return F.transform(at, lambda i: F.when(F.get(words, i + mask[-1]).isNotNull(),
                                                 F.xxhash64(F.lit(number), *[F.get(words, i + k) for k in mask])))
 
-    every = F.concat(*[of_mask(number, mask) for number, mask in enumerate(MASKS)])
+    every = F.concat(*[of_mask(number, mask) for number, mask in masks])
     return F.when(places > 0, every).otherwise(F.array().cast("array<bigint>")), places
 
 
-def seeded(frame: DataFrame, keys: list[str]) -> DataFrame:
+def seeded(frame: DataFrame, keys: list[str], masks: Masks = _LONG) -> DataFrame:
     """``keys``, ``at`` (word position from 0) and ``seed``; ``frame`` has the
     column ``words``."""
     hashed = frame.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    seeds, places = seeds_at(F.col("h"))
+    seeds, places = seeds_at(F.col("h"), masks)
     return (hashed.select(*keys, places.alias("places"), F.posexplode(seeds).alias("i", "seed"))
             .select(*keys, F.pmod("i", "places").cast("int").alias("at"), "seed")
             .where("seed IS NOT NULL"))
@@ -72,15 +90,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     document and item that overlap, the first word of the best window in the
     document, its agreeing words and its length.
 
-    Null and blank texts share nothing; items under 8
-    words are no evidence and match nothing.  Rows with a null id are searched
-    too; repeated rows give one result, repeated items (same id) one result
-    for each document.  Empty tables give no rows; other columns are ignored.
+    Null and blank texts, and items without a word, share nothing; items
+    under 8 words match where they occur word for word, be it a single word.
+    Rows with a null id are searched too; repeated rows give one result,
+    repeated items (same id) one result for each document.  A text is searched
+    whole, whatever its length.  Empty tables give no rows; other columns are
+    ignored.
     """
     items = stored(benchmark.select(F.col(item_col).alias("item_id"), text_words(F.col(item_text)).alias("item"))
-                   .where(F.size("item") >= LEAST).distinct(), "items")
-    tests = stored(seeded(items.withColumnRenamed("item", "words").withColumn("item_key", F.xxhash64("words")),
-                          ["item_id", "item_key"]).withColumnRenamed("at", "item_at"), "item-seeds")
+                   .where(F.size("item") > 0).distinct(), "items")
+    keyed = items.withColumnRenamed("item", "words").withColumn("item_key", F.xxhash64("words"))
+    by = ["item_id", "item_key"]
+    tests = seeded(keyed.where(F.size("words") >= LEAST), by)
+    # the lengths of short items, at most LEAST - 1 numbers
+    short = short_masks([r[0] for r in items.where(F.size("item") < LEAST).select(F.size("item")).distinct().collect()])
+    for mask in short:
+        tests = tests.unionByName(seeded(keyed.where(F.size("words") == len(mask[1])), by, [mask]))
+    tests = stored(tests.withColumnRenamed("at", "item_at"), "item-seeds")
     if tests.count() <= BROADCAST_SEEDS:
         tests = F.broadcast(tests)
     size = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
@@ -89,7 +115,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         laid = F.broadcast(laid)
     texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"),
                         text_words(F.col(text_col)).alias("words"))
-    hits = stored(seeded(texts, ["row_key"]).join(tests, "seed")
+    hits = stored(seeded(texts, ["row_key"], _LONG + short).join(tests, "seed")
                   .select("row_key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal"))
                   .distinct(), "hits")
     window = F.least(F.lit(WINDOW), F.size("item"))
@@ -100,7 +126,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = (texts.join(hits, "row_key").join(laid, ["item_id", "item_key"])
              .select("row_key", "doc_id", "item_id", "diagonal", window.alias("window"), same.alias("same"))
              .select("row_key", "doc_id", "item_id", "diagonal", "window", F.array_max(sums).alias("best"))
-             .where(F.col("best.matched") >= F.ceil(F.col("window") * AGREE)))
+             .where(F.col("best.matched") >= F.when(F.col("window") < LEAST, F.col("window")).otherwise(F.ceil(F.col("window") * AGREE))))
     best = found.groupBy("row_key", "item_id").agg(
         F.first("doc_id").alias("doc_id"),
         F.max(F.struct(F.col("best.matched").alias("matched"), (-(F.col("diagonal") - F.col("best.back") - 1)).alias("back"),
@@ -112,4 +138,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, unchanged."""
     leaked = stored(overlaps(docs, benchmark, id_col, text_col).select(F.col("row_key").alias("__row")).distinct(), "leaked")
-    return docs.withColumn("__row", _row_key(id_col, text_col)).join(leaked, "__row", "left_anti").drop("__row")
+    return docs.join(leaked, _row_key(id_col, text_col) == leaked["__row"], "left_anti")

@@ -555,9 +555,61 @@ def test_mix_edges(spark):
 def test_the_mixture_keeps_columns_named_like_its_helpers(spark):
     df = documents(spark).select("*", *(F.lit(k).alias(n) for k, n in enumerate(("extra", "whole", "cell_n", "more", "earlier", "n", "size"))))
     got = mixture.mix(df)
-    assert got.columns == [*df.columns, "mix_size", "mix_source_size", "mix_target", "mix_times"]
+    assert sorted(got.columns) == sorted([*df.columns, "mix_size", "mix_source_size", "mix_target", "mix_times"])
     plain = {r.doc_id: r.mix_times for r in mixture.mix(documents(spark)).collect()}
     for r in got.collect():
         assert (r.extra, r.whole, r.cell_n, r.more, r.earlier, r.n, r["size"]) == (0, 1, 2, 3, 4, 5, 6)
         assert r.mix_times == plain[r.doc_id]
     assert mixture.mixed_rows(df).columns == df.columns
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "這是一個完整的測試題目請不要把它放進訓練資料裡面啊"
+    items = [(1, "seven words that stand here together now"), (2, han), (3, "One"), (4, "..."), (5, "two words"), (6, "ภาษาไทยไม่มีช่องว่างระหว่างคำเลยนะครับ")]
+    texts = ["say: Seven words, that stand HERE together now!", "seven words that stand here together", "前面" + han + "後面", han[:12] + "x" + han[13:],
+             han[:20], "just one here", "words two", "x two words", "two\nwords one", "ก่อน " + items[5][1], None, "", "..."]
+    want = {(0, 1), (2, 2), (3, 2), (4, 2), (5, 3), (7, 5), (8, 5), (8, 3), (9, 6)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("__row", F.lit("mine"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.overlaps(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all(r.matched == r.window for r in found if r.item_id in (1, 3, 5))
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns
+    assert {(r.doc_id, r["__row"]) for r in kept.collect()} == {(i, "mine") for i in range(len(texts)) if i not in {d for d, _ in want}}
+
+
+def all_windows(docs, items):
+    """(doc, item) of every pair of which some laid window agrees, by looking
+    at all diagonals and windows."""
+    word = re.compile(r"[^\W_]+")   # the given tables hold no other digits or letters
+
+    def words(text):
+        return word.findall((text or "").lower())
+
+    out = set()
+    laid = [(i, words(t)) for i, t in items]
+    for d, text in docs:
+        w = words(text)
+        at = defaultdict(list)
+        for p, x in enumerate(w):
+            at[x].append(p)
+        for i, item in laid:
+            size = min(decontaminate.WINDOW, len(item))
+            need = len(item) if len(item) < decontaminate.LEAST else math.ceil(decontaminate.AGREE * size)
+            diagonals = Counter(p - q for q, x in enumerate(item) for p in at.get(x, ()))
+            for diagonal, n in diagonals.items():
+                if n >= need:
+                    same = [0 <= diagonal + q < len(w) and w[diagonal + q] == x for q, x in enumerate(item)]
+                    if any(sum(same[s:s + size]) >= need for s in range(len(item) - size + 1)):
+                        out.add((d, i))
+                        break
+    return out
+
+
+def test_overlaps_of_the_whole_tables_against_all_windows(spark):
+    docs = [(r.doc_id, r.text) for r in documents(spark, MEDIUM).collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{MEDIUM}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op5_spaced_seeds"](spark, MEDIUM).collect()}
+    want = all_windows(docs, bench)
+    assert got == want and want

@@ -34,6 +34,9 @@ BROADCAST_WORDS = 4_000_000
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 # Scripts written without spaces (Thai to Lao, Myanmar, Khmer, kana, Han).
 _UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+# The same in fewer ranges, with some letters between: what a text must hold to
+# be looked through.
+_NEAR_UNSPACED = r"[\u0E00-\u109F\u1780-\u17FF\u3040-\uFAFF\x{20000}-\x{3FFFF}]"
 
 Masks = list[tuple[int, tuple[int, ...]]]
 _LONG: Masks = list(enumerate(MASKS))
@@ -42,10 +45,10 @@ _LONG: Masks = list(enumerate(MASKS))
 def text_words(text: Column) -> Column:
     """Lower-case runs of letters and digits; of scripts without spaces each
     letter with its marks is a word."""
-    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    apart = F.regexp_replace(low, rf"({_UNSPACED}\p{{M}}*)", " $1 ")
-    low = F.when((F.octet_length(low) > F.char_length(low)) & low.rlike(_UNSPACED), apart).otherwise(low)
-    return F.filter(F.split(low, _NOT_WORD), lambda w: w != "")
+    raw = F.coalesce(text.cast("string"), F.lit(""))
+    apart = F.regexp_replace(raw, rf"({_UNSPACED}\p{{M}}*)", " $1 ")
+    spaced = F.when((F.octet_length(raw) > F.char_length(raw)) & raw.rlike(_NEAR_UNSPACED), apart).otherwise(raw)
+    return F.filter(F.split(F.lower(spaced), _NOT_WORD), lambda w: w != "")
 
 
 def short_masks(sizes: Sequence[int]) -> Masks:

@@ -119,13 +119,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS,
                   text_col: str = "text"):
     """(features, labels, folds) of at most ``most`` labelled documents, the
     first by seeded hash of the id.  A category that a row leaves null is 0;
-    of repeated labels of an id the higher value holds."""
+    of repeated labels of an id the higher value holds, of repeated documents
+    the smallest text."""
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         *(F.max(F.coalesce(F.expr(f"CAST({rule} AS INT)"), F.lit(0))).alias(name) for name, rule in CATEGORIES))
     order = F.xxhash64(F.lit(SEED), F.col("id"))
     picked = marks.orderBy(order, "id").limit(most)
-    # at most ``most`` rows
-    found = F.broadcast(picked).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    # at most ``most`` rows, and as many groups
+    found = F.broadcast(picked).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id")
+    found = found.groupBy("id", *(n for n, _ in CATEGORIES)).agg(F.min("text").alias("text"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

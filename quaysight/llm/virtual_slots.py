@@ -3,7 +3,7 @@
 Records hash into a fixed number of slots; bytes are summed per slot, and a
 versioned map says which shard holds which slot.  Rebalancing edits the map
 (a new version that moves single slots), never the hash, so most records stay
-where they are.  Only the slot table, of fixed size, ever reaches the driver.
+where they are.  The map can be kept at a named place, for the next run to edit.  Only the slot table, of fixed size, ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -90,16 +90,18 @@ def packed(slot_bytes: Sequence[int], shards: int) -> list[int]:
     return out
 
 
-def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, whole: bool = False) -> DataFrame:
     """``(doc_id, size, text_crc32, virtual_slot)`` per row: size is the
     UTF-8 bytes of the text (null: none) plus 1; the slot hashes id and text,
-    so repeated ids or null ids with different texts do not share one."""
+    so repeated ids or null ids with different texts do not share one.  With
+    ``whole`` a struct ``record`` holds all columns of the row."""
     text = F.col(text_col).cast("string")
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("virtual_slot"))
+        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("virtual_slot"),
+        *([F.struct(*docs.columns).alias("record")] if whole else []))
 
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -108,31 +110,67 @@ def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[int]:
     return [int(found.get(slot, 0)) for slot in range(slots)]
 
 
-def map_table(spark: SparkSession, versions: Sequence[Sequence[int]], slot_bytes: Sequence[int]) -> DataFrame:
-    """The versioned slot-to-shard map as a table, one row per version and slot."""
+def map_table(spark: SparkSession, versions: Sequence[Sequence[int]], slot_bytes: Sequence[int], first: int = 1) -> DataFrame:
+    """Versions of the slot-to-shard map, numbered from ``first``, as a table of
+    one row per version and slot."""
     return spark.createDataFrame(
-        [(v, slot, shard, slot_bytes[slot]) for v, shards in enumerate(versions, 1) for slot, shard in enumerate(shards)],
+        [(v, slot, shard, slot_bytes[slot]) for v, shards in enumerate(versions, first) for slot, shard in enumerate(shards)],
         MAP_SCHEMA)
 
 
+def newest_map(spark: SparkSession, path: str, slots: int = SLOTS) -> tuple[int, list[int]] | None:
+    """Number and shards by slot of the newest version stored at ``path``; None
+    if there is none.  ``slots`` rows reach the driver."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    stored_map = spark.read.schema(MAP_SCHEMA).parquet(path)
+    newest = stored_map.agg(F.max("version")).first()[0]
+    if newest is None:
+        return None
+    shard_of = {r.virtual_slot: r.shard for r in stored_map.where(F.col("version") == newest).collect()}
+    if sorted(shard_of) != list(range(slots)):
+        raise ValueError(f"the map at {path} has {len(shard_of)} slots, not {slots}")
+    return newest, [shard_of[slot] for slot in range(slots)]
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
-          slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+          slots: int = SLOTS, map_path: str | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, map): every row's shard under the newest version of the map,
     and the stored map.  Records: ``doc_id, size, text_crc32, virtual_slot,
-    shard, slot, map_version``; ``slot`` numbers the rows of a shard from 0
-    without gaps.
+    shard, slot, map_version``, with ``whole`` also ``record``, the row with
+    all its columns; ``slot`` numbers the rows of a shard from 0 without gaps.
+
+    Without ``map_path`` a map is made from nothing: version 1 deals the slots
+    out in turn, version 2 evens the bytes.  With it the newest map stored
+    there is read and edited - slots move only as far as new rows or more
+    shards ask for it - and the edit is stored as the next version, if it
+    moves a slot; the first run stores versions 1 and 2.
 
     Null texts have size 1, null ids hash like any value, repeated rows each
-    take a place, an empty table gives no records and an even map; other
-    columns are ignored.
+    take a place, an empty table gives no records and an even map; very long
+    texts travel whole, once; columns may have any names.
     """
     spark = docs.sparkSession
-    records = stored(slotted(docs, id_col, text_col, slots), "slotted")
+    records = stored(slotted(docs, id_col, text_col, slots, whole), "slotted")
     loads = slot_loads(records, slots)
-    start = first_map(loads, shards)
-    versions = [start, rebalanced(loads, start, shards)]
-    slot_map = stored(map_table(spark, versions, loads), "slot-map")
-    newest = slot_map.where(F.col("version") == len(versions)).select("virtual_slot", "shard", F.col("version").alias("map_version"))
+    known = newest_map(spark, map_path, slots) if map_path else None
+    if known is None:
+        start = first_map(loads, shards)
+        number, versions, moved = 1, [start, rebalanced(loads, start, shards)], True
+    else:
+        if max(known[1]) >= shards:
+            raise ValueError(f"the map at {map_path} knows {max(known[1]) + 1} shards, more than {shards}")
+        after = rebalanced(loads, known[1], shards)
+        moved = after != known[1]
+        number, versions = known[0] + moved, [after]
+    made = map_table(spark, versions, loads, number)
+    if map_path and moved:
+        made.write.mode("append").parquet(map_path)
+    slot_map = spark.read.schema(MAP_SCHEMA).parquet(map_path) if map_path else stored(made, "slot-map")
+    number += len(versions) - 1
+    newest = slot_map.where(F.col("version") == number).select("virtual_slot", "shard", F.col("version").alias("map_version"))
     # places: offset of the slot within its shard, then the row within its slot
     counts = records.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(newest), "virtual_slot")
     offsets = counts.withColumn("offset", F.sum("n").over(
@@ -141,5 +179,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     out = records.withColumn("within", within).join(F.broadcast(placed), "virtual_slot").select(
         "doc_id", "size", "text_crc32", "virtual_slot", "shard",
-        (F.col("offset") + F.col("within") - 1).cast("long").alias("slot"), "map_version")
+        (F.col("offset") + F.col("within") - 1).cast("long").alias("slot"), "map_version", *(["record"] if whole else []))
     return out, slot_map

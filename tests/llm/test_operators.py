@@ -613,3 +613,45 @@ def test_overlaps_of_the_whole_tables_against_all_windows(spark):
     got = {(r.doc_id, r.item_id) for r in QUERIES["op5_spaced_seeds"](spark, MEDIUM).collect()}
     want = all_windows(docs, bench)
     assert got == want and want
+
+
+def test_the_map_outlives_a_run(spark, tmp_path):
+    """More rows and one more shard: the stored map is edited, few slots move."""
+    path, slots = str(tmp_path / "map"), 256
+    docs = documents(spark, MEDIUM)
+
+    def run(part, shards):
+        records, table = virtual_slots.shard(part, shards, slots=slots, map_path=path, whole=True)
+        return records.collect(), {(r.version, r.virtual_slot): r.shard for r in table.collect()}
+
+    first, versions = run(docs.where("doc_id % 3 > 0"), 4)
+    assert {v for v, _ in versions} == {1, 2}
+    again, same = run(docs.where("doc_id % 3 > 0"), 4)
+    assert same == versions and sorted(map(str, again)) == sorted(map(str, first))   # nothing to move, no new version
+    more, grown = run(docs, 5)
+    assert {v for v, _ in grown} == {1, 2, 3} and {k: v for k, v in grown.items() if k[0] < 3} == versions
+    moved = [s for s in range(slots) if grown[3, s] != grown[2, s]]
+    assert {grown[3, s] for s in moved} >= {4} and len(moved) < slots / 2
+    load, places = Counter(), defaultdict(list)
+    for r in more:
+        assert (r.shard, r.map_version) == (grown[3, r.virtual_slot], 3)
+        load[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert sorted(load) == list(range(5)) and max(load.values()) < 1.2 * min(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    stay = {r.doc_id: r.shard for r in first}
+    kept = [r for r in more if r.doc_id in stay]
+    assert sum(r.shard != stay[r.doc_id] for r in kept) < len(kept) / 2
+    assert {(r.record.doc_id, r.record.text) for r in more} == {(r.doc_id, r.text) for r in docs.collect()}
+    with pytest.raises(ValueError, match="knows 5 shards"):
+        run(docs, 4)
+    with pytest.raises(ValueError, match="not 99"):
+        virtual_slots.shard(docs, 9, slots=99, map_path=path)
+
+
+def test_one_text_of_each_training_document(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    rows, marks, folds = toxicity.training_rows(docs, labels)
+    assert [r.tolist() for r in rows] == [toxicity.features("a").tolist(), []] and marks.tolist() == [[1, 1], [0, 0]]
+    assert len(folds) == 2

@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from quaysight.llm import decontaminate, toxicity
 from quaysight.llm.common import stored, table
@@ -60,3 +62,21 @@ def test_texts_that_share_an_id_are_separate_documents(spark):
     assert kept.columns == ["doc_id", "text"]
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(
         [(1, texts[0]), (1, texts[1]), (4, texts[2]), (6, None), (6, "other text"), (7, "")], key=str)
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    names = ("toxic", "p_toxic", "p_low_quality", "__node", "node", "__row", "extra", "whole", "size", "shard", "record")
+    docs = table(spark, SMALL, "documents").select("*", *(F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names))
+    plain = frames = table(spark, SMALL, "documents")
+    for _, stage in cp.STAGES[:-1]:
+        docs, plain = (stored(stage(spark, d, SMALL), "test-stage") for d in (docs, plain))
+        assert docs.columns == [*plain.columns, *names]
+        rows = docs.collect()
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in plain.collect())
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+    last = cp.into_shards(spark, docs, SMALL).collect()
+    assert Counter(tuple(r.record) for r in last) == Counter(map(tuple, rows))
+    assert frames.limit(0).count() == 0
+    empty = table(spark, SMALL, "documents").limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, SMALL).count() == 0

@@ -16,33 +16,45 @@ from quaysight.llm import decontaminate, mixture, parity_join, toxicity, virtual
 from quaysight.llm.common import stored, table
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under other column names, which no helper column has, and the
+    names by those of ``docs``."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go; all columns keep their
+    values, also ones named like the model's.  Empty tables give no rows."""
     models = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, models, keep=docs.columns)
-    return scored.where("toxic = 0").select(*docs.columns)
+    rows, at = _numbered(docs)
+    scored = toxicity.score(rows, models, id_col=at["doc_id"], text_col=at["text"], keep=list(at.values()))
+    return scored.where("toxic = 0").select(*at.values()).toDF(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id
     stays, once if its row is repeated; documents without an id stay.  Rows
-    that share an id but not the text are documents of their own."""
-    named = docs.where("doc_id IS NOT NULL")
-    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
-    unclear = named.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high")
+    that share an id but not the text are documents of their own.  An empty
+    table gives no rows; columns may have any names."""
+    rows, at = _numbered(docs)
+    doc_id, text = F.col(at["doc_id"]), F.col(at["text"])
+    named = rows.where(doc_id.isNotNull())
+    digest = F.coalesce(F.sha2(text, 256), F.lit(""))
+    unclear = named.groupBy(doc_id).agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high")
     if unclear.isEmpty():
-        nodes = named.withColumn("__node", F.col("doc_id"))
+        nodes = named.withColumn("node", doc_id)
     else:
         # written, so that a row keeps its number; numbers follow the ids
-        nodes = stored(named.orderBy("doc_id", "text").withColumn("__node", F.monotonically_increasing_id()), "nodes")
-    groups = parity_join.near_duplicate_components(nodes.select(F.col("__node").alias("doc_id"), "text"))
-    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__node")).distinct(), "kept")
-    once = nodes.join(kept, "__node", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.drop("__node").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+        nodes = stored(named.orderBy(doc_id, text).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    groups = parity_join.near_duplicate_components(nodes.select(F.col("node").alias("doc_id"), text.alias("text")))
+    kept = stored(groups.where("doc_id = component_id").select(F.col("doc_id").alias("node")).distinct(), "kept")
+    once = nodes.join(kept, "node", "left_semi").dropDuplicates([at["doc_id"], at["text"]])
+    return once.drop("node").unionByName(rows.where(doc_id.isNull())).select(*at.values()).toDF(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; without items all stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
@@ -52,8 +64,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard, place and virtual slot of every row."""
-    return virtual_slots.shard(docs)[0]
+    """Shard, place and virtual slot of every row, and in ``record`` the row
+    itself with all its columns: the sharded corpus."""
+    return virtual_slots.shard(docs, whole=True)[0]
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -17,6 +17,7 @@ provably fits and in Python's integers elsewhere, and join the same ranking.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -54,9 +55,18 @@ def scaled(vector: Column, scale: int = 1024) -> Column:
     return F.when(vector.isNotNull() & F.coalesce(finite, F.lit(False)), F.transform(x, lambda v: floor(v * scale)))
 
 
-def _is_wide(vector: str) -> Column:
+def _is_wide(vector: str, scale: int = 1) -> Column:
     # two comparisons: abs of the smallest long overflows
-    return F.exists(vector, lambda v: (v > LARGEST) | (v < -LARGEST))
+    return F.exists(vector, lambda v: (v > LARGEST // scale) | (v < -LARGEST // scale))
+
+
+def _finite(vector: str) -> Column:
+    return F.coalesce(F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
+
+
+def _whole(x: float, scale: int) -> int:
+    """floor(scale * x), exactly, whatever the size of x."""
+    return int(x) * scale if isinstance(x, int) or abs(x) >= 2.0 ** 53 else math.floor(x * scale)
 
 
 def _packed(rows: list[list[int]]) -> tuple[np.ndarray, int]:
@@ -181,14 +191,14 @@ def _search(k: int):
     return run
 
 
-def _pickled(size: int):
-    """Rows (id, vector) -> blocks of at most ``size`` rows of one task, in
-    Python's integers."""
+def _pickled(size: int, scale: int):
+    """Rows (id, vector) -> blocks of at most ``size`` rows of one task, scaled,
+    in Python's integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                rows = [list(map(int, v)) for v in part.column(1).to_pylist()]
+                rows = [[_whole(x, scale) for x in v] for v in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((part.column(0).to_pylist(), rows))], pa.binary())],
                                                  names=["rows"])
     return run
@@ -223,42 +233,54 @@ def _score_pairs(k: int):
     return run
 
 
-def _wide_hits(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+def _wide_hits(rows: DataFrame, asked: DataFrame, k: int, scale: int) -> DataFrame | None:
     """The best pairs of which at least one vector has a component over
     LARGEST; None without such a vector."""
-    wide = stored(rows.where(_is_wide("v")), "wide-vectors")
+    wide = stored(rows.where(_is_wide("v", scale)), "wide-vectors")
     if wide.isEmpty():
         return None
 
     def met(candidates: DataFrame, queries: DataFrame) -> DataFrame:
-        q = queries.mapInArrow(_pickled(CHUNK), "rows binary").withColumnRenamed("rows", "q_rows")
-        return candidates.mapInArrow(_pickled(BLOCK), "rows binary").crossJoin(q).mapInArrow(
+        q = queries.mapInArrow(_pickled(CHUNK, scale), "rows binary").withColumnRenamed("rows", "q_rows")
+        return candidates.mapInArrow(_pickled(BLOCK, scale), "rows binary").crossJoin(q).mapInArrow(
             _score_pairs(k), "query_id long, vec_id long, score long, wide_score string")
 
     asked = stored(asked, "asked")
-    return met(wide, asked).unionByName(met(rows.where(~_is_wide("v")), asked.where(_is_wide("v"))))
+    return met(wide, asked).unionByName(met(rows.where(~_is_wide("v", scale)), asked.where(_is_wide("v", scale))))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
-          vector_col: str = "embedding") -> DataFrame:
+          vector_col: str = "embedding", scale: int | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score, wide_score)``: for every row with
     ``is_query`` the k highest inner products with the other rows, ties to the
     smaller id.  A score beyond 64 bits is null in ``score`` and stands in
     ``wide_score`` as its decimal digits, which is null otherwise.
 
-    ``vector_col`` holds arrays of whole numbers, long or double.  Rows with a null id or vector take no
+    ``vector_col`` holds arrays of whole numbers, long or double; with
+    ``scale`` it holds any numbers, of which floor(scale * x) is taken, exactly
+    for every finite double, and vectors with a null or non-finite component
+    take no part.  Rows with a null id or vector take no
     part; shorter vectors count as filled up with zeros.  Rows that repeat an
     id are candidates each, but never of a query with that id; of a repeated
     query id the smallest vector asks.  Without queries or candidates there are
     no rows; other columns are ignored.  Queries are met with the index block
     by block.
     """
-    blocks = index(vectors, id_col, vector_col)
-    asked = vectors.where(is_query).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).groupBy(
-        F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))
-    wide = _wide_hits(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(
-        "id IS NOT NULL AND v IS NOT NULL"), asked, k)
-    queries = stored(asked.where(~_is_wide("v")).mapInArrow(_blocks(4 * CHUNK), _BLOCK_SCHEMA).select(
+    vector = F.col(vector_col) if scale is None else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), is_query.alias("asks")).where(
+        "id IS NOT NULL AND v IS NOT NULL")
+    if scale is not None:
+        rows = rows.where(_finite("v"))
+    by = scale or 1
+
+    def small(part: DataFrame) -> DataFrame:
+        part = part.where(~_is_wide("v", by))
+        return part if scale is None else part.withColumn("v", scaled(F.col("v"), scale))
+
+    blocks = index(small(rows), "id", "v")
+    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    wide = _wide_hits(rows.select("id", "v"), asked, k, by)
+    queries = stored(small(asked).mapInArrow(_blocks(4 * CHUNK), _BLOCK_SCHEMA).select(
         F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")), "query-blocks")
     places = blocks.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)   # a row per block
     number = blocks.count()

@@ -53,8 +53,7 @@ def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best inner products of every hundredth vector with all others."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", impact_index.scaled(F.col("embedding")).alias("embedding"))
-    return impact_index.top_k(vectors, F.col("vec_id") % 100 == 0)
+    return impact_index.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, scale=1024)
 
 
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_schema_fingerprint": sql.op1_schema_fingerprint(CONTROL_TEXT),
+    "op4_impact_ordered": sql.OP4_IMPACT_ORDERED,
     "op12_zone_maps": sql.op12_zone_maps(),
     "op13_norm_buckets": sql.OP13_NORM_BUCKETS,
     # URL_RULES, the longest first

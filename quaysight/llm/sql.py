@@ -60,3 +60,41 @@ ranked AS (
   SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank, doc_id, score
   FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+OP4_IMPACT_ORDERED = r"""
+WITH kept AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)]), 0)::BIGINT AS score
+  FROM kept q JOIN kept c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score, NULL::VARCHAR AS wide_score FROM ranked WHERE rank <= 10"""
+
+
+def op1_schema_fingerprint(control: str) -> str:
+    """The formatted text: each turn is its role in a head line, its text and an
+    end mark, with a backslash before every backslash, '<' and '>' of role and text."""
+    quoted = control.replace("'", "''")
+
+    def escaped(column: str) -> str:
+        return f"replace(replace(replace(coalesce({column}, ''), '\\', '\\\\'), '<', '\\<'), '>', '\\>')"
+
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, turn, role, '{quoted}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS said(turn, role)),
+ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    length('<turn ' || {escaped("role")} || '>' || chr(10) || {escaped("text")} || '</turn>' || chr(10)) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS LAST, role ASC NULLS FIRST, text ASC NULLS FIRST) AS place
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM ordered GROUP BY conv_id"""

@@ -655,3 +655,24 @@ def test_one_text_of_each_training_document(spark):
     rows, marks, folds = toxicity.training_rows(docs, labels)
     assert [r.tolist() for r in rows] == [toxicity.features("a").tolist(), []] and marks.tolist() == [[1, 1], [0, 0]]
     assert len(folds) == 2
+
+
+@pytest.mark.parametrize("name", ["op1_schema_fingerprint", "op4_impact_ordered"])
+def test_rows_equal_those_of_the_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{MEDIUM}/{t}.parquet')")
+    res = compare(QUERIES[name](spark, MEDIUM), con, ORACLE_SQL[name])
+    assert res["match"], res
+
+
+def test_products_beyond_a_double_are_exact(spark):
+    """floor(1024 * x) is taken exactly where 1024 * x is beyond a double."""
+    rows = [(i, [((-1) ** i) * size, 0.5, -0.0007]) for i, size in enumerate((1.7e308, 1e306, 3e305, 4097.0, 4096.0, 1.0, 2.0 ** 53 + 2, 5e-324), 1)]
+    odd = [(50, [float("inf"), 0.0, 0.0]), (51, [1.0, None, 0.0]), (52, None), (None, [1e306, 0.0, 0.0]), (53, [float("nan")])]
+    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("asks", F.lit(False))
+    ints = [(i, [math.floor(1024 * x) if abs(x) < 2 ** 53 else int(x) * 1024 for x in v]) for i, v in rows]
+    got = defaultdict(list)
+    for r in impact_index.top_k(df, F.lit(True), k=9, scale=1024).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, int(r.wide_score) if r.score is None else r.score))
+    assert dict(got) == nearest(ints, ints, 9)

@@ -32,7 +32,7 @@ OPERATORS = [
     "shipments_with_do_type", "shipments_with_do_type_distinct",
     "eav_attributes", "eav_attributes_pivot",
     "load_percentage", "load_percentage_fanout", "appointment_po_rollup", "trailer_tasks", "stop_stage_counts",
-    "not_closed_list",
+    "not_closed_list", "appointments_week", "not_closed_week",
 ]
 
 

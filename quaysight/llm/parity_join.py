@@ -52,6 +52,8 @@ BLOCK = 2048
 # Smallest open groups that a member names, so that a pair met in one of them
 # isn't made again elsewhere; a pair that shares others is made once in each.
 NAMED = 16
+# At most this many digests can hold more than one of so many documents each.
+HOT_SHARE = 1000
 # Digests of texts that a task remembers, to post copies once, and hashes of
 # words that a worker remembers.
 REMEMBERED = 1 << 18
@@ -422,6 +424,21 @@ def crossing_pairs(groups: DataFrame, comps: DataFrame, prints: DataFrame, spann
             .where("a <> b").distinct())
 
 
+def links_of_copies(prints: DataFrame) -> DataFrame:
+    """``(a, b)``: every document with the first one of its digest.
+
+    A digest that holds more than 1 / HOT_SHARE of the documents never goes
+    through a shuffle by digest: its documents meet its first one in place, by
+    a broadcast of at most HOT_SHARE rows."""
+    copies = prints.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("digest", "doc_id")
+    counted = copies.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))   # combined map-side
+    firsts = stored(counted.where("n > 1"), "firsts")
+    hot = F.broadcast(firsts.where(F.col("n") > copies.count() / HOT_SHARE).select("digest", "first"))
+    cold = copies.join(hot, "digest", "left_anti").join(firsts.select("digest", "first"), "digest")
+    return copies.join(hot, "digest").unionByName(cold).where("doc_id <> first").select(
+        F.col("doc_id").alias("a"), F.col("first").alias("b"))
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
 
@@ -434,10 +451,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     groups = stored(shared_words(prints), "groups")
     posted, prints = prints, stored(prints.drop("keys"), "sizes")
     drop_stored(posted)
-    copies = prints.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    firsts = copies.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copy_links = stored(copies.join(firsts, "digest").where("doc_id <> first")
-                        .select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
+    copy_links = stored(links_of_copies(prints), "copies")
     star = stored(groups.where("doc_id <> rep").select(F.least("rep", "doc_id").alias("a"),
                                                       F.greatest("rep", "doc_id").alias("b")).distinct(), "star")
     links = stored(verified(near_by_sketch(star, prints), docs, id_col, text_col), "links")

@@ -144,17 +144,3 @@ def test_components_of_chains_and_stars(spark):
     assert comp == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200}
     assert len(out) == len(comp)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_links_of_copies_of_hot_and_rare_digests(spark, monkeypatch):
-    rows = [(i, b"hot" if i % 3 == 0 else bytes([i % 50]) if i % 3 == 1 else bytes([i % 256, i // 256])) for i in range(3000, 0, -1)]
-    rows += [(None, b"hot"), (5000, None), (7, b"hot"), (3, b"hot")]
-    prints = spark.createDataFrame(rows, "doc_id long, digest binary")
-    first = {}
-    for i, d in sorted((i, d) for i, d in rows if i is not None and d is not None):
-        first.setdefault(d, i)
-    want = sorted((i, first[d]) for i, d in rows if i is not None and d is not None and i != first[d])
-    for share in (1, 10, 1000, 10 ** 6):
-        monkeypatch.setattr(pj, "HOT_SHARE", share)
-        assert sorted(map(tuple, pj.links_of_copies(prints).collect())) == want
-    assert pj.links_of_copies(prints.limit(0)).count() == 0

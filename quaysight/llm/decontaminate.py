@@ -56,30 +56,19 @@ def short_masks(sizes: Sequence[int]) -> Masks:
     return [(len(MASKS) + n, tuple(range(n))) for n in sorted(sizes)]
 
 
-def seeds_at(words: Column, masks: Masks = _LONG) -> tuple[Column, Column]:
-    """(seeds, places): the seeds of all masks at every word, one mask after
-    the other, and how many places each mask has."""
-    shortest = min((mask[-1] + 1 for _, mask in masks), default=SHORTEST)
-    places = F.greatest(F.lit(0), F.size(words) - shortest + 1)
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), places - 1))
-
-    def of_mask(number: int, mask: tuple[int, ...]) -> Column:
-        # null where the mask reaches past the end
-        return F.transform(at, lambda i: F.when(F.get(words, i + mask[-1]).isNotNull(),
-                                                F.xxhash64(F.lit(number), *[F.get(words, i + k) for k in mask])))
-
-    every = F.concat(*[of_mask(number, mask) for number, mask in masks])
-    return F.when(places > 0, every).otherwise(F.array().cast("array<bigint>")), places
-
-
 def seeded(frame: DataFrame, keys: list[str], masks: Masks = _LONG) -> DataFrame:
     """``keys``, ``at`` (word position from 0) and ``seed``; ``frame`` has the
-    column ``words``."""
+    column ``words``.  Each word becomes a row with the words that the masks
+    reach from it, so that seeds are hashed from columns and no lambda runs
+    once a seed."""
+    reached = sorted({k for _, mask in masks for k in mask})
     hashed = frame.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    seeds, places = seeds_at(F.col("h"), masks)
-    return (hashed.select(*keys, places.alias("places"), F.posexplode(seeds).alias("i", "seed"))
-            .select(*keys, F.pmod("i", "places").cast("int").alias("at"), "seed")
-            .where("seed IS NOT NULL"))
+    # the words from the k-th on: at every place the one that is k words further, null past the end
+    later = [F.slice("h", k + 1, F.greatest(F.lit(0), F.size("h") - k)).alias(f"h{k}") for k in reached]
+    rows = hashed.select(*keys, F.posexplode(F.arrays_zip(*later)).alias("at", "w"))
+    seeds = [F.when(F.col(f"w.h{mask[-1]}").isNotNull(), F.xxhash64(F.lit(number), *[F.col(f"w.h{k}") for k in mask]))
+             for number, mask in masks]
+    return rows.select(*keys, "at", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
 
 
 def _row_key(id_col: str, text_col: str) -> Column:

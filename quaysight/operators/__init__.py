@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quaysight.session import ensure_checkpoint_dir
 
@@ -48,6 +49,18 @@ def restrict_to(big: DataFrame, keys: DataFrame, big_col: str, key_col: str | No
     return big.join(k, big_col, "left_semi")
 
 
+def left_join_dealt(big: DataFrame, small: DataFrame, big_col: str, small_col: str, deal_by: list[str]) -> DataFrame:
+    """LEFT JOIN on ``big_col = small_col`` whose rows without a key, which
+    meet nothing, are dealt by ``deal_by``: in a plain outer join that is
+    shuffled they would all meet in one task."""
+    key = F.when(F.col(big_col).isNull(), F.xxhash64(*deal_by)).otherwise(F.lit(0).cast("long"))
+    # 0 on every row, but no constant: that would not be a key of the shuffle
+    zero = F.xxhash64(small_col).bitwiseAND(F.lit(0).cast("long"))
+    big, small = big.withColumn("_deal", key), small.withColumn("_deal_to", zero)
+    met = (big[big_col] == small[small_col]) & (big["_deal"] == small["_deal_to"])
+    return big.join(small, met, "left").drop("_deal", "_deal_to")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a small intermediate result that several branches of a report
     reuse (the driving shipments, their pieces, ...) to the session's

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.semantics import flag, round_share, share_string
+from quaysight.operators import left_join_dealt
 
 # Container types handled by the mechanised line.
 MECA_CONTAINER_TYPES = ("03", "05", "06", "PTS")
@@ -74,7 +75,7 @@ def classified_pieces(lpn: DataFrame, locn_hdr: DataFrame, rule: StageRule,
     pieces = lpn.filter(F.col("shipment_id").isNotNull()).select(
         *keys, "container_type", "curr_sub_locn_id", "lpn_facility_status")
     loc = locn_hdr.select(F.col("locn_id"), F.col("locn_class"))
-    joined = pieces.join(loc, pieces.curr_sub_locn_id == loc.locn_id, "left")
+    joined = left_join_dealt(pieces, loc, "curr_sub_locn_id", "locn_id", [*keys, "lpn_facility_status"])
     flags = stage_flags(F.col("lpn_facility_status"), F.col("locn_class"), rule)
     return joined.select(*keys, "container_type", *[c.alias(n) for n, c in flags.items()])
 

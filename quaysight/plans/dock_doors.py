@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaysight.functions.clock import MASK_DAY_MONTH, MASK_DAY_MONTH_YEAR_TIME, MASK_TIME, to_char
-from quaysight.operators import materialize, materialize_all, restrict_to
+from quaysight.operators import left_join_dealt, materialize, materialize_all, restrict_to
 from quaysight.operators.dock import (
     OPEN_STATUS_BELOW,
     load_percentage,
@@ -60,11 +60,14 @@ def tagged_pieces(lpn: DataFrame, keys: DataFrame) -> DataFrame:
     """The pieces that meet an open shipment by its id (``_by_id``), by its
     code (``_by_code``) or by both, in one scan of ``lpn``: the counts join on
     the id, the weight on the code.  The key sets are distinct, so the outer
-    joins only tag; a NULL key meets nothing."""
-    ids = keys.select("shipment_id").distinct().withColumn("_by_id", F.lit(True))
-    codes = keys.select("tc_shipment_id").distinct().withColumn("_by_code", F.lit(True))
-    return (lpn.select(*PIECE_COLUMNS).join(ids, "shipment_id", "left").join(codes, "tc_shipment_id", "left")
-            .filter(F.col("_by_id") | F.col("_by_code")))
+    joins only tag; a NULL key meets nothing, and pieces with one are dealt by
+    the other."""
+    ids = keys.select(F.col("shipment_id").alias("_id")).distinct().withColumn("_by_id", F.lit(True))
+    codes = keys.select(F.col("tc_shipment_id").alias("_code")).distinct().withColumn("_by_code", F.lit(True))
+    pieces = lpn.select(*PIECE_COLUMNS).filter(F.col("shipment_id").isNotNull() | F.col("tc_shipment_id").isNotNull())
+    pieces = left_join_dealt(pieces, ids, "shipment_id", "_id", ["tc_shipment_id"])
+    pieces = left_join_dealt(pieces, codes, "tc_shipment_id", "_code", ["shipment_id"])
+    return pieces.filter(F.col("_by_id") | F.col("_by_code")).select(*PIECE_COLUMNS, "_by_id", "_by_code")
 
 
 def open_inputs(w: Wms) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -21,11 +21,23 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Bytes of an Arrow batch that travels to a Python worker, unless the session
+# names another size: a task holds several copies of a batch (Arrow vectors in
+# the executor, the batch and its Python objects in the worker).
+BATCH_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+# Bytes of the shuffled input of a task, unless the session names another size:
+# compressed rows take up to 30 times as much in the sorts of a join.
+TASK_CONF = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
+
 
 def tune_session(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the reports rely on to an existing session."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    for key, value in (BATCH_CONF, TASK_CONF):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -8,12 +8,14 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaysight.llm import decontaminate, mixture, parity_join, toxicity, virtual_slots
 from quaysight.llm.common import stored, table
+from quaysight.session import tune_session
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -69,12 +71,22 @@ def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return virtual_slots.shard(docs, whole=True)[0]
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("n-gram Jaccard join", keep_one_of_each_group),
-    ("benchmark decontamination", drop_leaks),
-    ("mixing sources to target weights", mix_sources),
-    ("sharding", into_shards),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _tuned(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(tune_session(spark), docs, sf_dir)
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _tuned(drop_toxic)),
+    ("n-gram Jaccard join", _tuned(keep_one_of_each_group)),
+    ("benchmark decontamination", _tuned(drop_leaks)),
+    ("mixing sources to target weights", _tuned(mix_sources)),
+    ("sharding", _tuned(into_shards)),
 ]
 
 # Classifiers, sketches and crc32 have no SQL form; tests/llm holds the stages

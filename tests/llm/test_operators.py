@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -26,6 +27,7 @@ from quaysight.llm import (
     virtual_slots,
 )
 from quaysight.llm.registry import CONTROL_TEXT, ORACLE_SQL, QUERIES, URL_RULES
+from quaysight.session import ensure_checkpoint_dir
 
 from tests.compare import compare
 from tests.conftest import MEDIUM, SMALL
@@ -177,6 +179,60 @@ def test_all_pairs_of_words_count(spark, monkeypatch, cached, known, block):
     assert none.target_loss == pytest.approx(math.log(len(vocabulary)), abs=1e-5)
 
 
+def test_lm_numbers_that_clash(spark, monkeypatch):
+    docs, labels = documents(spark).limit(60), spark.read.parquet(f"{SMALL}/labels.parquet")
+    marked = docs.withColumn("good", F.lit(True))
+
+    def clashes(salt):
+        return lm_score.numbered_counts(marked, "good", salt=salt).agg(F.count_if("clash")).first()[0]
+
+    def scores():
+        return np.array(sorted(tuple(r) for r in lm_score.score(docs, labels, cached=16, known=30).collect() if r.n_words))
+
+    want = scores()
+    assert clashes(0) == 0
+    for bits in itertools.count(2 * lm_score.word_counts(marked, "good").count().bit_length(), -1):   # one that the first salt doesn't fit
+        monkeypatch.setattr(lm_score, "ID_BITS", bits)
+        if clashes(0):
+            break
+    assert scores() == pytest.approx(want, abs=1e-8)
+
+
+def test_targets_are_found_by_bitmap_and_by_join(spark, monkeypatch):
+    ids = [0, 1, -1, 7, 8, 9, -32768, 32768, 32769, 65536, -65537, 2**63 - 1, 2**40]
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "x") for i in [*ids, *ids, None, 2, -2, 10, 32767, 65537, 2**40 + 1]], "__id long, text string")
+    chosen = rng.sample(ids, 9)
+    for kind, most in (("long", 1 << 12), ("long", 0), ("string", 1 << 12)):
+        monkeypatch.setattr(lm_score, "BITMAPS", most)
+        good = spark.createDataFrame([(i,) for i in chosen * 2], "__id long").withColumn("__id", F.col("__id").cast(kind))
+        got = lm_score._marked(docs.withColumn("__id", F.col("__id").cast(kind)), good)
+        assert got.columns == ["__id", "text", "__good"]
+        rows = Counter((int(r[0]) if r[0] is not None else None, r[2]) for r in got.collect())
+        assert rows == Counter((r[0], True if r[0] in chosen else None) for r in docs.collect())
+
+
+def test_pairs_of_words_take_little_disk(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.25, 2_000), 10**7)) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4).cache()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    assert docs.count() == 200
+
+    def disk():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        kept = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+        return kept + sum(files.apply(i).length() for i in range(files.size()))
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = disk()
+    scores = lm_score.score(docs, labels, cached=64, known=1000)
+    assert scores.where("n_words = 2000").count() == 200
+    used = disk() - before
+    docs.unpersist()
+    assert used < 1.6 * sum(map(len, texts)), used / sum(map(len, texts))
+
+
 def test_lm_edges(spark):
     docs = spark.createDataFrame([(1, None, "", "", 0), (2, " ", "", "", 0), (None, "a b", "", "", 0), (4, "a b " * 40_000, "", "", 0),
                                   (4, "a", "", "", 0)], DOCS).withColumn("score", F.lit("clash"))

@@ -47,7 +47,7 @@ BLOCK_WORDS = 1 << 20
 DOC_BITS = 16
 BLOCK_DOCS = 1 << DOC_BITS
 # Words of the corpus for each part that the pairs are dealt to.
-PART_WORDS = 1 << 21
+PART_WORDS = 1 << 20
 # Numbers of the words that aren't known begin here; bits below that tell them apart.
 RARE = 1 << 62
 ID_BITS = 62
@@ -263,7 +263,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], known, start: int, salt: int, bit
         made = (id_type, [i for i, *_ in held], np.array([g for *_, g in held], bool), sizes, h, w,
                 np.repeat(np.arange(len(held)), sizes))
         held = []
-        if len(local) > FLUSH:
+        if len(local) > FLUSH // 2:
             local, number = _Numbers(), np.empty(0, np.int64)
         return made
 
@@ -494,13 +494,13 @@ def _score_all_pairs(docs: DataFrame, marked: DataFrame, known: int, cached: int
         raise RuntimeError(f"no {bits}-bit numbers tell {kinds} words apart")
     totals, parts = [float(sum_t + kinds), float(sum_n + kinds)], 1 + sum_n // PART_WORDS
     # at most size - 1 + known words come to the driver
-    first = words.orderBy(F.desc("n"), "id").limit(size - 1 + known).select("id", "t", "n").collect()
-    number = [*range(1, size), *range(size + 1, size + 1 + known)][:len(first)]
-    spelt, placed = np.array([r.id for r in first], np.int64), np.array(number, np.int64)
-    order = np.argsort(spelt)
-    ids = sc.broadcast((spelt[order], placed[order]))
+    first = words.orderBy(F.desc("n"), "id").limit(size - 1 + known).select("id", "t", "n").toArrow()
+    codes, *counts = (c.to_numpy() for c in first.columns)
+    placed = np.array([*range(1, size), *range(size + 1, size + 1 + known)][:len(codes)], np.int64)
+    order = np.argsort(codes)
+    ids = sc.broadcast((codes[order], placed[order]))
     count_of = np.zeros((2, size + 1 + known), np.int64)
-    count_of[:, placed] = np.array([(r.t, r.n) for r in first], np.int64).reshape(-1, 2).T
+    count_of[:, placed] = counts
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"part int, kind int, block long, ids array<{kind}>, data array<binary>"
@@ -528,6 +528,7 @@ def _score_all_pairs(docs: DataFrame, marked: DataFrame, known: int, cached: int
                 p = (cells[m][h] + distinct[m][h] * base) / (seen[m][h] + distinct[m][h]) if seen[m][h] else base
                 table[h, 1:] = -np.log(p[1:])
         models.append(table.ravel())
+    del cells
     models, counts = sc.broadcast(models), sc.broadcast((seen, distinct, count_of))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

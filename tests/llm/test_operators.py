@@ -212,6 +212,23 @@ def test_targets_are_found_by_bitmap_and_by_join(spark, monkeypatch):
         assert rows == Counter((r[0], True if r[0] in chosen else None) for r in docs.collect())
 
 
+def test_all_pairs_edges(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_WORDS", 1 << 12)   # 20 parts
+    docs = spark.createDataFrame([(1, None, "", "", 0), (2, " ", "", "", 0), (None, "a b", "", "", 0), (4, "a b " * 40_000, "", "", 0),
+                                  (4, "a", "", "", 0)], DOCS).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(4, 1), (4, None), (None, 1), (2, None)], "doc_id long, quality int")
+    blank = spark.createDataFrame([(1, None, "", "", 0), (2, " ", "", "", 0)], DOCS)
+    for kind in ("long", "string"):
+        texts, marks = (t.withColumn("doc_id", F.col("doc_id").cast(kind)) for t in (docs, labels))
+        for cached, known in ((2048, 100), (1, 0)):
+            got = lm_score.score(texts, marks, cached=cached, known=known)
+            assert got.schema["doc_id"].dataType.simpleString() == texts.schema["doc_id"].dataType.simpleString()
+            assert sorted((r.n_words, r.doc_id and int(r.doc_id), r.score is None) for r in got.collect() if r.n_words) == [
+                (1, 4, False), (2, None, False), (80_000, 4, False)]
+            assert got.where("n_words = 0 AND score IS NULL").count() == 2
+    assert lm_score.score(blank, labels).where("n_words = 0 AND target_loss IS NULL").count() == 2
+
+
 def test_pairs_of_words_take_little_disk(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.25, 2_000), 10**7)) for _ in range(200)]
